@@ -171,6 +171,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = texts.groupBy("fp", "raw").count().select("fp", F.sha2("raw", 256).alias("sha"), F.col("count").alias("n"))
     best = suspects.groupBy("fp", "sha").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))).alias("best"))
     verified = classes.join(best, ["fp", "sha"]).select("fp", "sha", "n", F.col("best.id").alias("keep"))
-    joined = suspects.join(verified, ["fp", "sha"], "left").select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), F.coalesce("n", F.lit(1)).alias("n"), "sha")
+    # stored, so that both sides of the join are plain exchanges and Spark can split a group of copies that fills a task
+    joined = suspects.join(stored(verified), ["fp", "sha"], "left").select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), F.coalesce("n", F.lit(1)).alias("n"), "sha")
     alone = marked.where("not suspect").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), "sha")
     return joined.unionByName(alone).select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
