@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
+from .packing import pack
+from .pii import personal_data
+from .simhash import op10
+from .url_filter import judge_urls
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +23,29 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_pii": op8_pii,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
