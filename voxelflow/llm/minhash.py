@@ -6,10 +6,13 @@ pigeonhole, in some chunk but for at most one component; so every class is filed
 out, and such a pair always meets under one of these keys. Two sets of similarity s differ in 30 * (1 - s) components on
 average: at 0.85 in 4.5, and the chance that a pair meets under none of the 30 keys is 2e-5.
 
-Pairs are not listed by key. First every member of a key is compared with the key's smallest member, which leaves a copy group,
-however large, with as many comparisons as it has members. What that links is joined to components. Only keys whose members still belong to
-more than one component are opened, in blocks of bounded size, and only pairs of different components within a signature
-distance of FAR are compared: pairs within one component can't change the result. All comparisons are exact, on whole sets.
+Pairs are not listed by key. First every member of a key is compared with the key's hub, the member that meets most others under
+its keys; in a group of edited copies that is the text they were made from. However large such a group is, it costs as many
+comparisons as it has members. What that links is joined to components. Only keys whose members still belong to more than one
+component are opened, in blocks of bounded size. A pair is then compared if it is of different components, it hasn't been, its
+signatures are within FAR, sizes allow the similarity, and distances to the hub do: one minus Jaccard similarity is a metric,
+so two sets whose distances to a third differ by more than the threshold can't be linked. A pair that meets under several keys is
+taken from the first. All comparisons are exact, on whole sets.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .words import mix, shingle_set, word_hashes
 
 CHUNKS, WIDTH = 6, 5
 COMPONENTS = CHUNKS * WIDTH
-#: Signatures further apart than this aren't compared; a pair of similarity 0.85 is with a chance of 1e-6.
-FAR = 15
+#: Signatures further apart than this aren't compared; a pair of similarity 0.85 is so far apart with a chance of 3e-5.
+FAR = 13
+#: Texts that are looked up by a broadcast of their hashes at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 #: Members of a key that one task compares with as many others.
 BLOCK = 512
 
@@ -46,12 +51,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    for batch in batches:
-        for i, words in enumerate(word_hashes(batch.column("text"))):
-            yield batch, i, shingle_set(words)
-
-
 def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -60,6 +59,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         sizes, digests, sigs = [], [], []
+        names = [hashlib.md5(t.as_buffer().to_pybytes()).digest() for t in batch.column("text")]
         for words in word_hashes(batch.column("text")):
             s = shingle_set(words)
             sizes.append(len(s))
@@ -67,7 +67,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs.append(signature(s).tobytes() if len(s) else None)
         rows = np.arange(row, row + len(sizes), dtype=np.int64)
         row += len(sizes)
-        yield pa.record_batch([pa.array(rows), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["row", "id", "n", "digest", "sig"])
+        yield pa.record_batch([pa.array(rows), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(names, pa.binary())], ["row", "id", "n", "digest", "sig", "name"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,51 +82,42 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         key = (key << np.uint64(16)) | sigs[:, c, j]
                 found.append(mix(mix(key) + np.uint64(c * WIDTH + out + 1)))
         keys = np.stack(found, 1).ravel().view(np.int64)
-        yield pa.record_batch([pa.array(keys), pa.array(np.repeat(batch.column("cid").to_numpy(), COMPONENTS))], ["key", "cid"])
-
-
-def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digests: list[bytes] = []
-    blobs: list[bytes] = []
-    size = 0
-    for _, _, s in _sets(batches):
-        if len(s):
-            digests.append(_digest(s))
-            blobs.append(s.tobytes())
-            size += len(blobs[-1])
-        if size > 1 << 23:
-            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["digest", "shingles"])
-            digests, blobs, size = [], [], 0
-    if digests:
-        yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["digest", "shingles"])
-
-
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
+        slot = np.tile(np.arange(COMPONENTS, dtype=np.int32), len(sigs))
+        yield pa.record_batch([pa.array(keys), pa.array(slot), pa.array(np.repeat(batch.column("cid").to_numpy(), COMPONENTS))], ["key", "slot", "cid"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size of the intersection and of the union of the sets of two texts."""
+    for batch in batches:
+        both, either = [], []
+        for x, y in zip(word_hashes(batch.column("x")), word_hashes(batch.column("y")), strict=True):
+            p, q = shingle_set(x), shingle_set(y)
+            union = len(np.union1d(p, q))
+            either.append(union)
+            both.append(len(p) + len(q) - union)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
 
 def _across(percent: int):
     def across(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[1]), int(key[2])
+        i, j, slot = int(key[1]), int(key[2]), int(members["slot"].iloc[0])
         block = members["block"].to_numpy()
         sigs = np.frombuffer(b"".join(members["sig"]), np.uint16).reshape(-1, COMPONENTS)
-        cid, root, n = (members[c].to_numpy() for c in ("cid", "root", "n"))
+        cid, root, n, hub = (members[c].to_numpy() for c in ("cid", "root", "n", "hub"))
+        far = members["far"].to_numpy(np.float64)  # distance to the hub; NaN where it wasn't compared, which rules nothing out
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         pairs = []
         for a in left:
             b = right[right > a] if i == j else right
-            b = b[(root[b] != root[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
-            b = b[(sigs[b] != sigs[a]).sum(axis=1) <= FAR]
-            pairs += [(min(cid[a], cid[k]), max(cid[a], cid[k])) for k in b]
+            keep = (root[b] != root[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])) & (cid[b] != hub[b]) & (cid[a] != hub[a])
+            b = b[keep & ~(np.abs(far[b] - far[a]) > 1 - percent / 100 + 1e-9)]
+            differs = sigs[b] != sigs[a]
+            b, differs = b[near := differs.sum(axis=1) <= FAR], differs[near].reshape(-1, CHUNKS, WIDTH)
+            wrong = differs.sum(axis=2)
+            chunk = (wrong <= 1).argmax(axis=1)
+            rows = np.arange(len(b))
+            first = chunk * WIDTH + np.where(wrong[rows, chunk] == 1, differs[rows, chunk].argmax(axis=1), 0)
+            pairs += [(min(cid[a], cid[k]), max(cid[a], cid[k])) for k in b[first == slot]]
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return across
@@ -142,38 +133,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit("")))
     kind = source.schema["id"].dataType
-    rows = stored(source.mapInArrow(_signatures, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])))
-    classes = stored(rows.where("n > 0").groupBy("digest", "sig", "n").agg(F.min("row").alias("cid")))
-    filed = classes.select("cid", "sig").mapInArrow(_keys, "key long, cid long")
-    heads = filed.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("c")).where("c > 1")
-    shared = stored(filed.join(heads, "key").select("key", "cid", "head", "c"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "digest"), "cid")
-        sets = source.mapInArrow(_set_blobs, "digest binary, shingles binary").join(wanted, "digest").dropDuplicates(["cid"]).select("cid", "shingles")
-        sets = stored(sets)
-        joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        return stored(joined.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
-
+    rows = stored(source.mapInArrow(_signatures, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("name", T.BinaryType())])))
+    classes = stored(rows.where("n > 0").groupBy("digest", "sig", "n").agg(F.min("row").alias("cid")).join(rows.select(F.col("row").alias("cid"), "name"), "cid"))
+    filed = classes.select("cid", "sig").mapInArrow(_keys, "key long, slot int, cid long")
+    crowds = filed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = stored(filed.join(crowds, "key").select("key", "slot", "cid", "c"))
+    fame = shared.groupBy("cid").agg(F.sum("c").alias("fame"))
+    hubs = shared.join(fame, "cid").groupBy("key").agg(F.max_by("cid", "fame").alias("hub"))
+    members = stored(shared.join(stored(hubs), "key").select("key", "slot", "cid", "c", "hub"))
+
+    names = F.unhex(F.md5("text"))
     size = classes.select("cid", "n")
-    first = shared.where("cid != head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b, both, either) for pairs (a, b) of classes: only the texts of these are moved, found by their hashes."""
+        pairs = stored(pairs)
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "name"), "cid"))
+        found = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+        texts = source.select(names.alias("name"), "text").join(found, "name").groupBy("cid", "text").agg(F.lit(1)).select("cid", "text")
+        joined = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+        return stored(joined.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, both long, either long"))
+
+    linked = f"100 * both >= {percent} * either"
+    first = members.where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     first = first.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b")
-    links = confirmed(stored(first))
+    first = compared(first)
+    links = first.where(linked)
     joined = components(links)
 
-    members = stored(shared.join(joined, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root")))
-    open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("key", "c")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    placed = stored(members.join(joined, F.col("cid") == F.col("node"), "left").select("key", "slot", "cid", "hub", F.coalesce("root", "cid").alias("root")))
+    opened = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("key", "c")
+    far = first.select(F.col("a").alias("hub"), F.col("b").alias("cid"), (1 - F.col("both") / F.col("either")).alias("far"))
     opened = (
-        members.join(open_keys, "key")
-        .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)).cast("int")})
+        placed.join(stored(opened), "key")
+        .join(classes.select("cid", "n", "sig"), "cid")
+        .join(far, ["hub", "cid"], "left")
+        .withColumns({"blocks": F.ceil(F.col("c") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .join(classes.select("cid", "n", "sig"), "cid")
-        .select("key", "i", "j", "block", "cid", "root", "n", "sig")
+        .select("key", "i", "j", "slot", "block", "cid", "root", "hub", "far", "n", "sig")
     )
-    second = opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(confirmed(stored(second)))
+    second = opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
+    links = links.select("a", "b").union(compared(second).where(linked).select("a", "b"))
     joined = components(links)
 
     placed = rows.join(classes.select("digest", "cid"), "digest", "left").join(joined, F.col("cid") == F.col("node"), "left").select("row", "id", "n", F.coalesce("root", "cid").alias("root"))
