@@ -15,16 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one that `spark.checkpoint.dir` names.
 
-    The lineage ends there, so a lost executor costs a read and not a recomputation. The folder is the one that
-    `spark.checkpoint.dir` names; only where that is unset (tests on one machine) a folder of this process is made.
+    Only where that is unset (tests on one machine) a folder of this process is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder. The lineage ends there, so a lost executor costs a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
