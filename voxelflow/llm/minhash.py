@@ -8,11 +8,11 @@ average: at 0.85 in 4.5, and the chance that a pair meets under none of the 30 k
 
 Pairs are not listed by key. First every member of a key is compared with the key's hub, the member that meets most others under
 its keys; in a group of edited copies that is the text they were made from. However large such a group is, it costs as many
-comparisons as it has members. What that links is joined to components. Only keys whose members still belong to more than one
-component are opened, in blocks of bounded size. A pair is then compared if it is of different components, it hasn't been, its
-signatures are within FAR, sizes allow the similarity, and distances to the hub do: one minus Jaccard similarity is a metric,
-so two sets whose distances to a third differ by more than the threshold can't be linked. A pair that meets under several keys is
-taken from the first. All comparisons are exact, on whole sets.
+comparisons as it has members. A comparison also gives the difference: which shingles of the hub the member lacks, and which it has
+besides. What is linked is joined to components. Only keys whose members still belong to more than one component are opened, in
+blocks of bounded size. The differences to the common hub are whole sets in short, so within a block the intersections of all
+members follow exactly from one matrix product; of the links found only those that join two components leave the block. So
+no pair is a row: a block sends fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from .words import mix, shingle_set, word_hashes
 
 CHUNKS, WIDTH = 6, 5
 COMPONENTS = CHUNKS * WIDTH
-#: Signatures further apart than this aren't compared; a pair of similarity 0.85 is so far apart with a chance of 3e-5.
-FAR = 13
 #: Texts that are looked up by a broadcast of their hashes at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 #: Members of a key that one task compares with as many others.
 BLOCK = 512
+#: Shingles that one matrix of a block has as columns.
+COLUMNS = 8192
 
 _SEEDS = mix(np.arange(1, 2 * COMPONENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:COMPONENTS], _SEEDS[COMPONENTS:] | np.uint64(1)
@@ -82,43 +82,68 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         key = (key << np.uint64(16)) | sigs[:, c, j]
                 found.append(mix(mix(key) + np.uint64(c * WIDTH + out + 1)))
         keys = np.stack(found, 1).ravel().view(np.int64)
-        slot = np.tile(np.arange(COMPONENTS, dtype=np.int32), len(sigs))
-        yield pa.record_batch([pa.array(keys), pa.array(slot), pa.array(np.repeat(batch.column("cid").to_numpy(), COMPONENTS))], ["key", "slot", "cid"])
+        yield pa.record_batch([pa.array(keys), pa.array(np.repeat(batch.column("cid").to_numpy(), COMPONENTS))], ["key", "cid"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size of the intersection and of the union of the sets of two texts."""
+    """For the sets of a hub's text x and a member's y: sizes of intersection and union, the ranks in x that y lacks, what y adds."""
     for batch in batches:
-        both, either = [], []
+        both, either, lacks, adds = [], [], [], []
         for x, y in zip(word_hashes(batch.column("x")), word_hashes(batch.column("y")), strict=True):
             p, q = shingle_set(x), shingle_set(y)
-            union = len(np.union1d(p, q))
-            either.append(union)
-            both.append(len(p) + len(q) - union)
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
+            gone = np.flatnonzero(~np.isin(p, q, assume_unique=True))
+            new = np.setdiff1d(q, p, assume_unique=True)
+            both.append(len(p) - len(gone))
+            either.append(len(p) + len(new))
+            lacks.append(gone.astype(np.uint32).tobytes())
+            adds.append(new.tobytes())
+        yield pa.record_batch([batch.column("hub"), batch.column("cid"), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())], ["hub", "cid", "both", "either", "lacks", "adds"])
+
+
+def _common(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the parts `left` and `right` have in common, by pair; values are taken COLUMNS at a time."""
+    values, column, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    often = np.cumsum(counts > 1) - 1  # a value of one part is common to none
+    keep = counts[column] > 1
+    row, column = np.repeat(np.arange(len(parts)), [len(x) for x in parts])[keep], often[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((counts > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        table = np.zeros((len(parts), COLUMNS), np.float32)
+        table[row[a:b], column[a:b] - first] = 1
+        out += table[left] @ table[right].T
+    return np.rint(out).astype(np.int64)
 
 
 def _across(percent: int):
     def across(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        i, j, slot = int(key[1]), int(key[2]), int(members["slot"].iloc[0])
-        block = members["block"].to_numpy()
-        sigs = np.frombuffer(b"".join(members["sig"]), np.uint16).reshape(-1, COMPONENTS)
-        cid, root, n, hub = (members[c].to_numpy() for c in ("cid", "root", "n", "hub"))
-        far = members["far"].to_numpy(np.float64)  # distance to the hub; NaN where it wasn't compared, which rules nothing out
+        i, j = int(key[1]), int(key[2])
+        block, cid, root, n = (members[c].to_numpy() for c in ("block", "cid", "root", "n"))
+        lacks = [np.frombuffer(x, np.uint32) for x in members["lacks"]]
+        adds = [np.frombuffer(x, np.uint64) for x in members["adds"]]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        pairs = []
-        for a in left:
-            b = right[right > a] if i == j else right
-            keep = (root[b] != root[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a])) & (cid[b] != hub[b]) & (cid[a] != hub[a])
-            b = b[keep & ~(np.abs(far[b] - far[a]) > 1 - percent / 100 + 1e-9)]
-            differs = sigs[b] != sigs[a]
-            b, differs = b[near := differs.sum(axis=1) <= FAR], differs[near].reshape(-1, CHUNKS, WIDTH)
-            wrong = differs.sum(axis=2)
-            chunk = (wrong <= 1).argmax(axis=1)
-            rows = np.arange(len(b))
-            first = chunk * WIDTH + np.where(wrong[rows, chunk] == 1, differs[rows, chunk].argmax(axis=1), 0)
-            pairs += [(min(cid[a], cid[k]), max(cid[a], cid[k])) for k in b[first == slot]]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        # |x and y| = |hub| - |lacked by x or y| + |added by both|
+        lacked = np.array([len(x) for x in lacks])
+        hub = n - np.array([len(x) for x in adds]) + lacked
+        either = lacked[left][:, None] + lacked[right] - _common(lacks, left, right)
+        both = hub[0] - either + _common(adds, left, right)
+        linked = (100 * both >= percent * (n[left][:, None] + n[right] - both)) & (root[left][:, None] != root[right])
+        top: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while top.get(r, r) != r:
+                r = top[r]
+            return r
+
+        links = []
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            p, q = find(int(root[left[a]])), find(int(root[right[b]]))
+            if p != q:
+                top[max(p, q)] = min(p, q)
+                links.append((cid[left[a]], cid[right[b]]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return across
 
@@ -135,50 +160,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = source.schema["id"].dataType
     rows = stored(source.mapInArrow(_signatures, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("name", T.BinaryType())])))
     classes = stored(rows.where("n > 0").groupBy("digest", "sig", "n").agg(F.min("row").alias("cid")).join(rows.select(F.col("row").alias("cid"), "name"), "cid"))
-    filed = classes.select("cid", "sig").mapInArrow(_keys, "key long, slot int, cid long")
+    filed = classes.select("cid", "sig").mapInArrow(_keys, "key long, cid long")
     crowds = filed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = stored(filed.join(crowds, "key").select("key", "slot", "cid", "c"))
-    fame = shared.groupBy("cid").agg(F.sum("c").alias("fame"))
+    crowded = stored(filed.join(crowds, "key").select("key", "cid", "c"))
+    shared = crowded.drop("c")
+    fame = crowded.groupBy("cid").agg(F.sum("c").alias("fame"))
     hubs = shared.join(fame, "cid").groupBy("key").agg(F.max_by("cid", "fame").alias("hub"))
-    members = stored(shared.join(stored(hubs), "key").select("key", "slot", "cid", "c", "hub"))
+    members = stored(shared.join(stored(hubs), "key").select("key", "cid", "hub"))
 
     names = F.unhex(F.md5("text"))
-    size = classes.select("cid", "n")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b, both, either) for pairs (a, b) of classes: only the texts of these are moved, found by their hashes."""
-        pairs = stored(pairs)
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "name"), "cid"))
-        found = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-        texts = source.select(names.alias("name"), "text").join(found, "name").groupBy("cid", "text").agg(F.lit(1)).select("cid", "text")
-        joined = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
-        return stored(joined.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, both long, either long"))
-
-    linked = f"100 * both >= {percent} * either"
-    first = members.where("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    first = first.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b")
-    first = compared(first)
-    links = first.where(linked)
+    pairs = stored(members.where("cid != hub").select("hub", "cid").distinct())
+    wanted = stored(pairs.select(F.explode(F.array("hub", "cid")).alias("cid")).distinct().join(classes.select("cid", "name"), "cid"))
+    found = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    # one text for each class: only texts that are compared are moved, found by their hashes
+    texts = source.select(names.alias("name"), "text").join(found, "name").groupBy("cid", "text").agg(F.lit(1)).select("cid", "text")
+    joined = pairs.join(texts.select(F.col("cid").alias("hub"), F.col("text").alias("x")), "hub").join(texts.select("cid", F.col("text").alias("y")), "cid")
+    apart = stored(joined.select("hub", "cid", "x", "y").mapInArrow(_compare, "hub long, cid long, both long, either long, lacks binary, adds binary"))
+    links = apart.where(f"100 * both >= {percent} * either").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     joined = components(links)
 
-    placed = stored(members.join(joined, F.col("cid") == F.col("node"), "left").select("key", "slot", "cid", "hub", F.coalesce("root", "cid").alias("root")))
+    placed = stored(members.join(joined, F.col("cid") == F.col("node"), "left").select("key", "cid", "hub", F.coalesce("root", "cid").alias("root")))
     opened = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("key", "c")
-    far = first.select(F.col("a").alias("hub"), F.col("b").alias("cid"), (1 - F.col("both") / F.col("either")).alias("far"))
     opened = (
-        placed.join(stored(opened), "key")
-        .join(classes.select("cid", "n", "sig"), "cid")
-        .join(far, ["hub", "cid"], "left")
+        placed.where("cid != hub")  # the hub has been compared with all
+        .join(stored(opened), "key")
+        .join(classes.select("cid", "n"), "cid")
+        .join(apart.select("hub", "cid", "lacks", "adds"), ["hub", "cid"])
         .withColumns({"blocks": F.ceil(F.col("c") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("key", "i", "j", "slot", "block", "cid", "root", "hub", "far", "n", "sig")
+        .select("key", "i", "j", "block", "cid", "root", "n", "lacks", "adds")
     )
     second = opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
-    links = links.select("a", "b").union(compared(second).where(linked).select("a", "b"))
-    joined = components(links)
+    joined = components(links.union(second))
 
     placed = rows.join(classes.select("digest", "cid"), "digest", "left").join(joined, F.col("cid") == F.col("node"), "left").select("row", "id", "n", F.coalesce("root", "cid").alias("root"))
     placed = stored(placed)
-    least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    least = stored(placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least")))
     out = placed.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
