@@ -10,6 +10,7 @@ pieces; a length that most pieces share is ranked in many tasks.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -25,21 +26,25 @@ CAPACITY = 2048
 #: Parts in which the pieces of one length are ranked.
 PARTS = 64
 #: Words whose ids a worker remembers; past that it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: Longer words are encoded each time.
 LONG_WORD = 64
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# white space for Python only, and a letter whose lower case depends on its place for Python only
+_ODD = re.compile("[\x1c-\x1fΣ]")
+# a sign that ends a word is a token of its own; apart from it, the word is more often one that is known
+_ENDS = re.compile("(?<=[a-z0-9à-öø-ÿ])([.,])(?=[ \n])")
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and never joins characters across it, word by word.
 
-    Words repeat, so the ids of a word are remembered and a text's ids are gathered from those of its words. Only where Python
-    and the tokenizer disagree on white space (U+001C to U+001F) is the whole text encoded as it is.
+    It also lower-cases and parts letters from signs. Words repeat, so the ids of a word are remembered and a text's ids are
+    gathered from those of its words. Only where Python and the tokenizer disagree is the whole text encoded as it is.
     """
 
     def __init__(self, path: str):
+        os.environ.update({"TOKENIZERS_PARALLELISM": "false", "RAYON_NUM_THREADS": "1"})  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,9 +80,11 @@ class WordEncoder:
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids of a text, without an end."""
-        if _ODD_SPACE.search(text):
+        if _ODD.search(text):
             return np.array(self._encode([text])[0], np.uint32)
-        words = text.split()
+        return self._gather(_ENDS.sub(r" \1", text.lower()).split())
+
+    def _gather(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint32)
         new = [w for w in set(words) if w not in self.known]
@@ -86,11 +93,11 @@ class WordEncoder:
             run: list[str] = []
             for w in words:
                 if len(w) > LONG_WORD:
-                    out += [self(" ".join(run)), np.array(self._encode([w])[0], np.uint32)]
+                    out += [self._gather(run), np.array(self._encode([w])[0], np.uint32)]
                     run = []
                 else:
                     run.append(w)
-            return np.concatenate([*out, self(" ".join(run))])
+            return np.concatenate([*out, self._gather(run)])
         if new:
             if len(self.known) > REMEMBERED:
                 self.forget()
