@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .mask_queries import QUERIES as MASKS, SQL as MASK_SQL, largest_component_report
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = {**MASKS}
+SQL = {**MASK_SQL}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "largest_component_report"]

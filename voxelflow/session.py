@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach(spark: SparkSession) -> SparkSession:
@@ -14,3 +15,11 @@ def reach(spark: SparkSession) -> SparkSession:
     if top not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([*filter(None, paths), top])
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder that `spark.checkpoint.dir` names; its lineage ends there."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
