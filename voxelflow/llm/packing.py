@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +27,33 @@ from .common import stored
 CAPACITY = 2048
 #: Parts in which the pieces of one length are ranked.
 PARTS = 64
-#: Words whose ids a worker remembers; past that it starts afresh.
-REMEMBERED = 800_000
-#: Longer words are encoded each time.
-LONG_WORD = 64
+#: Words, and characters in them, that a worker remembers; past that it starts afresh.
+REMEMBERED, REMEMBERED_CHARACTERS = 700_000, 20_000_000
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 20
 
 # white space for Python only, and a letter whose lower case depends on its place for Python only
 _ODD = re.compile("[\x1c-\x1fΣ]")
-# a sign that ends a word is a token of its own; apart from it, the word is more often one that is known
-_ENDS = re.compile("(?<=[a-z0-9à-öø-ÿ])([.,])(?=[ \n])")
+
+
+class _Known(dict):
+    """Numbers of words; a new word gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and never joins characters across it, word by word.
 
-    It also lower-cases and parts letters from signs. Words repeat, so the ids of a word are remembered and a text's ids are
-    gathered from those of its words. Only where Python and the tokenizer disagree is the whole text encoded as it is.
+    It also lower-cases and parts letters and digits from signs. Words repeat, so the ids of a word are remembered and a text's
+    ids are gathered from those of its words; a new word that ends in signs is put together from what stands before them and
+    the signs. Only where Python and the tokenizer disagree is the whole text encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -49,64 +62,66 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
+        self._forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def _forget(self) -> None:
+        self.known = _Known()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.characters = 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            encoded = self._encode(part)
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((x for e in encoded for x in e), np.uint32, int(sizes.sum()))
-            n, m = len(self.known), len(flat)
-            while n + len(part) > len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-            while self.used + m > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + m] = flat
-            self.starts[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[n : n + len(part)] = sizes
-            self.used += m
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The ids of a text, without an end."""
-        if _ODD.search(text):
-            return np.array(self._encode([text])[0], np.uint32)
-        return self._gather(_ENDS.sub(r" \1", text.lower()).split())
-
-    def _gather(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint32)
-        new = [w for w in set(words) if w not in self.known]
-        if any(len(w) > LONG_WORD for w in new):
-            out = []
-            run: list[str] = []
-            for w in words:
-                if len(w) > LONG_WORD:
-                    out += [self._gather(run), np.array(self._encode([w])[0], np.uint32)]
-                    run = []
-                else:
-                    run.append(w)
-            return np.concatenate([*out, self._gather(run)])
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.forget()
-                new = list(set(words))
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return [e.ids for i in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _keep(self, numbers: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Note the ids of words by their numbers."""
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(flat)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and the ends of each in them."""
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _learn(self) -> None:
+        known, whole, joined = self.known, [], []
+        i = 0
+        while i < len(known.new):  # what stands before signs may be new, too
+            word = known.new[i]
+            core = word.rstrip(string.punctuation)
+            if core and len(core) < len(word) and core[-1].isalnum() and core[-1] < "\u0250":
+                joined.append((known[word], known[core], known[word[len(core) :]]))
+            else:
+                whole.append(word)
+            self.characters += len(word)
+            i += 1
+        known.new.clear()
+        encoded = self._encode(whole)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self._keep(np.fromiter(map(known.__getitem__, whole), np.int64, len(whole)), sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
+        if joined:
+            numbers, cores, signs = np.array(joined, np.int64).T
+            flat, ends = self._gather(np.stack([cores, signs], 1).ravel())
+            self._keep(numbers, np.diff(ends[1::2], prepend=0), flat)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without an end."""
+        if len(self.known) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self._forget()
+        odd = {i: np.array(self._encode([t])[0], np.uint32) for i, t in enumerate(texts) if _ODD.search(t)}
+        words = [[] if i in odd else t.lower().split() for i, t in enumerate(texts)]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if self.known.new:
+            self._learn()
+        flat, ends = self._gather(at)
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        return [odd[i] if i in odd else flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -119,20 +134,31 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about TOGETHER bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum([len(t.as_buffer() or b"") for t in batch.column("text")])
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _pieces(path: str, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in _parts(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(0)).astype("<u4")
+            for i, found in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
+                ids = np.append(found, np.uint32(0)).astype("<u4")
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
                     row.append(i)
                     piece.append(p)
                     start.append(s)
                     length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
+                    crc.append(zlib.crc32(part))
             yield pa.record_batch([batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return pieces
