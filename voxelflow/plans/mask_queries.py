@@ -114,7 +114,7 @@ _query("group_classes", f"with {LAB} select z, y, x, case when label in (1, 2) t
 
 _query("histogram", f"with {GRID} select v, count(*) as n from grid group by v")(lambda s, d: m.histogram(grid(s, d)).select("v", "n"))
 _query("label_stats", f"with {LAB} select label, count(*) as n, min(v) as least, max(v) as greatest, round(avg(v), 6) as mean from lab group by label")(lambda s, d: m.label_statistics(vec(s, d), _labels(s, d)).select("label", "n", "least", "greatest", F.round("mean", 6).alias("mean")))
-_query("label_sizes", f"with {LAB} select label, count(*) as n, count(*) * 0.75 as size from lab group by label")(lambda s, d: m.label_sizes(_labels(s, d), vec_volume(s, d).withColumns({"sz": F.lit(1.5), "sy": F.lit(0.5), "sx": F.lit(1.0)})).select("label", "n", "size"))
+_query("label_sizes", f"with {LAB} select label, count(*) as n, cast(count(*) * 0.75 as double) as size from lab group by label")(lambda s, d: m.label_sizes(_labels(s, d), vec_volume(s, d).withColumns({"sz": F.lit(1.5), "sy": F.lit(0.5), "sx": F.lit(1.0)})).select("label", "n", "size"))
 _query("modal_label", f"with {LAB} select label from lab where v > 50 group by label order by count(*) desc, label limit 1")(lambda s, d: m.modal_label(_labels(s, d), m.threshold(vec(s, d), 51)).select("label"))
 _query("weighted_bincount", f"with {LAB} select label, cast(sum(case when v > 50 then 0 else 1 end) as bigint) as outside from lab group by label")(lambda s, d: m.outside_counts(_labels(s, d), m.threshold(vec(s, d), 51)).select("label", "outside"))
 _query("iou_dice", f"with {GRID}, a as ({_A}), b as ({_B}), n as (select (select count(*) from a) as a, (select count(*) from b) as b, (select count(*) from a semi join b using (z, y, x)) as c) select round(cast(c as double) / (a + b - c), 9) as iou, round(2.0 * c / (a + b), 9) as dice from n")(lambda s, d: m.overlap(_mask(s, d, 12), m.threshold(grid(s, d), None, 14)).select(F.round("iou", 9).alias("iou"), F.round("dice", 9).alias("dice")))

@@ -8,12 +8,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that are sent to Python at once, where the session has Spark's default of 10,000: texts are long.
+BATCH_ROWS = 2000
+
+
 def reach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it. A cluster without that folder gets it by --py-files."""
-    top = str(Path(__file__).resolve().parent.parent)
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    """Let Python workers import this package from where the driver has it, and give memory back when a batch is done.
+
+    A cluster without the driver's folder gets the package by --py-files.
+    """
+    top, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(":")
     if top not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = ":".join([*filter(None, paths), top])
+        env["PYTHONPATH"] = ":".join([*filter(None, paths), top])
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
