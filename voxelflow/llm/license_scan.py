@@ -2,15 +2,15 @@
 
 Words are anchored where they occur once in both; the longest increasing run of anchors is kept, and the gaps between them, and
 before and after, are aligned in the same way. The share of a template's words that are aligned is its coverage. A text may
-hold a license anywhere and several times, so it is aligned within the stretches whose words could cover the template: a
-stretch as long as the template and a half whose words, each counted as often as the template has it, reach the threshold.
-That bound is never below the coverage, so no license is missed by it; most texts fail it for all templates at once.
+hold a license anywhere and several times, so it is aligned within stretches whose words could cover the template: at most as long
+as the template and a half, with words that, each counted as often as the template has it, reach the threshold. That bound is never
+below the coverage; most texts fail it for all templates at once.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -122,29 +122,43 @@ class Scanner:
         counts = np.bincount(at[self.hashes[at] == hashed], minlength=len(self.hashes))
         return np.flatnonzero(np.minimum(self.table, counts).sum(axis=1) >= self.threshold * self.sizes)
 
-    def stretches(self, found: list[str], which: int) -> list[tuple[int, int]]:
-        """The stretches of a text, none overlapping, whose words could cover a template."""
+    def places(self, found: list[str], which: int) -> Iterator[tuple[int, int, int]]:
+        """(aligned words, first, last) of each place where a template is covered, none overlapping.
+
+        A stretch that ends where the bound is reached, with half a template more, is aligned; after a license the search goes on
+        behind it, else the stretch begins a word later.
+        """
         need, size = self.counts[which], len(self.words[which])
-        reach = size + size // 2 + 2
-        least = self.threshold * size
+        reach, least = size + size // 2 + 2, self.threshold * size
         inside: Counter = Counter()
-        have, a = 0, 0
-        out: list[list[int]] = []
+        have, a, k = 0, 0, 0
         spots = [i for i, w in enumerate(found) if w in need]
-        for k, i in enumerate(spots):
+
+        def leave() -> None:
+            nonlocal have, a
+            word = found[spots[a]]
+            have -= inside[word] <= need[word]
+            inside[word] -= 1
+            a += 1
+
+        while k < len(spots):
+            i = spots[k]
             inside[found[i]] += 1
             have += inside[found[i]] <= need[found[i]]
+            k += 1
             while spots[a] <= i - reach:
-                have -= inside[found[spots[a]]] <= need[found[spots[a]]]
-                inside[found[spots[a]]] -= 1
-                a += 1
-            if have >= least:
-                # one more license begins where the last stretch could already be covered without these words
-                if out and spots[a] < out[-1][1] and i - out[-1][0] < reach:
-                    out[-1][1] = i + 1
-                elif not out or spots[a] >= out[-1][1]:
-                    out.append([spots[a], i + 1])
-        return [(x, y) for x, y in out]
+                leave()
+            while have >= least:
+                start = spots[a]
+                pairs = align(found[start : i + size // 2 + 2], self.words[which])
+                if len(pairs) >= least:
+                    last = start + pairs[-1][0]
+                    yield len(pairs), start + pairs[0][0], last
+                    inside.clear()
+                    have, a = 0, bisect_right(spots, last)
+                    k = a
+                else:
+                    leave()
 
     def scan(self, text: str, hashed: np.ndarray) -> list[tuple[float, int, int, int]]:
         """(coverage, template, start, end) of each license found, in code points; the best at a place comes first."""
@@ -152,12 +166,7 @@ class Scanner:
         if not len(possible):
             return []
         found, spans = words(text)
-        out = []
-        for t in possible:
-            for a, b in self.stretches(found, t):
-                pairs = align(found[a:b], self.words[t])
-                if len(pairs) >= self.threshold * len(self.words[t]):
-                    out.append((len(pairs) / len(self.words[t]), int(t), spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1]))
+        out = [(n / len(self.words[t]), int(t), spans[a][0], spans[b][1]) for t in possible for n, a, b in self.places(found, t)]
         return sorted(out, key=lambda m: (-m[0], -len(self.words[m[1]]), self.names[m[1]], m[2]))
 
 
