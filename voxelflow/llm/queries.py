@@ -83,4 +83,19 @@ SQL: dict[str, str] = {
         g as (select *, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id,
                      count(*) over (partition by text_sha256) as group_size from d)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g""",
+    "op6_minhash_near_dedup": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+            from documents),
+        s as (
+            select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                                when len(words) > 0 then [array_to_string(words, ' ')] else [] end as shingles
+            from w),
+        n as (select doc_id, cast(len(shingles) as bigint) as n from s),
+        e as (select doc_id, unnest(shingles) as shingle from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+        link as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        walk(doc_id, l) as (select doc_id, doc_id from n union select link.b, walk.l from walk join link on link.a = walk.doc_id where walk.l < link.b),
+        least as (select doc_id, min(l) as component_id from walk group by doc_id)
+        select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join least using (doc_id)""",
 }
