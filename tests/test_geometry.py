@@ -10,6 +10,7 @@ from voxelflow.operators import branches as b, skeletons as s
 from voxelflow.operators.fronts import arrival_times
 from voxelflow.operators.hulls import hull_cells
 from voxelflow.operators.mixture import fit_histogram
+from voxelflow.operators.sweeps import shared_blobs, sweep
 
 
 def test_offsets():
@@ -151,3 +152,15 @@ def test_hull_facets():
     assert (p @ normals.T <= offsets + 1e-9).all()
     assert not (np.array([[9.0, 9, 9]]) @ normals.T <= offsets).all()
     assert g.facets(p[:3]) is None
+
+
+def test_sweep_follows_shrinking_blobs():
+    layer, small, wide = (np.zeros((9, 9), bool) for _ in range(3))
+    layer[2:5, 2:5] = small[3, 3] = wide[1:7, 1:7] = True
+    assert shared_blobs(layer, small).sum() == 1
+    assert shared_blobs(layer, wide).sum() == 0
+    assert shared_blobs(small, np.roll(small, 4, axis=0)).sum() == 0
+    mask = np.zeros((9, 9, 9), bool)
+    mask[4, 2:6, 2:6] = mask[5, 3:5, 3:5] = mask[6, 3, 3] = mask[8, 3, 3] = True
+    found = sweep(mask, (4, 8, 8))
+    assert found.sum() == 16 + 4 + 1 and not found[8].any()

@@ -10,6 +10,7 @@ from ..functions.geometry import between_endpoints, fit_ellipse, gauss_crossings
 from ..operators import branches, components as comp, fronts, graphs, hulls, masks as m, mixture, stencils
 from ..operators.skeletons import skeleton_graph, thin
 from ..operators.slabs import by_volume, dense, sparse
+from ..operators.sweeps import sweep_from_centre
 from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, grid, grid_volume, poly, vec, vec_volume, volume
 from . import pipelines
 from .mask_queries import GRID, NX, NY, NZ, VEC, labelled
@@ -263,6 +264,8 @@ def _skeleton_graph(s: SparkSession, d: str) -> DataFrame:
     return by_volume(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s), run, "src int, dst int, points int")
 
 
+_query("contour_sweep")(lambda s, d: _cells(sweep_from_centre(m.threshold(grid(s, d), 14), grid_volume(s))))
+
 # ---- pipelines on phantoms ------------------------------------------------------------------------------------------
 
 
