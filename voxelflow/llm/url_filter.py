@@ -83,8 +83,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) after `rounds` steps. seeds: host, allowed, blocked (page counts); edges: src, dst, weight."""
-    total = seeds.agg(F.greatest(F.sum("allowed"), F.lit(1)).alias("ta"), F.greatest(F.sum("blocked"), F.lit(1)).alias("tb"))
-    start = seeds.crossJoin(F.broadcast(total)).select("host", (F.col("allowed") / F.col("ta")).alias("s"), (F.col("blocked") / F.col("tb")).alias("z"))
+    allowed, blocked = seeds.agg(F.sum("allowed"), F.sum("blocked")).first()
+    start = seeds.select("host", (F.col("allowed") / (allowed or 1)).alias("s"), (F.col("blocked") / (blocked or 1)).alias("z"))
     start = stored(start.where("s > 0 or z > 0"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
