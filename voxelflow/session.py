@@ -22,6 +22,7 @@ def reach(spark: SparkSession) -> SparkSession:
     if top not in paths:
         env["PYTHONPATH"] = ":".join([*filter(None, paths), top])
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
