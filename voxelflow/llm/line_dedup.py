@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import stored, tidy
 from .words import mix
 
 #: Lines of fewer code points, without white space around, stay as they are.
@@ -34,6 +34,8 @@ EDITS = 2
 BINS = 32
 #: File entries that one task owns on average; members of a key that one task compares with as many others.
 PER_OWNER, BLOCK = 400_000, 1024
+#: Members of keys that one call takes on average, and pairs that it holds at once.
+PER_SHARD, PAIRS = 20_000, 1_000_000
 #: Documents whose lines are looked up by a broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 
@@ -205,7 +207,7 @@ def _exchange(owners: int, edits: int):
                 for side, (keys, line) in enumerate(segment_keys(lengths, np.cumsum(lengths) - lengths, prefix, edits)):
                     found[side].append((keys, ref[line]))
                     held += len(keys)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     held = 0
                     yield flush()
         yield flush()
@@ -235,27 +237,45 @@ def _meet(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
 
 
 def _partners(edits: int, every: bool):
-    """For each later line of a block the earliest partner that lengths and characters allow, or all of them."""
-
-    def partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        filed, probing = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if not len(filed) or not len(probing):
-            return pd.DataFrame({"later": [], "earlier": []}, dtype="int64")
-        fb, pb = (np.frombuffer(b"".join(x["bag"]), np.uint8).reshape(-1, BINS).astype(np.int16) for x in (filed, probing))
-        fr, pr, fo, po = filed["line"].to_numpy(), probing["line"].to_numpy(), filed["rank"].to_numpy(), probing["rank"].to_numpy()
-        less = (probing["length"].to_numpy()[:, None] - filed["length"].to_numpy()[None, :])
-        later, earlier, order = [], [], []
-        for i in range(len(probing)):
-            ok = np.flatnonzero((less[i] >= 0) & (less[i] <= edits) & (fr != pr[i]))
-            ok = ok[np.abs(fb[ok] - pb[i]).sum(axis=1) <= 2 * edits]
-            first = fo[ok] < po[i]
-            later += [*np.where(first, pr[i], fr[ok])]
-            earlier += [*np.where(first, fr[ok], pr[i])]
-            order += [*np.where(first, fo[ok], po[i])]
-        out = pd.DataFrame({"later": np.array(later, np.int64), "earlier": np.array(earlier, np.int64), "order": np.array(order, np.int64)})
-        if not every:
-            out = out.sort_values("order", kind="stable").drop_duplicates("later")
-        return out[["later", "earlier"]].drop_duplicates()
+    """For each later line the earliest partner under a key's block that lengths and characters allow, or all of them.
+
+    A group is a shard of many blocks, so that small ones cost no call each; pairs are taken PAIRS at a time.
+    """
+
+    def partners(rows: pa.Table) -> pa.Table:
+        key, i, j, side, line, rank, length = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "line", "rank", "length"))
+        order = np.lexsort((side, j, i, key))
+        key, i, j, side, line, rank, length = (x[order] for x in (key, i, j, side, line, rank, length))
+        bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(start, append=len(key))
+        filed = np.add.reduceat(side == 0, start)
+        total = filed * (size - filed)
+        start, filed, probing, total = (x[total > 0] for x in (start, filed, size - filed, total))
+        found = [np.zeros((3, 0), np.int64)]
+        ends = np.cumsum(total)
+        a = 0
+        while a < len(total):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - total[a] + PAIRS, "right")))
+            own = np.repeat(np.arange(a, b), total[a:b])
+            inside = np.arange(len(own)) - np.repeat(np.cumsum(total[a:b]) - total[a:b], total[a:b])
+            f, p = start[own] + inside // probing[own], start[own] + filed[own] + inside % probing[own]
+            less = length[p] - length[f]
+            ok = (less >= 0) & (less <= edits) & (line[f] != line[p])
+            f, p = f[ok], p[ok]
+            ok = np.abs(bags[f].astype(np.int16) - bags[p]).sum(axis=1) <= 2 * edits
+            f, p = f[ok], p[ok]
+            first = rank[f] < rank[p]
+            found.append(np.stack([np.where(first, line[p], line[f]), np.where(first, line[f], line[p]), np.where(first, rank[f], rank[p])]))
+            a = b
+        later, earlier, at = np.concatenate(found, axis=1)
+        order = np.lexsort((at, later))
+        later, earlier = later[order], earlier[order]
+        keep = np.ones(len(later), bool)
+        keep[1:] = (later[1:] != later[:-1]) | (every & (earlier[1:] != earlier[:-1]))
+        return pa.table({"later": later[keep], "earlier": earlier[keep]})
 
     return partners
 
@@ -303,19 +323,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
     spark, kind = docs.sparkSession, source.schema["id"].dataType
     fields = [T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("ref", T.LongType()), T.StructField("low", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("bag", T.BinaryType())]
-    lines = stored(source.mapInArrow(_lines, T.StructType(fields)))
+    lines = stored(source.mapInArrow(tidy(_lines), T.StructType(fields)))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "no")
     first = lines.groupBy("ref", "low").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "length", "bag")).alias("f"))
     first = stored(first.select("ref", "low", "c", "f.place", "f.length", "f.bag"))
 
     owners = 1 << max(4, (3 * first.count() // PER_OWNER).bit_length())
-    met = source.select("text").mapInArrow(_exchange(owners, edits), "owner int, side byte, keys binary, refs binary").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long")
+    met = source.select("text").mapInArrow(tidy(_exchange(owners, edits)), "owner int, side byte, keys binary, refs binary").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long")
     met = stored(met)
     # numbers for the lines that meet any other, in the order of their first places; a rank decides which of two is later
     known = met.select("ref").distinct().join(first, "ref").select("ref", "low", "place", "length", "bag")
     known = stored(known.withColumn("line", F.monotonically_increasing_id()))
     ranked = stored(_ranked(known.select("line", "place"), kind))
     known = known.join(ranked, "line")
+    shards = 1 + met.count() // PER_SHARD
     sizes = met.groupBy("key").agg(F.count("*").alias("c"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     members = (
@@ -324,7 +345,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("line"), F.ceil(F.col("c") / BLOCK)).cast("int")})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), "j": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))})
-        .select("key", "i", "j", "side", "line", "rank", "length", "bag")
+        .withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int"))
+        .select("shard", "key", "i", "j", "side", "line", "rank", "length", "bag")
     )
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -333,17 +355,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = stored(named.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_set(F.struct("line", F.col("place.no").alias("no"))).alias("wanted")))
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
         held = source.alias("s").join(wanted.alias("w"), F.col("s.id").eqNullSafe(F.col("w.id")) & (F.col("s.th") == F.col("w.th"))).select("s.text", "w.wanted")
-        content = held.mapInArrow(_pick, "line long, content string").groupBy("line").agg(F.min("content").alias("content"))
+        content = held.mapInArrow(tidy(_pick), "line long, content string").groupBy("line").agg(F.min("content").alias("content"))
         content = stored(content)
         joined = pairs.join(content.select(F.col("line").alias("later"), F.col("content").alias("x")), "later").join(content.select(F.col("line").alias("earlier"), F.col("content").alias("y")), "earlier")
-        return stored(joined.select("later", "earlier", "x", "y").mapInArrow(_measure(edits), "later long, earlier long, near boolean"))
+        return stored(joined.select("later", "earlier", "x", "y").mapInArrow(tidy(_measure(edits)), "later long, earlier long, near boolean"))
 
     pair = "later long, earlier long"
-    tried = measured(members.groupBy("key", "i", "j").applyInPandas(_partners(edits, False), pair).distinct())
+    tried = measured(members.groupBy("shard").applyInArrow(_partners(edits, False), pair).distinct())
     near = tried.where("near").select("later").distinct()
     open_lines = tried.select("later").distinct().join(near, "later", "left_anti").withColumnRenamed("later", "line")
     open_keys = members.join(open_lines, "line", "left_semi").select("key").distinct()
-    rest = members.join(open_keys, "key", "left_semi").groupBy("key", "i", "j").applyInPandas(_partners(edits, True), pair).distinct()
+    rest = members.join(open_keys, "key", "left_semi").groupBy("shard").applyInArrow(_partners(edits, True), pair).distinct()
     rest = rest.join(open_lines.withColumnRenamed("line", "later"), "later", "left_semi").join(tried, ["later", "earlier"], "left_anti")
     near = near.union(measured(rest).where("near").select("later")).distinct()
 
@@ -372,7 +394,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     joined = named.alias("a").join(stored(drop).alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left").select("a.id", "a.text", *[f"a.c{i}" for i in range(len(others))], "b.drop")
     kept = [f for f in joined.schema if f.name not in ("text", "drop")]
-    out = joined.mapInArrow(_rebuild, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    out = joined.mapInArrow(tidy(_rebuild), T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
     names = {"id": id_col, "text": text_col} | {f"c{i}": c for i, c in enumerate(others)}
     ordered = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     back = {v: k for k, v in names.items()}
