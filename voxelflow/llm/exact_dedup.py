@@ -23,7 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import SPACE, stored
+from .common import SPACE, stored, tidy
 
 #: Fingerprints that one owner takes on average.
 PER_OWNER = 1_000_000
@@ -157,9 +157,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType
-    rows = stored(source.mapInArrow(_fingerprints, T.StructType([T.StructField("part", T.LongType()), T.StructField("id", kind), T.StructField("fp", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("sha", T.StringType())])))
+    rows = stored(source.mapInArrow(tidy(_fingerprints), T.StructType([T.StructField("part", T.LongType()), T.StructField("id", kind), T.StructField("fp", T.LongType()), T.StructField("chars", T.LongType()), T.StructField("sha", T.StringType())])))
     owners = max(4, -(-rows.count() // PER_OWNER))
-    bitmaps = rows.select("part", "fp").mapInArrow(_messages(owners), "owner int, part long, code binary").groupBy("owner").applyInPandas(_answers(owners), "part long, owner int, bits binary")
+    bitmaps = rows.select("part", "fp").mapInArrow(tidy(_messages(owners)), "owner int, part long, code binary").groupBy("owner").applyInPandas(_answers(owners), "part long, owner int, bits binary")
     narrow = T.StructType([*(f for f in rows.schema if f.name != "part"), T.StructField("suspect", T.BooleanType())])
     marked = stored(rows.groupBy("part").cogroup(bitmaps.groupBy("part")).applyInArrow(_suspects(owners), narrow))
     suspects = marked.where("suspect")
@@ -167,7 +167,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashes = suspects.select("fp").distinct()
     if hashes.count() <= BROADCAST_HASHES:
         hashes = F.broadcast(hashes)
-    texts = source.select("text").mapInArrow(_texts, "fp long, raw binary").join(hashes, "fp", "left_semi")
+    texts = source.select("text").mapInArrow(tidy(_texts), "fp long, raw binary").join(hashes, "fp", "left_semi")
     classes = texts.groupBy("fp", "raw").count().select("fp", F.sha2("raw", 256).alias("sha"), F.col("count").alias("n"))
     best = suspects.groupBy("fp", "sha").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))).alias("best"))
     verified = classes.join(best, ["fp", "sha"]).select("fp", "sha", "n", F.col("best.id").alias("keep"))

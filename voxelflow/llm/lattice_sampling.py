@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
 from .words import mix
 
 #: Segmentations per text.
@@ -36,10 +37,10 @@ _LITERAL = ""  # stands for a literal ▁ in the lattice, which no piece hold
 _WORDS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+$")
 #: Words up to half this length have lattices of exactly their size; longer ones share those of a power of two.
 SHORT = 24
-#: Cells of lattices (16 bytes each) that a worker keeps.
-REMEMBERED = 12_000_000
+#: Cells of lattices (12 bytes each) that a worker keeps.
+REMEMBERED = 16_000_000
 #: Bytes of text that are sampled together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 
 
 class Vocabulary:
@@ -88,7 +89,7 @@ class Lattice:
     """Lattices of words of about one length: for each word and position the pieces that begin there, by length.
 
     take[w, p, n] is the log-probability, given that position p is reached, of taking the piece of n + 1 characters, and below the
-    sum of the probabilities up to it; piece is its number in the vocabulary, or the vocabulary's size plus the code of a character
+    sum of the probabilities up to it, in single precision; piece is its number in the vocabulary, or the vocabulary's size plus the code of a character
     that becomes bytes.
     """
 
@@ -102,43 +103,48 @@ def lattice(texts: list[str], width: int, v: Vocabulary) -> Lattice:
     """The lattices of words of at most `width` characters; one that no piece holds is one step of as many bytes."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     reach = min(v.longest, width)
-    codes = np.zeros((len(texts), width + reach), np.uint64)
+    codes = np.zeros((len(texts), width), np.uint64)
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts)), sizes)
     codes[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    weight = np.full((len(texts), width, reach), -np.inf)
+    weight = np.full((len(texts), width, reach), -np.inf, np.float32)
     piece = np.full((len(texts), width, reach), -1, np.int32)
     h = np.zeros((len(texts), width), np.uint64)
     at = np.arange(width)
     for n in range(reach):
-        h = h * _STEP + codes[:, n : n + width] + np.uint64(1)
-        real = np.flatnonzero((at + n < sizes[:, None]).ravel())
-        mixed = mix(h.ravel()[real])
-        maybe = v.filter[(mixed >> np.uint64(42)).astype(np.int64)]
-        real, mixed = real[maybe], mixed[maybe]
-        where = v.slots[(mixed >> np.uint64(42)).astype(np.int64)]
+        h = h[:, : width - n] * _STEP + codes[:, n:width] + np.uint64(1)  # past a word's end stands a character that no piece has
+        mixed = mix(h)
+        slot = (mixed >> np.uint64(42)).astype(np.int64)
+        row, place = np.nonzero(v.filter[slot])
+        slot, mixed = slot[row, place], mixed[row, place]
+        where = v.slots[slot]
         if (shared := where < 0).any():
             where[shared] = np.minimum(np.searchsorted(v.hashes, mixed[shared]), len(v.hashes) - 1)
         hit = v.hashes[where] == mixed
-        weight.reshape(-1, reach)[real[hit], n] = v.weights[where[hit]]
-        piece.reshape(-1, reach)[real[hit], n] = where[hit]
+        row, place, where = row[hit], place[hit], where[hit]
+        weight[row, place, n] = v.weights[where]
+        piece[row, place, n] = where
     bare = (piece[:, :, 0] < 0) & (at < sizes[:, None])
     if bare.any():
-        c = codes[:, :width][bare].astype(np.int64)
+        c = codes[bare].astype(np.int64)
         weight[:, :, 0][bare] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         piece[:, :, 0][bare] = len(v.ids) + c
-    back = np.full((len(texts), width + reach + 1), -np.inf)
+    back = np.full((len(texts), width + reach + 1), -np.inf, np.float32)
     back[np.arange(len(texts)), sizes] = 0
-    with np.errstate(invalid="ignore"):
-        for p in reversed(range(width)):
-            through = weight[:, p] + back[:, p + 1 : p + 1 + reach]
-            top = through.max(axis=1)
-            total = top + np.log(np.exp(through - top[:, None]).sum(axis=1))
-            inside = p < sizes
-            back[inside, p] = total[inside]
-            weight[:, p] = through - total[:, None]
-    weight[np.isnan(weight)] = -np.inf
-    return Lattice(sizes, weight.astype(np.float32), np.cumsum(np.exp(weight), axis=2), piece)
+    below = np.empty_like(weight)
+    for p in reversed(range(width)):
+        through = weight[:, p] + back[:, p + 1 : p + 1 + reach]
+        top = through.max(axis=1)
+        top[np.isneginf(top)] = 0  # past a word's end
+        share = np.exp(through - top[:, None])
+        np.cumsum(share, axis=1, out=share)
+        total = np.maximum(share[:, -1], np.float32(1e-30))
+        below[:, p] = share / total[:, None]
+        total = top + np.log(total)
+        inside = p < sizes
+        back[inside, p] = total[inside]
+        weight[:, p] = through - total[:, None]
+    return Lattice(sizes, weight, below, piece)
 
 
 def _uniform(key: np.ndarray, spot: np.ndarray, call: np.ndarray | int, step: int) -> np.ndarray:
@@ -153,8 +159,16 @@ def _gumbel(key: np.ndarray, spot: np.ndarray, call: int) -> np.ndarray:
 
 
 def split_words(text: str) -> list[str]:
-    """A text's words as the vocabulary writes them: a space stands before the text and before what follows each space."""
-    return _WORDS.findall(_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE)) if text else []
+    """A text's words as the vocabulary writes them, without the space that each begins with.
+
+    A space stands before the text and before what follows each space; of several the last one begins the word.
+    """
+    if not text:
+        return []
+    text = text.replace(_SPACE, _LITERAL)
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [w[1:] for w in _WORDS.findall(_SPACE + text.replace(" ", _SPACE))]
 
 
 def _width(size: int) -> int:
@@ -190,7 +204,7 @@ class Lattices:
 
     def learn(self) -> None:
         """Sum the lattices of the new words."""
-        new = self.known.new
+        new = [_SPACE + w for w in self.known.new]
         if not new:
             return
         first = len(self.known) - len(new)
@@ -215,7 +229,7 @@ class Lattices:
                 self.lattices[g] = old
             self.group[first + mine], self.row[first + mine] = g, self.used[g] + np.arange(len(mine))
             self.used[g] += len(mine)
-        new.clear()
+        self.known.new.clear()
 
 
 class Batch:
@@ -350,8 +364,11 @@ def sample_batch(batch: Batch, keys: np.ndarray, k: int) -> list[tuple[list[Samp
     queues: list[list[_Rest]] = [[] for _ in range(texts)]
     made = 0
 
-    def step(todo: list[tuple[int, int, Sample | None, tuple[int, ...], float, float]], call: int) -> list[Sample]:
-        """Complete segmentations: text, word, the sample that leads there, the choice at the word, its log-probability, the maximum."""
+    def step(todo: list[tuple[int, int, Sample | None, tuple[int, ...], float, float]], call: int, most: int) -> list[Sample]:
+        """Complete segmentations: text, word, the sample that leads there, the choice at the word, its log-probability, the maximum.
+
+        The `most` largest rests of each are queued: as many as can still be taken, and the one after.
+        """
         nonlocal made
         starts = [batch.ends[t] + w + (lead is not None) for t, w, lead, _, _, _ in todo]
         sizes = np.array([batch.ends[t[0] + 1] - a for t, a in zip(todo, starts, strict=True)], np.int64)
@@ -380,7 +397,7 @@ def sample_batch(batch: Batch, keys: np.ndarray, k: int) -> list[tuple[list[Samp
         before = run - np.repeat(run[np.minimum(first[:-1], len(run) - 1)], sizes) + starting[own]
         values = _below(before + _log_rest(logp), tops[own], _gumbel(key, spot, call))
         full = np.flatnonzero(sizes)
-        for _ in range(k + 1):  # only the k + 1 largest of a split can ever be taken
+        for _ in range(most):
             best = np.maximum.reduceat(values, first[:-1][full])
             at = np.flatnonzero((values == np.repeat(best, sizes[full])) & ~np.isneginf(values))
             if not len(at):
@@ -395,24 +412,30 @@ def sample_batch(batch: Batch, keys: np.ndarray, k: int) -> list[tuple[list[Samp
         return made_here
 
     tops = _gumbel(keys, np.full(texts, -1), 0)
-    for (found, _), s in zip(out, step([(t, 0, None, (), 0.0, float(tops[t])) for t in range(texts)], 1), strict=True):
+    for (found, _), s in zip(out, step([(t, 0, None, (), 0.0, float(tops[t])) for t in range(texts)], 1, k), strict=True):
         found.append(s)
     for r in range(1, k):
         todo = []
-        for t in range(texts):
-            if not queues[t]:
-                continue
-            rest = heapq.heappop(queues[t])
-            top, w, key = -rest.order, rest.word, int(keys[t])
-            choice, p = batch.draw_other(int(batch.word[batch.ends[t] + w]), rest.taken, key, w, 4 * r)
+        rests = [(t, heapq.heappop(queues[t])) for t in range(texts) if queues[t]]
+        at = np.array([t for t, _ in rests], np.int64)
+        spot = np.array([rest.word for _, rest in rests], np.int64)
+        # a draw that isn't taken yet is one of what is left; only the others are drawn from what is left step by step
+        pieces, counts, logs = batch.draw(batch.word[batch.ends[at] + spot], keys[at], spot, 4 * r + 2)
+        ends = np.cumsum(counts)
+        gumbels = _gumbel(keys[at], spot, 4 * r)
+        for i, (t, rest) in enumerate(rests):
+            top, w = -rest.order, rest.word
+            choice, p = tuple(pieces[ends[i] - counts[i] : ends[i]].tolist()), float(logs[i])
+            if choice in rest.taken:
+                choice, p = batch.draw_other(int(batch.word[batch.ends[t] + w]), rest.taken, int(keys[t]), w, 4 * r)
             taken = rest.taken | {choice: p}
             left = _log_rest(np.logaddexp.reduce(list(taken.values())))
             if not np.isneginf(left):
                 made += 1
-                value = float(_below(rest.sample.before[w] + left, top, _gumbel(keys[t : t + 1], np.array([w]), 4 * r)[0]))
+                value = float(_below(rest.sample.before[w] + left, top, gumbels[i]))
                 heapq.heappush(queues[t], _Rest(-value, made, w, rest.sample, taken))
             todo.append((t, w, rest.sample, choice, p, top))
-        for job, s in zip(todo, step(todo, 4 * r + 1), strict=True):
+        for job, s in zip(todo, step(todo, 4 * r + 1, k - r), strict=True):
             out[job[0]][0].append(s)
     return [(found, -queues[t][0].order if queues[t] else -np.inf) for t, (found, _) in enumerate(out)]
 
@@ -465,7 +488,7 @@ def _sampled(docs: DataFrame, tokenizer: str | None, k: int, alpha: float, seed:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("sample", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("log_prob", "perturbed", "inclusion"))]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if full else [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decodes", T.BooleanType())]
-    return source.mapInArrow(_sample_rows(tokenizer, k, alpha, full), T.StructType(fields)).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(_sample_rows(tokenizer, k, alpha, full)), T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def sample_segmentations(docs: DataFrame, tokenizer: str | None = None, k: int = SAMPLES, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,4 +521,4 @@ def decode(samples: DataFrame, tokenizer: str | None = None, ids_col: str = "ids
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
     kept = samples.drop("text")
-    return kept.mapInArrow(rows, T.StructType([*kept.schema, T.StructField("text", T.StringType())]))
+    return kept.mapInArrow(tidy(rows), T.StructType([*kept.schema, T.StructField("text", T.StringType())]))

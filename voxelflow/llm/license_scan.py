@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
 from .words import PLAIN, word_hashes
 
 #: Names and wording of licenses and of the lines that refer to them.
@@ -196,4 +197,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_matches", T.LongType()), T.StructField("matches", T.StringType())]
-    return source.mapInArrow(_scan(Scanner(templates, threshold)), T.StructType(fields)).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(_scan(Scanner(templates, threshold))), T.StructType(fields)).withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import stored, tidy
 from .components import components
 from .words import mix, shingle_set, word_hashes
 
@@ -158,9 +158,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text", F.coalesce("text", F.lit("")))
     kind = source.schema["id"].dataType
-    rows = stored(source.mapInArrow(_signatures, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("name", T.BinaryType())])))
+    rows = stored(source.mapInArrow(tidy(_signatures), T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("name", T.BinaryType())])))
     classes = stored(rows.where("n > 0").groupBy("digest", "sig", "n").agg(F.min("row").alias("cid")).join(rows.select(F.col("row").alias("cid"), "name"), "cid"))
-    filed = classes.select("cid", "sig").mapInArrow(_keys, "key long, cid long")
+    filed = classes.select("cid", "sig").mapInArrow(tidy(_keys), "key long, cid long")
     crowds = filed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     crowded = stored(filed.join(crowds, "key").select("key", "cid", "c"))
     shared = crowded.drop("c")
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one text for each class: only texts that are compared are moved, found by their hashes
     texts = source.select(names.alias("name"), "text").join(found, "name").groupBy("cid", "text").agg(F.lit(1)).select("cid", "text")
     joined = pairs.join(texts.select(F.col("cid").alias("hub"), F.col("text").alias("x")), "hub").join(texts.select("cid", F.col("text").alias("y")), "cid")
-    apart = stored(joined.select("hub", "cid", "x", "y").mapInArrow(_compare, "hub long, cid long, both long, either long, lacks binary, adds binary"))
+    apart = stored(joined.select("hub", "cid", "x", "y").mapInArrow(tidy(_compare), "hub long, cid long, both long, either long, lacks binary, adds binary"))
     links = apart.where(f"100 * both >= {percent} * either").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     joined = components(links)
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import stored
+from .common import KEPT, stored, tidy
 
 CAPACITY = 2048
 #: Parts in which the pieces of one length are ranked.
@@ -125,6 +125,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+KEPT["packing"] = _encoders.clear
 
 
 def encoder(path: str) -> WordEncoder:
@@ -258,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]
-    pieces = stored(source.mapInArrow(_pieces(tokenizer, capacity), T.StructType(fields)))
+    pieces = stored(source.mapInArrow(tidy(_pieces(tokenizer, capacity), "packing"), T.StructType(fields)))
 
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     counted = [tuple(r) for r in dealt.groupBy("length", "part").count().collect()]  # at most capacity * PARTS rows
@@ -271,5 +272,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     offsets = docs.sparkSession.createDataFrame(before, "length long, part int, before long")
     order = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    placed = ranked.mapInArrow(_place(plan), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    placed = ranked.mapInArrow(tidy(_place(plan)), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     return placed.withColumnRenamed("id", id_col)

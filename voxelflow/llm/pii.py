@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
 from .tagger import DIGIT, KINDS, Tagger, classes, luhn, trained
 
 WINDOW, MARGIN = 96, 16
@@ -192,9 +193,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [T.StructField("id", source.schema["id"].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    return source.mapInArrow(_find(trained(), False), T.StructType(fields)).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(_find(trained(), False)), T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """`docs`, all its columns, with personal data in `text` replaced by its kind, as [EMAIL]; a null text stays null."""
-    return docs.mapInArrow(_find(trained(), True), docs.schema)
+    return docs.mapInArrow(tidy(_find(trained(), True)), docs.schema)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import tidy
 from .words import PLAIN, word_features
 
 #: Labelled rows that the model is fitted to at most, and words that it knows at most.
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     picked = picked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("text", "toxic")
-    rows = texts.mapInArrow(_hashed, "words binary, toxic int").orderBy(F.xxhash64("words"), "toxic").limit(2 * SAMPLE).collect()
+    rows = texts.mapInArrow(tidy(_hashed), "words binary, toxic int").orderBy(F.xxhash64("words"), "toxic").limit(2 * SAMPLE).collect()
     return fit([(np.frombuffer(r["words"], np.uint64).reshape(1 + len(BEGINNINGS), -1), r["toxic"]) for r in rows])
 
 
@@ -157,7 +158,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [*source.schema, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
-    return source.mapInArrow(_without_text(_scores(model)), T.StructType([f for f in fields if f.name != "text"])).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(_without_text(_scores(model))), T.StructType([f for f in fields if f.name != "text"])).withColumnRenamed("id", id_col)
 
 
 def _without_text(step):
@@ -176,4 +177,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([model.features(w) for w in word_features(batch.column("text"), PLAIN, BEGINNINGS)]).reshape(batch.num_rows, -1)
             yield batch.filter(pa.array(model.above(x)[:, 0] < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
