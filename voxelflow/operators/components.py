@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.offsets import neighbours
-from ..session import stored
+from ..session import settled, stored
 from .masks import KEYS, best_label, label_sizes, lookup, minus, modal_label, outside_counts, overlap_by_label, union, with_label
 from .slabs import DEPTH
 
@@ -49,13 +49,13 @@ def local_labels(z: np.ndarray, y: np.ndarray, x: np.ndarray, ny: int, nx: int,
     return linear[order][out]
 
 
-def _roots(links: DataFrame) -> DataFrame:
+def label_roots(links: DataFrame) -> DataFrame:
     """(volume_id, node, root) of links (volume_id, a, b): the smallest label passed along links, with a jump to the root's root."""
-    both = stored(links.select("volume_id", "a", "b").unionByName(links.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = settled(links.select("volume_id", "a", "b").unionByName(links.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = both.groupBy("volume_id", F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     before = None
     while True:
-        roots = stored(roots)
+        roots = settled(roots)
         now = roots.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return roots
@@ -87,7 +87,7 @@ def label(mask: DataFrame, volumes: DataFrame, connectivity: int = 6, depth: int
     links = stored(up.join(down, KEYS).select("volume_id", "a", "b").distinct())
     if links.isEmpty():
         return local
-    roots = _roots(links).withColumnRenamed("node", "label")
+    roots = label_roots(links).withColumnRenamed("node", "label")
     return local.join(roots, ["volume_id", "label"], "left").select(*KEYS, F.coalesce("root", "label").alias("label"))
 
 

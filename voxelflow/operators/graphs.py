@@ -11,7 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import stored
+from ..session import settled, stored
+from .components import label_roots
 from .slabs import DEPTH
 
 
@@ -59,19 +60,19 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def levels_by_join(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, dist, parent): as `levels`, for graphs of any size."""
-    links = stored(both_ways(edges))
-    front = stored(top_nodes(nodes).select("graph_id", "node_id", F.lit(0).alias("dist"), F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("parent")))
+    links = settled(both_ways(edges))
+    front = settled(top_nodes(nodes).select("graph_id", "node_id", F.lit(0).alias("dist"), F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("parent")))
     seen = front
     step = 0
     while not front.isEmpty():
         step += 1
         ahead = front.select("graph_id", F.col("node_id").alias("src")).join(links, ["graph_id", "src"])
         fresh = ahead.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.lit(step).alias("dist"), F.min("src").alias("parent"))
-        front = stored(fresh.join(seen.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti"))
+        front = settled(fresh.join(seen.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti"))
         seen = seen.unionByName(front)
         if step % 8 == 0:
-            seen = stored(seen)
-    return stored(seen)
+            seen = settled(seen)
+    return settled(seen)
 
 
 def node_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,17 +107,9 @@ def edge_thickness(edges: DataFrame, order: DataFrame, thickness: DataFrame) ->
 
 def largest_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id) of the connected part with most nodes; of several the one with the smallest node."""
-    links = stored(both_ways(edges))
-    roots = nodes.select("graph_id", "node_id", F.col("node_id").alias("root"))
-    before = None
-    while True:
-        roots = stored(roots)
-        now = roots.groupBy().agg(F.sum(F.xxhash64("node_id", "root").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-        near = links.join(roots.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node_id"), "root")
-        roots = near.unionByName(roots).groupBy("graph_id", "node_id").agg(F.min("root").alias("root"))
+    links = edges.select(F.col("graph_id").alias("volume_id"), F.col("src").alias("a"), F.col("dst").alias("b")).where("a != b")
+    joined = label_roots(links).select(F.col("volume_id").alias("graph_id"), F.col("node").alias("node_id"), "root")
+    roots = stored(nodes.select("graph_id", "node_id").join(joined, ["graph_id", "node_id"], "left").withColumn("root", F.coalesce("root", "node_id")))
     sizes = roots.groupBy("graph_id", "root").agg(F.count("*").alias("n"))
     best = sizes.groupBy("graph_id").agg(F.min(F.struct(-F.col("n"), "root")).alias("m")).select("graph_id", "m.root")
     return roots.join(best, ["graph_id", "root"], "left_semi").select("graph_id", "node_id")

@@ -34,3 +34,14 @@ def stored(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`stored`, for a table that a loop joins again and again: without the size that Spark has estimated for it.
+
+    A stored table keeps its estimate; each join multiplies estimates, so that in a loop their digits double every round and
+    planning takes ever longer. Sizes at run time still choose the joins.
+    """
+    spark, kept = df.sparkSession, stored(df)
+    rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(rows, spark)
