@@ -152,3 +152,12 @@ def test_lines_odd(docs):
     assert Counter(x.text for x in rows if x.text is None or len(x.text) < 30) == Counter(t for _, t in ODD if t is None or len(t) < 30)
     again = li.without_repeated_lines(docs([(1, "a\n" + "y" * 40), (2, "y" * 39 + "\nb"), (None, "y" * 41)]))
     assert {x.doc_id: x.text for x in again.collect()} == {1: "a\n" + "y" * 40, 2: "b", None: ""}
+
+
+def test_components_take_few_rounds_of_planning(spark):
+    """A chain of 3,000 nodes in random order."""
+    r = random.Random(9)
+    names = r.sample(range(10**6), 3000)
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    got = components(links).collect()
+    assert len(got) == 3000 and {x.root for x in got} == {min(names)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from ..session import settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star steps alternate until the links are stars. A step sends each node its smallest neighbour by an
     aggregate that is combined before the shuffle, and a join that Spark can split where one node has most of the links.
     """
-    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    nodes = stored(edges.select("u").union(edges.select("v")).distinct())
+    edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    nodes = settled(edges.select("u").union(edges.select("v")).distinct())
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -22,10 +22,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = stored(small.where("u > v").distinct())
+        edges = settled(small.where("u > v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return stored(nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("root")))
+    return settled(nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("root")))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settled
 from .common import stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,7 +98,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
         moved = scores.join(steps, "host").select(F.col("to").alias("host"), (damping * F.col("t") * F.col("f")).alias("t"), (damping * F.col("d") * F.col("b")).alias("d"))
         scores = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         if i % 4 == 3:
-            scores = stored(scores)
+            scores = settled(scores)
     return scores.select("host", F.round("t", 12).alias("trust"), F.round("d", 12).alias("distrust"))
 
 
