@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from pathlib import Path
 
@@ -45,3 +46,12 @@ def settled(df: DataFrame) -> DataFrame:
     spark, kept = df.sparkSession, stored(df)
     rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
     return DataFrame(rows, spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files and stored tables that nothing refers to any more.
+
+    Spark deletes them when the driver's garbage is collected, which on a large driver may be long after a loop has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
