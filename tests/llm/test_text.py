@@ -134,7 +134,7 @@ def every(text, v):
                 for rest, p in walk(s[n:]):
                     yield (s[:n], *rest), table[s[:n]] + p
 
-    found = {pieces: p for word in [ls.split_words(text)] for pieces, p in _product([list(walk(w)) for w in word])}
+    found = {pieces: p for word in [ls.split_words(text)] for pieces, p in _product([list(walk("▁" + w)) for w in word])}
     total = np.logaddexp.reduce(list(found.values()))
     return {k: math.exp(p - total) for k, p in found.items()}
 
@@ -175,6 +175,8 @@ def test_all_segmentations_come_before_the_end():
 def test_segmentations_decode(docs):
     rows = [(i, t) for i, t in enumerate(["Hello  world\n a\tb  ", "  lead", "é 漢字 😀", "▁ literal ▁▁", "word " * 40, "q" * 90])]
     out = ls.decode(ls.sample_segmentations(docs(rows), k=3)).collect()
+    model = ls.vocabulary(PATH, 1.0).model
+    assert all(x.text == model.decode(list(x.ids)) for x in out if "▁" not in x.text)
     assert all(x.text == dict(rows)[x.doc_id] for x in out)
     assert all(0 <= x.inclusion <= 1 and x.log_prob <= 0 for x in out)
     ids = Counter((x.doc_id, tuple(x.ids)) for x in out)

@@ -35,10 +35,8 @@ SAMPLES = 2
 _SPACE = "▁"
 _LITERAL = ""  # stands for a literal ▁ in the lattice, which no piece holds: it becomes bytes
 _WORDS = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+$")
-#: Words up to half this length have lattices of exactly their size; longer ones share those of a power of two.
-SHORT = 24
-#: Cells of lattices (12 bytes each) that a worker keeps.
-REMEMBERED = 16_000_000
+#: Edges of lattices (18 bytes each) that a worker keeps.
+REMEMBERED = 8_000_000
 #: Bytes of text that are sampled together.
 TOGETHER = 1 << 21
 
@@ -66,16 +64,31 @@ class Vocabulary:
         self.slots[slot[1:][slot[1:] == slot[:-1]]] = -1
         self.bytes = np.array([self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.byte_weight = -alpha * np.log(size + offset)
+        surfaces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(map(self.model.id_to_piece, range(size)))]
+        self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.surface_size = np.fromiter(map(len, surfaces), np.int64, size)
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
 
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 text of each sequence of ids, without the space that stands before it."""
+        if not ids:
+            return []
+        flat = np.concatenate(ids)
+        sizes = self.surface_size[flat]
+        ends = np.cumsum(sizes)
+        text = self.surface[np.repeat(self.surface_start[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [text[a + (text[a : a + 1] == b" ") : b] if a < b else b"" for a, b in zip(cuts, cuts[1:])]
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 def _code(piece: str) -> int:
     h = 0
     for c in piece:
         h = (h * int(_STEP) + ord(c) + 1) & ((1 << 64) - 1)
-    return int(mix(np.array([h], np.uint64))[0])
+    return h * int(_SPREAD) & ((1 << 64) - 1)
 
 
 @functools.cache
@@ -85,66 +98,80 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 @dataclass
-class Lattice:
-    """Lattices of words of about one length: for each word and position the pieces that begin there, by length.
+class Edges:
+    """Lattices of words laid end to end. A node is a character of a word; its edges are the pieces that begin there, the longest first.
 
-    take[w, p, n] is the log-probability, given that position p is reached, of taking the piece of n + 1 characters, and below the
-    sum of the probabilities up to it, in single precision; piece is its number in the vocabulary, or the vocabulary's size plus the code of a character
-    that becomes bytes.
+    first[node] is the node's first edge. An edge has its piece (a number in the vocabulary, or the vocabulary's size plus the code of
+    a character that becomes bytes), its length, the log-probability of taking it where its node is reached, and the sum of
+    the probabilities of the node's edges up to it, which for the last one is infinite.
     """
 
-    sizes: np.ndarray
-    take: np.ndarray
-    below: np.ndarray
+    first: np.ndarray
     piece: np.ndarray
+    length: np.ndarray
+    logp: np.ndarray
+    below: np.ndarray
 
 
-def lattice(texts: list[str], width: int, v: Vocabulary) -> Lattice:
-    """The lattices of words of at most `width` characters; one that no piece holds is one step of as many bytes."""
+def lattice(texts: list[str], v: Vocabulary) -> Edges:
+    """The lattices of words; a character that no piece holds is one step of as many bytes."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    reach = min(v.longest, width)
-    codes = np.zeros((len(texts), width), np.uint64)
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    codes[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    weight = np.full((len(texts), width, reach), -np.inf, np.float32)
-    piece = np.full((len(texts), width, reach), -1, np.int32)
-    h = np.zeros((len(texts), width), np.uint64)
-    at = np.arange(width)
-    for n in range(reach):
-        h = h[:, : width - n] * _STEP + codes[:, n:width] + np.uint64(1)  # past a word's end stands a character that no piece has
-        mixed = mix(h)
-        slot = (mixed >> np.uint64(42)).astype(np.int64)
-        row, place = np.nonzero(v.filter[slot])
-        slot, mixed = slot[row, place], mixed[row, place]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from a node to its word's end
+    node, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    found = []
+    for n in range(v.longest):
+        if n:
+            more = left[node] > n
+            node, h = node[more], h[more]
+        if not len(node):
+            break
+        h = h * _STEP + codes[node + n] + np.uint64(1)
+        spread = h * _SPREAD
+        slot = (spread >> np.uint64(42)).astype(np.int64)
+        maybe = np.flatnonzero(v.filter[slot])
+        slot, mixed = slot[maybe], spread[maybe]
         where = v.slots[slot]
         if (shared := where < 0).any():
             where[shared] = np.minimum(np.searchsorted(v.hashes, mixed[shared]), len(v.hashes) - 1)
         hit = v.hashes[where] == mixed
-        row, place, where = row[hit], place[hit], where[hit]
-        weight[row, place, n] = v.weights[where]
-        piece[row, place, n] = where
-    bare = (piece[:, :, 0] < 0) & (at < sizes[:, None])
-    if bare.any():
-        c = codes[bare].astype(np.int64)
-        weight[:, :, 0][bare] = v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        piece[:, :, 0][bare] = len(v.ids) + c
-    back = np.full((len(texts), width + reach + 1), -np.inf, np.float32)
-    back[np.arange(len(texts)), sizes] = 0
-    below = np.empty_like(weight)
-    for p in reversed(range(width)):
-        through = weight[:, p] + back[:, p + 1 : p + 1 + reach]
-        top = through.max(axis=1)
-        top[np.isneginf(top)] = 0  # past a word's end
-        share = np.exp(through - top[:, None])
-        np.cumsum(share, axis=1, out=share)
-        total = np.maximum(share[:, -1], np.float32(1e-30))
-        below[:, p] = share / total[:, None]
-        total = top + np.log(total)
-        inside = p < sizes
-        back[inside, p] = total[inside]
-        weight[:, p] = through - total[:, None]
-    return Lattice(sizes, weight, below, piece)
+        at, where = node[maybe[hit]], where[hit]
+        found.append((at, where.astype(np.int64), np.full(len(at), n + 1, np.int64), v.weights[where]))
+        if n == 0:
+            bare = np.ones(len(codes), bool)
+            bare[at] = False
+            at = np.flatnonzero(bare)
+            c = codes[at].astype(np.int64)
+            found.append((at, len(v.ids) + c, np.ones(len(at), np.int64), v.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
+    at, piece, length, weight = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+    order = np.argsort(at, kind="stable")
+    away = left[at[order]]
+    order = order[np.argsort(away.astype(np.uint16) if away.max(initial=0) < 1 << 16 else away, kind="stable")]  # nodes nearer to their word's end come first
+    at, piece, length, weight = at[order], piece[order], length[order], weight[order]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    starts = np.flatnonzero(new)
+    first = np.zeros(len(codes), np.int64)
+    first[at[starts]] = starts
+    rest = left[at] - length
+    back = np.zeros(len(codes) + 1)  # log-sums from a node to its word's end
+    target = np.where(rest > 0, at + length, len(codes))
+    logp = np.empty(len(at))
+    steps = left[at[starts]]
+    cuts = np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1], [True]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = starts[a:b]
+        stop = starts[b] if b < len(starts) else len(at)
+        through = weight[own[0] : stop] + back[target[own[0] : stop]]
+        count = np.diff(own, append=stop)
+        top = np.maximum.reduceat(through, own - own[0])
+        total = top + np.log(np.add.reduceat(np.exp(through - np.repeat(top, count)), own - own[0]))
+        back[at[own]] = total
+        logp[own[0] : stop] = through - np.repeat(total, count)
+    share = np.cumsum(np.exp(logp))
+    below = share - np.repeat(share[starts] - np.exp(logp[starts]), np.diff(starts, append=len(at)))
+    below[np.append(starts[1:], len(at)) - 1] = np.inf
+    return Edges(first, piece.astype(np.int32), length.astype(np.int16), logp.astype(np.float32), below)
 
 
 def _uniform(key: np.ndarray, spot: np.ndarray, call: np.ndarray | int, step: int) -> np.ndarray:
@@ -171,11 +198,6 @@ def split_words(text: str) -> list[str]:
     return [w[1:] for w in _WORDS.findall(_SPACE + text.replace(" ", _SPACE))]
 
 
-def _width(size: int) -> int:
-    """Words of one width share arrays: each length up to SHORT / 2 is one, then each power of two."""
-    return size if size <= SHORT // 2 else 1 << (size - 1).bit_length()
-
-
 class _Known(dict):
     """Numbers of words; a new word gets the next one and is noted."""
 
@@ -189,46 +211,38 @@ class _Known(dict):
 
 
 class Lattices:
-    """The lattices of the words that a worker has met, up to REMEMBERED cells; past that it starts afresh."""
+    """The lattices of the words that a worker has met, up to REMEMBERED edges; past that it starts afresh."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.cells = _Known(), 0
-        self.group, self.row = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.widths: dict[int, int] = {}
-        self.lattices: list[Lattice] = []
-        self.used: list[int] = []
+        self.known = _Known()
+        self.begin = np.zeros(1, np.int64)  # a word's first node, and behind the last word the next one's
+        self.edges = Edges(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.float32), np.zeros(0))
+        self.nodes = self.used = 0
 
     def learn(self) -> None:
         """Sum the lattices of the new words."""
         new = [_SPACE + w for w in self.known.new]
         if not new:
             return
-        first = len(self.known) - len(new)
-        while len(self.known) > len(self.group):
-            self.group, self.row = np.resize(self.group, 2 * len(self.group)), np.resize(self.row, 2 * len(self.row))
-        widths = np.fromiter((_width(len(w)) for w in new), np.int64, len(new))
-        names = np.array(new, object)
-        for width in np.unique(widths).tolist():
-            mine = np.flatnonzero(widths == width)
-            made = lattice(names[mine].tolist(), width, self.v)
-            self.cells += made.take.size
-            g = self.widths.setdefault(width, len(self.widths))
-            if g == len(self.lattices):
-                self.lattices.append(made)
-                self.used.append(0)
-            else:
-                old, n = self.lattices[g], self.used[g]
-                while n + len(mine) > len(old.sizes):
-                    old = Lattice(*(np.concatenate([x, np.empty_like(x)]) for x in (old.sizes, old.take, old.below, old.piece)))
-                for x, y in ((old.sizes, made.sizes), (old.take, made.take), (old.below, made.below), (old.piece, made.piece)):
-                    x[n : n + len(mine)] = y
-                self.lattices[g] = old
-            self.group[first + mine], self.row[first + mine] = g, self.used[g] + np.arange(len(mine))
-            self.used[g] += len(mine)
+        made = lattice(new, self.v)
+        made.first += self.used
+        old, nodes, used = self.edges, self.nodes + len(made.first), self.used + len(made.piece)
+        if nodes > len(old.first):
+            old.first = np.concatenate([old.first, np.empty(nodes, np.int64)])
+        if used > len(old.piece):
+            for name in ("piece", "length", "logp", "below"):
+                x = getattr(old, name)
+                setattr(old, name, np.concatenate([x, np.empty(used, x.dtype)]))
+        old.first[self.nodes : nodes] = made.first
+        for name in ("piece", "length", "logp", "below"):
+            getattr(old, name)[self.used : used] = getattr(made, name)
+        ends = self.nodes + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        self.begin = np.concatenate([self.begin, ends])
+        self.nodes, self.used = nodes, used
         self.known.new.clear()
 
 
@@ -236,68 +250,61 @@ class Batch:
     """The words of some texts, with their lattices."""
 
     def __init__(self, texts: list[list[str]], lattices: Lattices):
-        if lattices.cells > REMEMBERED:
+        if lattices.used > REMEMBERED:
             lattices.forget()
         self.v = lattices.v
         self.ends = np.cumsum([0, *map(len, texts)])
         self.word = np.fromiter(map(lattices.known.__getitem__, chain.from_iterable(texts)), np.int64, self.ends[-1])
         lattices.learn()
-        self.group, self.row, self.lattices = lattices.group, lattices.row, lattices.lattices
+        self.begin, self.edges = lattices.begin, lattices.edges
 
     def draw(self, words: np.ndarray, key: np.ndarray, spot: np.ndarray, call: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each word by forward sampling: pieces of all in order, how many each has, log-probabilities."""
         logp, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        group = self.group[words]
-        found = []
-        for g, lat in enumerate(self.lattices):
-            mine = np.flatnonzero(group == g)
-            if not len(mine):
-                continue
-            rows, k, s = self.row[words[mine]], key[mine], spot[mine]
-            left = lat.sizes[rows]
-            at, live, step = np.zeros(len(mine), np.int64), np.arange(len(mine)), 0
-            reach = lat.take.shape[2]
-            below, take, piece = lat.below.reshape(-1, reach), lat.take.reshape(-1, reach), lat.piece.reshape(-1, reach)
-            while len(live):
-                cell = rows[live] * lat.take.shape[1] + at[live]
-                n = (below[cell] < _uniform(k[live], s[live], call, step)[:, None]).sum(axis=1)
-                if (over := n >= reach).any():  # the sum ended a rounding short of one
-                    n[over] = reach - 1 - np.isfinite(take[cell[over]])[:, ::-1].argmax(axis=1)
-                chosen = mine[live]
-                logp[chosen] += take[cell, n]
-                found.append((chosen, np.full(len(live), step), piece[cell, n]))
-                count[chosen] += 1
-                at[live] += n + 1
-                live = live[at[live] < left[live]]
-                step += 1
+        node, end = self.begin[words], self.begin[words + 1]
+        live, found = np.arange(len(words)), []
+        while len(live):
+            edge = self.edges.first[node]
+            u = _uniform(key[live], spot[live], call, len(found))
+            todo = np.flatnonzero(self.edges.below[edge] < u)
+            while len(todo):
+                edge[todo] += 1
+                todo = todo[self.edges.below[edge[todo]] < u[todo]]
+            logp[live] += self.edges.logp[edge]
+            count[live] += 1
+            found.append((live, self.edges.piece[edge]))
+            node = node + self.edges.length[edge]
+            more = node < end
+            live, node, end = live[more], node[more], end[more]
         first = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int64)
-        for chosen, step, pieces in found:
+        for step, (chosen, pieces) in enumerate(found):
             out[first[chosen] + step] = pieces
         return out, count, logp
 
     def draw_other(self, word: int, taken: dict[tuple[int, ...], float], key: int, spot: int, call: int) -> tuple[tuple[int, ...], float]:
         """A segmentation of a word among those that aren't `taken` (pieces: log-probability), by what is left below each step."""
-        lat, row = self.lattices[self.group[word]], self.row[word]
         path: list[int] = []
-        logp, at, step = 0.0, 0, 0
-        while at < lat.sizes[row]:
-            steps = np.flatnonzero(np.isfinite(lat.take[row, at]))
-            pieces = lat.piece[row, at, steps].tolist()
-            mass = np.exp(logp + lat.take[row, at, steps].astype(np.float64))
+        logp, node, end, step = 0.0, int(self.begin[word]), int(self.begin[word + 1]), 0
+        while node < end:
+            a = b = int(self.edges.first[node])
+            while not np.isinf(self.edges.below[b]):
+                b += 1
+            pieces, steps = self.edges.piece[a : b + 1].tolist(), self.edges.length[a : b + 1].tolist()
+            mass = np.exp(logp + self.edges.logp[a : b + 1].astype(np.float64))
             for t, p in taken.items():
                 if list(t[: len(path)]) == path and t[len(path)] in pieces:
                     mass[pieces.index(t[len(path)])] -= np.exp(p)
             mass = np.maximum(mass, 0)
             for i, x in enumerate(pieces):  # what is taken is gone, whatever rounding left of it
-                if tuple([*path, x]) in taken and at + steps[i] + 1 == lat.sizes[row]:
+                if tuple([*path, x]) in taken and node + steps[i] == end:
                     mass[i] = 0
             total = np.cumsum(mass)
             u = float(_uniform(np.array([key], np.uint64), np.array([spot]), call, step)[0]) * total[-1]
             i = min(int(np.searchsorted(total, u)), len(total) - 1)
             path.append(pieces[i])
-            logp += float(lat.take[row, at, steps[i]])
-            at += int(steps[i]) + 1
+            logp += float(self.edges.logp[a + i])
+            node += steps[i]
             step += 1
         return tuple(path), logp
 
@@ -461,8 +468,8 @@ def _sample_rows(path: str, k: int, alpha: float, full: bool):
             if full:
                 yield pa.record_batch([part.column("id").take(take), pa.array(rank, pa.int32()), pa.array(logs), pa.array(values), pa.array(scores), pa.array(ids, pa.list_(pa.int32()))], ["id", "sample", "log_prob", "perturbed", "inclusion", "ids"])
             else:
-                decoded = v.model.decode([x.tolist() for x in ids])
-                same = [d == texts[i] for d, i in zip(decoded, row, strict=True)]
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+                same = [d == raw[i] for d, i in zip(v.decode(ids), row, strict=True)]
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                 yield pa.record_batch([part.column("id").take(take), pa.array(rank, pa.int32()), pa.array(np.round(logs, 6)), pa.array(np.round(values, 6)), pa.array(np.round(scores, 9)), pa.array(list(map(len, ids)), pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["id", "sample", "log_prob", "perturbed", "inclusion", "n_pieces", "ids_crc32", "decodes"])
 
@@ -517,7 +524,7 @@ def decode(samples: DataFrame, tokenizer: str | None = None, ids_col: str = "ids
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(tokenizer, 1.0)
         for batch in batches:
-            texts = [None if x is None else v.model.decode(x) for x in batch.column(ids_col).to_pylist()]
+            texts = [None if x is None else v.decode([np.array(x, np.int64)])[0].decode("utf-8", "replace") for x in batch.column(ids_col).to_pylist()]
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
     kept = samples.drop("text")
