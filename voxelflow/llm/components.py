@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import settled
+from ..session import release, settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,5 +27,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+        release(links.sparkSession)
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return settled(nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("root")))

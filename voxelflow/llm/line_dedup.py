@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import release
 from .common import stored, tidy
 from .words import mix
 
@@ -331,11 +332,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owners = 1 << max(4, (3 * first.count() // PER_OWNER).bit_length())
     met = source.select("text").mapInArrow(tidy(_exchange(owners, edits)), "owner int, side byte, keys binary, refs binary").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long")
     met = stored(met)
+    release(docs.sparkSession)
     # numbers for the lines that meet any other, in the order of their first places; a rank decides which of two is later
     known = met.select("ref").distinct().join(first, "ref").select("ref", "low", "place", "length", "bag")
     known = stored(known.withColumn("line", F.monotonically_increasing_id()))
     ranked = stored(_ranked(known.select("line", "place"), kind))
     known = known.join(ranked, "line")
+    release(docs.sparkSession)
     shards = 1 + met.count() // PER_SHARD
     sizes = met.groupBy("key").agg(F.count("*").alias("c"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
@@ -362,6 +365,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     pair = "later long, earlier long"
     tried = measured(members.groupBy("shard").applyInArrow(_partners(edits, False), pair).distinct())
+    release(docs.sparkSession)
     near = tried.where("near").select("later").distinct()
     open_lines = tried.select("later").distinct().join(near, "later", "left_anti").withColumnRenamed("later", "line")
     open_keys = members.join(open_lines, "line", "left_semi").select("key").distinct()
@@ -369,6 +373,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = rest.join(open_lines.withColumnRenamed("line", "later"), "later", "left_semi").join(tried, ["later", "earlier"], "left_anti")
     near = near.union(measured(rest).where("near").select("later")).distinct()
 
+    near = stored(near)
+    release(docs.sparkSession)
     flagged = known.join(near, F.col("line") == F.col("later"), "left_semi").select("ref", "low", F.lit(True).alias("near"))
     goes = first.select("ref", "low", "c", "place").join(flagged, ["ref", "low"], "left").where("c > 1 or near")
     return lines.select("id", "th", "no", "ref", "low").join(stored(goes), ["ref", "low"]).where(F.coalesce("near", F.lit(False)) | ~(F.struct(F.col("id").isNull().alias("z"), "id", "th", "no").eqNullSafe(F.col("place")))).select("id", "th", "no").distinct()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import release
 from .common import stored, tidy
 from .components import components
 from .words import mix, shingle_set, word_hashes
@@ -168,6 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = shared.join(fame, "cid").groupBy("key").agg(F.max_by("cid", "fame").alias("hub"))
     members = stored(shared.join(stored(hubs), "key").select("key", "cid", "hub"))
 
+    del filed, crowds, crowded, shared, fame, hubs
+    release(docs.sparkSession)
     names = F.unhex(F.md5("text"))
     pairs = stored(members.where("cid != hub").select("hub", "cid").distinct())
     wanted = stored(pairs.select(F.explode(F.array("hub", "cid")).alias("cid")).distinct().join(classes.select("cid", "name"), "cid"))
@@ -176,6 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = source.select(names.alias("name"), "text").join(found, "name").groupBy("cid", "text").agg(F.lit(1)).select("cid", "text")
     joined = pairs.join(texts.select(F.col("cid").alias("hub"), F.col("text").alias("x")), "hub").join(texts.select("cid", F.col("text").alias("y")), "cid")
     apart = stored(joined.select("hub", "cid", "x", "y").mapInArrow(tidy(_compare), "hub long, cid long, both long, either long, lacks binary, adds binary"))
+    del wanted, found, texts, joined
+    release(docs.sparkSession)
     links = apart.where(f"100 * both >= {percent} * either").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     joined = components(links)
 
@@ -191,7 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         .select("key", "i", "j", "block", "cid", "root", "n", "lacks", "adds")
     )
-    second = opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct()
+    second = stored(opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
+    del placed, opened, members, joined
+    release(docs.sparkSession)
     joined = components(links.union(second))
 
     placed = rows.join(classes.select("digest", "cid"), "digest", "left").join(joined, F.col("cid") == F.col("node"), "left").select("row", "id", "n", F.coalesce("root", "cid").alias("root"))
