@@ -46,7 +46,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; documents without words are no copies of each other and stay."""
+    """One document of each group of near copies; documents without words are no copies of each other and stay.
+
+    Documents that share an id stay or go together.
+    """
     reach(spark)
     kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -4,7 +4,7 @@ A document's set holds the distinct five-word shingles; equal sets form a class.
 components of 16 bits, the low bits of as many minima. Signatures that differ in at most `2 * CHUNKS - 1` components agree, by
 pigeonhole, in some chunk but for at most one component; so every class is filed under each chunk with each one component left
 out, and such a pair always meets under one of these keys. Two sets of similarity s differ in 30 * (1 - s) components on
-average: at 0.85 in 4.5, and the chance that a pair meets under none of the 30 keys is 2e-5.
+average: at 0.85 in 4.5, and the chance that a pair meets under none of the 30 keys is 2e-5; at 0.8 it is 3e-4.
 
 Pairs are not listed by key. First every member of a key is compared with the key's hub, the member that meets most others under
 its keys; in a group of edited copies that is the text they were made from. However large such a group is, it costs as many
