@@ -63,9 +63,14 @@ def tidy(step: Step, keeps: str = "") -> Step:
             if name != keeps:
                 forget()
         yield from step(batches)
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        here.trim()
 
     return run
+
+
+def trim() -> None:
+    """Give this process's free memory back to the machine."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

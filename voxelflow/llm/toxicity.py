@@ -13,7 +13,6 @@ these come word hashes, not texts. Texts that share their least word hashes are
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import tidy
+from .common import tidy, trim
 from .words import PLAIN, word_features
 
 #: Labelled rows that the model is fitted to at most, and words that it knows at most.
-SAMPLE, FEATURES = 6000, 400
+SAMPLE, FEATURES = 4000, 400
 GRADES = 4
 #: Bytes at the beginning of a word that are a feature of their own.
 BEGINNINGS = (4, 5)
@@ -96,24 +95,26 @@ def words_of(words: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     """rows: the word hashes of a text, with repetitions, and its label (0 clean, 1 toxic). Without toxic rows nothing is toxic."""
-    rows = _distinct(rows)
+    rows = _distinct([(np.asarray(w, np.uint32), y) for w, y in rows])
     toxic = sum(y for _, y in rows)
     if not toxic or toxic == len(rows):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 41, 42]) if not toxic else np.array([-40.0, 40, 41]))
-    seen = [Counter(), Counter()]
-    for words, y in rows:
-        seen[y].update(words_of(words).tolist())
+        return Model(np.zeros(0, np.uint32), np.zeros(0), np.array([40.0, 41, 42]) if not toxic else np.array([-40.0, 40, 41]))
     totals = np.array([len(rows) - toxic, toxic], float)
-    names = sorted(w for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= 5)
-    counts = np.array([[seen[0][w], seen[1][w]] for w in names], float).reshape(-1, 2)
+    seen = [np.unique(np.concatenate([words_of(w) for w, label in rows if label == y]), return_counts=True) for y in (0, 1)]
+    names = np.union1d(seen[0][0], seen[1][0])
+    counts = np.zeros((len(names), 2))
+    for y, (found, n) in enumerate(seen):
+        counts[np.searchsorted(names, found), y] = n
+    often = counts.sum(axis=1) >= 5
+    names, counts = names[often], counts[often]
     total = counts.sum(axis=1, keepdims=True)
     expected = total * totals / totals.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda a, b: np.where(a > 0, a * np.log(a / b), 0)
         gain = 2 * (part(counts, expected) + part(totals - counts, totals - expected)).sum(axis=1)  # likelihood ratio of each word
-    best = [i for i in np.argsort(-gain, kind="stable")[:FEATURES] if gain[i] > 25]
-    words = np.array(sorted(names[i] for i in best), np.uint64)
-    marked = np.array(sorted(names[i] for i in best if counts[i, 1] / totals[1] > 3 * counts[i, 0] / totals[0]), np.uint64)
+    best = np.array([i for i in np.argsort(-gain, kind="stable")[:FEATURES] if gain[i] > 25], np.int64)
+    words = np.sort(names[best])
+    marked = np.sort(names[[i for i in best if counts[i, 1] / totals[1] > 3 * counts[i, 0] / totals[0]]])
     bare = Model(words, np.zeros(2 * len(words)), np.zeros(GRADES - 1))
     x = np.array([bare.features(w) for w, _ in rows]).reshape(len(rows), -1)
     mass = np.array([np.isin(w, marked).sum() for w, _ in rows], float)
@@ -124,9 +125,15 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     return Model(words, w, cuts)
 
 
+def _features(text: pa.Array) -> Iterator[np.ndarray]:
+    """(kind, word) of each text, 32 bits of each hash; 0 where a word has no such feature."""
+    for found in word_features(text, PLAIN, BEGINNINGS):
+        yield (found >> np.uint64(32)).astype(np.uint32)
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs = [w.tobytes() for w in word_features(batch.column("text"), PLAIN, BEGINNINGS)]
+        blobs = [w.tobytes() for w in _features(batch.column("text"))]
         yield pa.record_batch([pa.array(blobs, pa.binary()), batch.column("toxic")], ["words", "toxic"])
 
 
@@ -135,14 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     picked = picked.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("text", "toxic")
-    rows = texts.mapInArrow(tidy(_hashed), "words binary, toxic int").orderBy(F.xxhash64("words"), "toxic").limit(2 * SAMPLE).collect()
-    return fit([(np.frombuffer(r["words"], np.uint64).reshape(1 + len(BEGINNINGS), -1), r["toxic"]) for r in rows])
+    rows = texts.mapInArrow(tidy(_hashed), "words binary, toxic int").orderBy(F.xxhash64("words"), "toxic").limit(2 * SAMPLE).toArrow()
+    texts = [np.frombuffer(w.as_buffer(), np.uint32).reshape(1 + len(BEGINNINGS), -1) for w in rows.column("words")]
+    model = fit(list(zip(texts, rows.column("toxic").to_pylist(), strict=True)))
+    del rows, texts
+    trim()
+    return model
 
 
 def _scores(model: Model):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.features(w) for w in word_features(batch.column("text"), PLAIN, BEGINNINGS)]).reshape(batch.num_rows, -1)
+            x = np.array([model.features(w) for w in _features(batch.column("text"))]).reshape(batch.num_rows, -1)
             above = model.above(x)
             share = -np.diff(np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], axis=1))
             yield pa.record_batch([*batch.columns, pa.array(above.sum(axis=1).round(6)), pa.array(share.argmax(axis=1), pa.int32()), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, "severity", "grade", "toxic"])
@@ -174,7 +185,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.features(w) for w in word_features(batch.column("text"), PLAIN, BEGINNINGS)]).reshape(batch.num_rows, -1)
+            x = np.array([model.features(w) for w in _features(batch.column("text"))]).reshape(batch.num_rows, -1)
             yield batch.filter(pa.array(model.above(x)[:, 0] < 0.5))
 
     return docs.mapInArrow(tidy(keep), docs.schema)
