@@ -57,15 +57,24 @@ def in_frustum(point, c1: Vector, c2: Vector, major1: Vector, minor1: Vector, ma
         return in_ellipse(point, c1, major1, minor1, eps)
     unit = [(b - a) / height for a, b in zip(c1, c2, strict=True)]
     u = difference(point, c1)
-    along = dot(u, unit)
-    t = along / height
-    across = [p - along * q for p, q in zip(u, unit, strict=True)]
-    inside = F.lit(0.0)
-    for first, second in ((major1, major2), (minor1, minor2)):
-        axis = [F.lit(float(p)) * (1 - t) + F.lit(float(q)) * t for p, q in zip(first, second, strict=True)]
-        length2 = dot(axis, axis)
-        inside = inside + F.when(length2 > eps * eps, F.pow(dot(across, axis) / length2, F.lit(2.0))).otherwise(F.lit(float("inf")))
-    return along.between(0.0, height) & (inside <= 1)
+    plain = lambda a, b: math.fsum(p * q for p, q in zip(a, b, strict=True))
+    axes = (major1, major2, minor1, minor2)
+    # each product is computed once and then used by name
+    products = F.struct(dot(u, unit).alias("along"), *[dot(u, a).alias(f"p{i}") for i, a in enumerate(axes)])
+
+    def holds(q: Column) -> Column:
+        along = q["along"]
+        t = along / height
+        inside = F.lit(0.0)
+        for i in (0, 2):
+            # the half axis is first * (1 - t) + second * t
+            first, second = axes[i], axes[i + 1]
+            beside = (1 - t) * (q[f"p{i}"] - along * plain(unit, first)) + t * (q[f"p{i + 1}"] - along * plain(unit, second))
+            length2 = plain(first, first) * (1 - t) * (1 - t) + 2 * plain(first, second) * t * (1 - t) + plain(second, second) * t * t
+            inside = inside + F.when(length2 > eps * eps, F.pow(beside / length2, F.lit(2.0))).otherwise(F.lit(float("inf")))
+        return along.between(0.0, height) & (inside <= 1)
+
+    return F.exists(F.array(products), holds)
 
 
 def gauss_crossings(m1: Column, m2: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
