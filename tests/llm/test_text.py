@@ -317,6 +317,39 @@ def test_block_tables_find_all(spark):
     assert got == want
 
 
+def test_near_copies_are_found(docs):
+    """Texts with some words replaced, against brute force over the fingerprints; ids of copies come back, equal ones too."""
+    r = random.Random(8)
+    rows = []
+    for k in range(12):
+        base = [f"w{r.randrange(900)}" for _ in range(200)]
+        rows.append((100 * k, " ".join(base)))
+        rows.append((100 * k + 1, " ".join(base)))
+        for j in range(2, 5):
+            copy = list(base)
+            copy[r.randrange(len(copy))] = f"e{j}"
+            rows.append((100 * k + j, " ".join(copy)))
+    got = {x.doc_id: x for x in sh.op10(docs(rows)).collect()}
+    prints = {i: int(x.fingerprint, 16) for i, x in got.items()}
+    for i, x in got.items():
+        near = [j for j in sorted(prints) if (prints[i] ^ prints[j]).bit_count() <= sh.RADIUS]
+        assert x.near_prints == (len({prints[j] for j in near}) if i % 100 == 0 else None)
+        assert x.near_ids == ([j for j in near if j != i] if i % 100 == 0 else None)
+    assert all(set(range(i + 1, i + 5)) <= set(got[i].near_ids) for i in range(0, 1200, 100))
+
+
+def test_every_radius_is_exact(spark):
+    r = random.Random(10)
+    base = [r.getrandbits(128) for _ in range(20)]
+    prints = base + [b ^ sum(1 << k for k in r.sample(range(128), r.randrange(0, 30))) for b in base for _ in range(10)]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(signed(p & (2**64 - 1)), signed(p >> 64)) for p in prints], "lo long, hi long")
+    for radius in (0, 4, 17, 23):
+        got = [(x.lo, x.hi, x.lo2, x.hi2, x.apart) for x in sh.near_fingerprints(df.limit(20), df, radius).collect()]
+        want = {(signed(p & (2**64 - 1)), signed(p >> 64), signed(q & (2**64 - 1)), signed(q >> 64), (p ^ q).bit_count()) for p in base for q in prints if (p ^ q).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_fingerprints_odd(docs):
     rows = odd_cases(docs, sh.op10, len(ODD))
     assert len({x.fingerprint for x in rows if x.doc_id in (1, 2, 7)}) == 1
