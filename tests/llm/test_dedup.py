@@ -147,6 +147,16 @@ def test_lines(docs):
     assert got == lines_kept(rows)
 
 
+def test_lines_with_many_equal_characters(docs):
+    """Near copies whose counts of a character lie on either side of 256 and 512."""
+    r = random.Random(4)
+    for n in (256, 512):
+        tail = words(r, 20)
+        a, b = "x" * n + tail, "x" * (n - 1) + "-" + tail
+        got = {x.doc_id: x.text for x in li.without_repeated_lines(docs([(1, a), (2, b)])).collect()}
+        assert got == {1: a, 2: ""}
+
+
 def test_lines_odd(docs):
     rows = odd_cases(docs, lambda d: li.without_repeated_lines(d).select("doc_id", "text", "n_removed"), len(ODD))
     assert Counter(x.text for x in rows if x.text is None or len(x.text) < 30) == Counter(t for _, t in ODD if t is None or len(t) < 30)

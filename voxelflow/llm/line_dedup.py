@@ -127,7 +127,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(line)
             codes = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
             cell = (np.repeat(np.arange(len(kept)), length) * BINS) + (codes * np.uint32(2654435761) >> np.uint32(27))
-            bags = np.bincount(cell, minlength=len(kept) * BINS).astype(np.uint8).reshape(-1, BINS) if kept else np.zeros((0, BINS), np.uint8)
+            # a capped count keeps the difference of two a lower bound
+            bags = np.minimum(np.bincount(cell, minlength=len(kept) * BINS), 255).astype(np.uint8).reshape(-1, BINS) if kept else np.zeros((0, BINS), np.uint8)
             take = pa.array(row, pa.int64())
             yield pa.record_batch(
                 [part.column("id").take(take), part.column("th").take(take), pa.array(no, pa.int32()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(length, pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())],
