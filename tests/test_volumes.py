@@ -151,3 +151,11 @@ def test_lobe_tables(spark):
     assert {r.x: r.label for r in pipelines.lungs(regions, binary=False).collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
     assert {r.x: r.label for r in pipelines.lobes(regions, {1: 3, 5: 1}).collect()} == {1: 3, 5: 1}
     assert F is not None and len(pipelines.LOBES) == 5
+
+
+def test_all_points_at_the_ends_of_a_wide_branch(monkeypatch):
+    ends = [np.random.default_rng(k).random((3000, 3)) for k in (1, 2)]
+    monkeypatch.setattr(pipelines, "smooth_branch", lambda cells, line: (np.zeros((1, 3), np.int64), ends, [], 1.0))
+    made = pipelines._modelled(("a", 1), pd.DataFrame(np.zeros((1, 3), int), columns=list("zyx")), pd.DataFrame({"line": [[0, 0, 0, 1, 0, 0]]}))
+    for kind, end in zip(("first", "last"), ends, strict=True):
+        assert np.array_equal(made[made["kind"] == kind][list("zyx")].to_numpy(float), end)

@@ -173,6 +173,21 @@ def _closed(labels: DataFrame, sizes: DataFrame, volumes: DataFrame) -> DataFram
     return out.distinct()
 
 
+def _modelled(key: tuple, cells: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
+    """Cells, all points at both ends, and the thickness of one smoothed branch."""
+    names = ["volume_id", "edge_id", "kind", "z", "y", "x", "value"]
+    if not len(cells) or not len(line):
+        return pd.DataFrame({n: [] for n in names})
+    path = np.array(line["line"].iloc[0], float).reshape(-1, 3)
+    mine = np.concatenate([cells[list("zyx")].to_numpy(np.int64), np.rint(path[[0, -1]]).astype(np.int64)])
+    kept, ends, gaps, thickness = smooth_branch(np.unique(mine, axis=0), path)
+    kept = np.concatenate([kept, *[fill_gap(g) for g in gaps]])
+    rows = [(*key, "cell", *map(float, c), 0.0) for c in np.unique(kept, axis=0)]
+    rows += [(*key, kind, *map(float, p), 0.0) for kind, base in zip(("first", "last"), ends, strict=True) for p in base]
+    rows.append((*key, "thickness", 0.0, 0.0, 0.0, thickness))
+    return pd.DataFrame(rows, columns=names)
+
+
 def model_tree(rough: DataFrame, airway_mask: DataFrame, volumes: DataFrame) -> DataFrame:
     """The modelled airway tree: branches smoothed by frustums, gaps between them filled, connected airways added, branches closed."""
     nodes, edges = skeleton_tables(rough, volumes)
@@ -180,20 +195,7 @@ def model_tree(rough: DataFrame, airway_mask: DataFrame, volumes: DataFrame) ->
     points = _points(edges)
     labels = nearest_edge(rough, points)
 
-    def one(key: tuple, cells: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
-        names = ["volume_id", "edge_id", "kind", "z", "y", "x", "value"]
-        if not len(cells) or not len(line):
-            return pd.DataFrame({n: [] for n in names})
-        path = np.array(line["line"].iloc[0], float).reshape(-1, 3)
-        mine = np.concatenate([cells[list("zyx")].to_numpy(np.int64), np.rint(path[[0, -1]]).astype(np.int64)])
-        kept, ends, gaps, thickness = smooth_branch(np.unique(mine, axis=0), path)
-        kept = np.concatenate([kept, *[fill_gap(g) for g in gaps]])
-        rows = [(*key, "cell", *map(float, c), 0.0) for c in np.unique(kept, axis=0)]
-        rows += [(*key, kind, *map(float, p), 0.0) for kind, base in zip(("first", "last"), ends, strict=True) for p in base[:2000]]
-        rows.append((*key, "thickness", 0.0, 0.0, 0.0, thickness))
-        return pd.DataFrame(rows, columns=names)
-
-    made = stored(labels.groupBy("volume_id", "edge_id").cogroup(edges.select("volume_id", "edge_id", "line").groupBy("volume_id", "edge_id")).applyInPandas(one, "volume_id string, edge_id int, kind string, z double, y double, x double, value double"))
+    made = stored(labels.groupBy("volume_id", "edge_id").cogroup(edges.select("volume_id", "edge_id", "line").groupBy("volume_id", "edge_id")).applyInPandas(_modelled, "volume_id string, edge_id int, kind string, z double, y double, x double, value double"))
     whole = [F.col(a).cast("int").alias(a) for a in "zyx"]
     cells = made.where("kind = 'cell'").select("volume_id", *whole)
 
