@@ -153,6 +153,20 @@ def test_lobe_tables(spark):
     assert F is not None and len(pipelines.LOBES) == 5
 
 
+def test_diffusion_of_a_volume_of_two_slabs(spark):
+    """As on the whole array, with the mean over the volume; one half is much rougher than the other."""
+    r = np.random.default_rng(12)
+    a = r.normal(0, 1, (50, 6, 7)) + np.where(np.arange(50) < 32, 100, 0)[:, None, None] * r.random((50, 6, 7))
+    got = np.zeros(a.shape)
+    for x in stencils.curvature_diffusion(cells(spark, a), volume(spark, "a", a.shape), steps=2).collect():
+        got[x.z, x.y, x.x] = x.v
+    for _ in range(2):
+        p = np.pad(a, 1, mode="edge")
+        mean2 = sum(((np.roll(p, -1, i) - np.roll(p, 1, i)) / 2)[1:-1, 1:-1, 1:-1] ** 2 for i in range(3)).mean()
+        a = stencils._diffuse(a, mean2, 0.0625, 3.0)
+    assert np.allclose(got, a, rtol=0, atol=1e-9)
+
+
 def test_all_points_at_the_ends_of_a_wide_branch(monkeypatch):
     ends = [np.random.default_rng(k).random((3000, 3)) for k in (1, 2)]
     monkeypatch.setattr(pipelines, "smooth_branch", lambda cells, line: (np.zeros((1, 3), np.int64), ends, [], 1.0))

@@ -46,17 +46,18 @@ def by_slab(
     fill: float = 0.0,
     everywhere: bool = False,
     depth: int = DEPTH,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows of `kernel`'s array: cells that aren't 0 or False, or all cells of slabs with any row if `everywhere`.
 
     kernel(array, info) gets the slab with its halo as far as the volume goes, and the volume's row and z0, and returns an array
-    of the same shape; what it returns for the halo is dropped.
+    of the same shape; what it returns for the halo is dropped. more: further columns of `volumes` that the row has.
     """
     last = F.floor((F.col("nz") - 1) / depth).cast("int")
     low = F.greatest(F.floor((F.col("z") - halo) / depth).cast("int"), F.lit(0))
     high = F.least(F.floor((F.col("z") + halo) / depth).cast("int"), last)
     columns = KEYS + ([value] if value else [])
-    geometry = ["nz", "ny", "nx", "sz", "sy", "sx"]
+    geometry = ["nz", "ny", "nx", "sz", "sy", "sx", *more]
     spread = voxels.select(*columns).join(volumes.select("volume_id", *geometry), "volume_id").withColumn("slab", F.explode(F.sequence(low, high)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

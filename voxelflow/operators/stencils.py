@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
 from .masks import KEYS, masked, normalise, rescale_bytes, threshold
 from .slabs import by_slab
 
@@ -138,40 +139,50 @@ def blobs(image: DataFrame, region: DataFrame, volumes: DataFrame, low: float =
     return threshold(rescale_bytes(response), least)
 
 
-def _diffuse(a: np.ndarray, steps: int, time: float, conductance: float) -> np.ndarray:
-    a = a.copy()
-    for _ in range(steps):
-        p = np.pad(a, 1, mode="edge")
-        middle = (slice(1, -1),) * 3
-
-        def shift(axis: int, d: int, p: np.ndarray = p) -> np.ndarray:
-            return p[tuple(slice(1 + d * (i == axis), p.shape[i] - 1 + d * (i == axis)) for i in range(3))]
-
-        ahead = [shift(i, 1) - p[middle] for i in range(3)]
-        behind = [p[middle] - shift(i, -1) for i in range(3)]
-        central = [(x + y) / 2 for x, y in zip(ahead, behind, strict=True)]
-        mean2 = np.mean(sum(c * c for c in central))
-        k = mean2 * conductance**2 * 2
-        if k == 0:
-            break
-        speed = np.zeros_like(a)
-        norm_f, norm_b = [], []
-        for i in range(3):
-            others = [j for j in range(3) if j != i]
-            cp = [np.pad(central[j], [(1, 1) if m == i else (0, 0) for m in range(3)], mode="edge") for j in others]
-            cut = lambda c, d, i=i: c[tuple(slice(1 + d, c.shape[m] - 1 + d) if m == i else slice(None) for m in range(3))]
-            norm_f.append(np.sqrt(1e-10 + ahead[i] ** 2 + sum(((cut(c, 0) + cut(c, 1)) / 2) ** 2 for c in cp)))
-            norm_b.append(np.sqrt(1e-10 + behind[i] ** 2 + sum(((cut(c, 0) + cut(c, -1)) / 2) ** 2 for c in cp)))
-            speed += ahead[i] / norm_f[i] * np.exp(-(norm_f[i] ** 2) / k) - behind[i] / norm_b[i] * np.exp(-(norm_b[i] ** 2) / k)
-        up = np.sqrt(sum(np.minimum(b, 0) ** 2 + np.maximum(f, 0) ** 2 for f, b in zip(ahead, behind, strict=True)))
-        down = np.sqrt(sum(np.maximum(b, 0) ** 2 + np.minimum(f, 0) ** 2 for f, b in zip(ahead, behind, strict=True)))
-        a += time * np.where(speed > 0, speed * up, speed * down)
-    return a
+def _differences(a: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Forward, backward and central differences along each axis; beyond a border the border's value goes on."""
+    p = np.pad(a, 1, mode="edge")
+    shift = lambda axis, d: p[tuple(slice(1 + d * (i == axis), p.shape[i] - 1 + d * (i == axis)) for i in range(3))]
+    ahead = [shift(i, 1) - a for i in range(3)]
+    behind = [a - shift(i, -1) for i in range(3)]
+    return ahead, behind, [(x + y) / 2 for x, y in zip(ahead, behind, strict=True)]
+
+
+def _squares(a: np.ndarray) -> np.ndarray:
+    """The squared length of the central difference."""
+    return sum(c * c for c in _differences(a)[2])
+
+
+def _diffuse(a: np.ndarray, mean2: float, time: float, conductance: float) -> np.ndarray:
+    """One step; mean2: the mean of `_squares` over the volume. A cell looks two cells far."""
+    k = mean2 * conductance**2 * 2
+    if k == 0:
+        return a
+    ahead, behind, central = _differences(a)
+    speed = np.zeros_like(a)
+    for i in range(3):
+        cp = [np.pad(central[j], [(1, 1) if m == i else (0, 0) for m in range(3)], mode="edge") for j in range(3) if j != i]
+        cut = lambda c, d, i=i: c[tuple(slice(1 + d, c.shape[m] - 1 + d) if m == i else slice(None) for m in range(3))]
+        norm_f = np.sqrt(1e-10 + ahead[i] ** 2 + sum(((cut(c, 0) + cut(c, 1)) / 2) ** 2 for c in cp))
+        norm_b = np.sqrt(1e-10 + behind[i] ** 2 + sum(((cut(c, 0) + cut(c, -1)) / 2) ** 2 for c in cp))
+        speed += ahead[i] / norm_f * np.exp(-(norm_f**2) / k) - behind[i] / norm_b * np.exp(-(norm_b**2) / k)
+    up = np.sqrt(sum(np.minimum(b, 0) ** 2 + np.maximum(f, 0) ** 2 for f, b in zip(ahead, behind, strict=True)))
+    down = np.sqrt(sum(np.maximum(b, 0) ** 2 + np.minimum(f, 0) ** 2 for f, b in zip(ahead, behind, strict=True)))
+    return a + time * np.where(speed > 0, speed * up, speed * down)
 
 
 def curvature_diffusion(image: DataFrame, volumes: DataFrame, steps: int = 5, time: float = 0.0625, conductance: float = 3.0) -> DataFrame:
-    """Smoothing along level surfaces that stops at edges; conductance is by the slab's mean squared gradient. Cells without a row are 0."""
-    return by_slab(image, volumes, lambda a, _: _diffuse(a, steps, time, conductance), 2 * steps, everywhere=True)
+    """Smoothing along level surfaces that stops at edges; conductance is by the volume's mean squared gradient, anew in each step.
+
+    Cells without a row are 0.
+    """
+    cells = F.col("nz").cast("double") * F.col("ny") * F.col("nx")
+    smooth = image
+    for _ in range(steps):
+        sums = by_slab(smooth, volumes, lambda a, _: _squares(a), 1).groupBy("volume_id").agg(F.sum("v").alias("squares"))
+        means = volumes.join(sums, "volume_id", "left").withColumn("mean2", F.coalesce(F.col("squares") / cells, F.lit(0.0)))
+        smooth = stored(by_slab(smooth, means, lambda a, info: _diffuse(a, float(info["mean2"]), time, conductance), 2, everywhere=True, more=("mean2",)))
+    return smooth
 
 
 def resample_nearest(image: DataFrame, volumes: DataFrame, spacing: float = 2.0) -> DataFrame:
