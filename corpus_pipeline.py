@@ -42,7 +42,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand, or nearly so, in an earlier one or above."""
     reach(spark)
-    return _counted(without_repeated_lines(docs).select(*docs.columns))
+    return _counted(without_repeated_lines(docs, shorter=True).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

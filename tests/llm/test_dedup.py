@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from voxelflow.llm import exact_dedup as ex, line_dedup as li, minhash as mh
+from voxelflow.llm import exact_dedup as ex, line_dedup as li, minhash as mh, queries
 from voxelflow.llm.components import components
 
 from .conftest import ODD, odd_cases
@@ -157,6 +157,15 @@ def test_lines_with_many_equal_characters(docs):
         assert got == {1: a, 2: ""}
 
 
+def test_short_lines_that_are_equal(docs, spark, tmp_path):
+    """In op9, too; near copies of short lines and blank lines stay."""
+    rows = [(1, "All rights reserved.\n\nYes"), (2, " All rights reserved.\n\nYes\nAll rights reserved!"), (3, "yes\nYes")]
+    got = {x.doc_id: x.text for x in li.without_repeated_lines(docs(rows), shorter=True).collect()}
+    assert got == {1: rows[0][1], 2: "\nAll rights reserved!", 3: "yes"}
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.n_removed for x in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 2, 3: 1}
+
+
 def test_lines_odd(docs):
     rows = odd_cases(docs, lambda d: li.without_repeated_lines(d).select("doc_id", "text", "n_removed"), len(ODD))
     assert Counter(x.text for x in rows if x.text is None or len(x.text) < 30) == Counter(t for _, t in ODD if t is None or len(t) < 30)

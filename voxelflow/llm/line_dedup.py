@@ -27,7 +27,7 @@ from ..session import release
 from .common import stored, tidy
 from .words import mix
 
-#: Lines of fewer code points, without white space around, stay as they are.
+#: Lines of fewer code points, without white space around, have no near copies.
 LEAST = 30
 #: Edits between near copies at most.
 EDITS = 2
@@ -53,9 +53,9 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def lines_of(text: str) -> list[tuple[int, str]]:
-    """(number, content without white space around) of the lines that are compared."""
-    return [(i, s) for i, line in enumerate(text.split("\n")) if len(s := line.strip(_WHITE)) >= LEAST]
+def lines_of(text: str, least: int = LEAST) -> list[tuple[int, str]]:
+    """(number, content without white space around) of the lines of at least so many code points."""
+    return [(i, s) for i, line in enumerate(text.split("\n")) if len(s := line.strip(_WHITE)) >= least]
 
 
 def _hash(line: str) -> tuple[int, int]:
@@ -109,31 +109,34 @@ def _plain(a: str, b: str) -> int:
     return row[-1]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per compared line: its place, its hash, its length and its counts of characters."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            row, no, high, low, length = [], [], [], [], []
-            kept = []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                for n, line in lines_of(text):
-                    h, lo = _hash(line)
-                    row.append(i)
-                    no.append(n)
-                    high.append(h)
-                    low.append(lo)
-                    length.append(len(line))
-                    kept.append(line)
-            codes = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
-            cell = (np.repeat(np.arange(len(kept)), length) * BINS) + (codes * np.uint32(2654435761) >> np.uint32(27))
-            # a capped count keeps the difference of two a lower bound
-            bags = np.minimum(np.bincount(cell, minlength=len(kept) * BINS), 255).astype(np.uint8).reshape(-1, BINS) if kept else np.zeros((0, BINS), np.uint8)
-            take = pa.array(row, pa.int64())
-            yield pa.record_batch(
-                [part.column("id").take(take), part.column("th").take(take), pa.array(no, pa.int32()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(length, pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())],
-                ["id", "th", "no", "ref", "low", "length", "bag"],
-            )
+def _lines(least: int):
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per compared line: its place, its hash, its length and its counts of characters."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                row, no, high, low, length = [], [], [], [], []
+                kept = []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    for n, line in lines_of(text, least):
+                        h, lo = _hash(line)
+                        row.append(i)
+                        no.append(n)
+                        high.append(h)
+                        low.append(lo)
+                        length.append(len(line))
+                        kept.append(line)
+                codes = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32)
+                cell = (np.repeat(np.arange(len(kept)), length) * BINS) + (codes * np.uint32(2654435761) >> np.uint32(27))
+                # a capped count keeps the difference of two a lower bound
+                bags = np.minimum(np.bincount(cell, minlength=len(kept) * BINS), 255).astype(np.uint8).reshape(-1, BINS) if kept else np.zeros((0, BINS), np.uint8)
+                take = pa.array(row, pa.int64())
+                yield pa.record_batch(
+                    [part.column("id").take(take), part.column("th").take(take), pa.array(no, pa.int32()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64)), pa.array(length, pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())],
+                    ["id", "th", "no", "ref", "low", "length", "bag"],
+                )
+
+    return lines
 
 
 def segment_keys(lengths: np.ndarray, starts: np.ndarray, prefix: np.ndarray, edits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -317,7 +320,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*rest, pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "text", "n_lines", "n_removed"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shorter: bool = False) -> DataFrame:
     """(id, th, no): the lines that go, by document id, xxhash64 of the document's text, and line number from 0.
 
     See `without_repeated_lines` for which lines go.
@@ -325,12 +328,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
     spark, kind = docs.sparkSession, source.schema["id"].dataType
     fields = [T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("ref", T.LongType()), T.StructField("low", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("bag", T.BinaryType())]
-    lines = stored(source.mapInArrow(tidy(_lines), T.StructType(fields)))
+    lines = stored(source.mapInArrow(tidy(_lines(1 if shorter else LEAST)), T.StructType(fields)))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th", "no")
     first = lines.groupBy("ref", "low").agg(F.count("*").alias("c"), F.min(F.struct(place.alias("place"), "length", "bag")).alias("f"))
     first = stored(first.select("ref", "low", "c", "f.place", "f.length", "f.bag"))
 
-    owners = 1 << max(4, (3 * first.count() // PER_OWNER).bit_length())
+    owners = 1 << max(4, (3 * first.where(F.col("length") >= LEAST).count() // PER_OWNER).bit_length())
     met = source.select("text").mapInArrow(tidy(_exchange(owners, edits)), "owner int, side byte, keys binary, refs binary").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long")
     met = stored(met)
     release(docs.sparkSession)
@@ -387,16 +390,16 @@ def _ranked(lines: DataFrame, kind: T.DataType) -> DataFrame:
     return cut.select("line", F.monotonically_increasing_id().alias("rank"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shorter: bool = False) -> DataFrame:
     """`docs` with its columns, `text_col` without repeated lines, and n_lines, n_removed (a clash replaces the column of `docs`).
 
-    A line is what lies between line feeds; without white space around it must have LEAST code points, shorter lines always stay. It
-    goes, with its line feed, if an equal line or one within `edits` edits stands before it: in a document of smaller id, or in
-    the same one above. Documents of one id come in the order of a hash of their text; rows with equal id and text are one
+    A line is what lies between line feeds; without white space around it must have LEAST code points. It goes, with its line feed,
+    if an equal line or one within `edits` edits stands before it: in a document of smaller id, or in the same one above. Shorter
+    lines stay, or if `shorter` go where an equal one stands before them; blank lines always stay. Documents of one id come in the order of a hash of their text; rows with equal id and text are one
     document and are treated alike. Null ids come last. Null text stays null and has one line. A document may be left with an
     empty text. An empty table gives an empty result.
     """
-    drop = repeated_lines(docs, id_col, text_col, edits).groupBy("id", "th").agg(F.collect_set("no").alias("drop"))
+    drop = repeated_lines(docs, id_col, text_col, edits, shorter).groupBy("id", "th").agg(F.collect_set("no").alias("drop"))
     others = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     joined = named.alias("a").join(stored(drop).alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left").select("a.id", "a.text", *[f"a.c{i}" for i in range(len(others))], "b.drop")

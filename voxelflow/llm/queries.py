@@ -57,7 +57,7 @@ def op7_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shorter=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
