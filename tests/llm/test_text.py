@@ -256,6 +256,26 @@ def test_windows_are_joined():
     assert pii.redacted(texts[0], base).startswith("Write to [EMAIL] today.")
 
 
+def test_long_addresses_at_all_places():
+    """Addresses that the patterns miss are decoded whole wherever the windows cut them."""
+    model = tagger.trained()
+    name, host = "alexandrina_montgomeryson", "post.example.org"
+    texts = ["plain words " * 20 + "x" * k + " " + f"{name} @ {host}" + " plain words" * 20 for k in range(140)]
+    for text, (base, spans) in zip(texts, pii.all_spans(texts, model), strict=True):
+        assert base == [] and spans == [(text.index(name), 0, text.index(host) + len(host))]
+
+
+def test_windows_that_a_span_reaches():
+    """A tagger that takes all but white space for one span."""
+
+    class All:
+        def decode(self, x):
+            return np.where(x == 4, 0, 2).astype(np.int8)
+
+    text = "a " + "x" * 900 + "7" + "x" * 900 + " b"
+    assert (2, 0, len(text) - 2) in pii.tagged_spans([text], All())[0]
+
+
 def test_personal_data(docs):
     text = "é mail bob.9@mail.example.com or 10.0.0.1"
     got = pii.personal_data(docs([(1, text)])).first()

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and what a character tagger (bidirectional LSTM with a CRF) finds beside them.
 
 The tagger is trained on the driver from labelled spans and is a few kilobytes, which go to the executors with the task. A text is cut into
-windows of WINDOW characters that overlap by 2 * MARGIN; each is decoded by itself, and each character takes its tag from the window in
-which it lies furthest from an edge, so spans that cross windows are joined over the whole text. A span of these kinds holds a
-digit or an at sign; that is a constraint of the decoder, and a window without either has nothing to decode.
+windows of WINDOW characters that overlap by 2 * MARGIN, which is more than the longest span that it is trained on; each is decoded by
+itself, and each character takes its tag from the window in which it lies furthest from an edge, so spans that cross windows are joined
+over the whole text. A span of these kinds holds a digit or an at sign: decoded are the windows that hold either, and then
+those that a decoded span reaches, until no span reaches another.
 
 A decoded span is kept where it meets no span of the patterns and passes the checks of its kind (digits, Luhn, parts).
 """
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import tidy
 from .tagger import DIGIT, KINDS, Tagger, classes, luhn, trained
 
-WINDOW, MARGIN = 96, 16
+WINDOW, MARGIN = 256, 64
 STRIDE = WINDOW - 2 * MARGIN
 #: Windows decoded at once.
-AT_ONCE = 2048
+AT_ONCE = 768
 
 _AT_CLASS = int(classes("@")[0])
 _SPACE_CLASS = int(classes(" ")[0])
@@ -83,15 +84,20 @@ def _accept(kind: int, found: str) -> bool:
     return _passes(kind, found)
 
 
-def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Class ids (count, WINDOW) of the windows that hold a digit or an at sign, and their numbers."""
+def marked(text: str) -> list[int]:
+    """The numbers of the windows that hold a digit or an at sign."""
     c = classes(text)
     marks = np.flatnonzero((c == DIGIT) | (c == _AT_CLASS))
     near = np.concatenate([(marks + d) // STRIDE for d in (-MARGIN, 0, MARGIN)])
-    which = np.unique(near[(near >= 0) & (near * STRIDE < len(c))])
+    return np.unique(near[(near >= 0) & (near * STRIDE < len(c))]).tolist()
+
+
+def windows(text: str, which: list[int]) -> np.ndarray:
+    """Class ids (count, WINDOW) of the windows of these numbers."""
+    c = classes(text)
     padded = np.full(len(c) + 2 * WINDOW, _SPACE_CLASS, np.uint8)
     padded[MARGIN : MARGIN + len(c)] = c
-    return padded[(which * STRIDE)[:, None] + np.arange(WINDOW)], which
+    return padded[(np.array(which) * STRIDE)[:, None] + np.arange(WINDOW)]
 
 
 def _spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
@@ -108,24 +114,28 @@ def _spans_of(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
     """The spans that the model decodes in each text: windows of all texts are decoded together, each text is joined globally."""
-    cut = [windows(t) if _HINT.search(t) else None for t in texts]
-    stacked = [w[0] for w in cut if w is not None and len(w[0])]
-    if not stacked:
-        return [[] for _ in texts]
-    x = np.concatenate(stacked)
-    tags = np.concatenate([model.decode(np.ascontiguousarray(x[i : i + AT_ONCE].T).astype(np.int64)).T for i in range(0, len(x), AT_ONCE)])
+    found: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    todo = {i: marked(t) for i, t in enumerate(texts) if _HINT.search(t)}
+    while todo:
+        x = np.concatenate([windows(texts[i], which) for i, which in todo.items()])
+        tags = np.concatenate([model.decode(np.ascontiguousarray(x[i : i + AT_ONCE].T).astype(np.int64)).T for i in range(0, len(x), AT_ONCE)])
+        middle = iter(tags[:, MARGIN : MARGIN + STRIDE])
+        reached = {}
+        for i, which in todo.items():
+            own, last = found[i], (len(texts[i]) - 1) // STRIDE
+            own.update((k, next(middle)) for k in which)
+            near = {k + 1 for k in which if k < last and own[k][-1]} | {k - 1 for k in which if k > 0 and own[k][0]}
+            if more := sorted(near - own.keys()):
+                reached[i] = more
+        todo = reached
     out: list[list[Span]] = []
-    at = 0
-    for text, w in zip(texts, cut, strict=True):
+    for text, own in zip(texts, found, strict=True):
         spans: list[Span] = []
-        if w is not None:
-            middle = tags[at : at + len(w[1]), MARGIN : MARGIN + STRIDE]
-            at += len(w[1])
-            runs = np.split(np.arange(len(w[1])), np.flatnonzero(np.diff(w[1]) > 1) + 1)
-            for run in runs:
-                if len(run):
-                    offset = int(w[1][run[0]]) * STRIDE
-                    spans += _spans_of(middle[run].ravel()[: len(text) - offset], offset)
+        which = np.array(sorted(own), np.int64)
+        for run in np.split(which, np.flatnonzero(np.diff(which) > 1) + 1):
+            if len(run):
+                offset = int(run[0]) * STRIDE
+                spans += _spans_of(np.concatenate([own[k] for k in run.tolist()])[: len(text) - offset], offset)
         out.append(spans)
     return out
 
