@@ -164,3 +164,44 @@ def test_sweep_follows_shrinking_blobs():
     mask[4, 2:6, 2:6] = mask[5, 3:5, 3:5] = mask[6, 3, 3] = mask[8, 3, 3] = True
     found = sweep(mask, (4, 8, 8))
     assert found.sum() == 16 + 4 + 1 and not found[8].any()
+
+
+def test_frustum_axes_are_brought_in_line():
+    """Turned by a quarter and by half a circle the second ellipse is the same one."""
+    points = np.random.default_rng(5).uniform(-6, 6, (4000, 3)) + [5, 0, 0]
+    first = np.zeros(3), np.array([0, 5.0, 0]), np.array([0, 0, 2.0])
+    second = np.array([10.0, 0, 0]), np.array([0, 3.0, 1.0]), np.array([0, -0.6, 1.8])
+    want = g.points_in_frustum(points, first, second)
+    assert 0.1 < want.mean() < 0.9
+    for a, b in ((-second[1], -second[2]), (second[2], second[1]), (-second[2], second[1]), (second[1], -second[2])):
+        assert np.array_equal(g.points_in_frustum(points, first, (second[0], a, b)), want)
+    centre = g.points_in_frustum(np.array([[5.0, 3.5, 0], [5.0, 0, 1.5]]), first, (second[0], second[2], -second[1]))
+    assert centre.all()
+
+
+def test_frustum_columns_are_as_numpy(spark):
+    r = np.random.default_rng(6)
+    points = r.uniform(-6, 6, (500, 3)) + [5, 0, 0]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "i int, z double, y double, x double")
+    for turn in (0.0, 0.5 * np.pi, np.pi, 0.8):
+        c, s_ = np.cos(turn), np.sin(turn)
+        first = (0.0, 0.0, 0.0), (0.0, 5.0, 0.0), (0.0, 0.0, 2.0)
+        second = (10.0, 1.0, 0.0), (0.0, 3 * c, 3 * s_), (0.0, -2 * s_, 2 * c)
+        got = {x.i for x in df.where(g.in_frustum([df.z, df.y, df.x], first[0], second[0], first[1], first[2], second[1], second[2])).collect()}
+        assert got == set(np.flatnonzero(g.points_in_frustum(points, tuple(map(np.array, first)), tuple(map(np.array, second)))).tolist())
+
+
+def test_tries_without_cells_do_not_count(monkeypatch):
+    """Of the tries' sizes the third is best: an empty one before it is no try, two smaller ones after it end the search."""
+    cells, line = np.array([(i, 0, 0) for i in range(40)]), np.array([(i, 0, 0) for i in range(40)], float)
+    sizes = iter([0, 0, 0, 7, 5, 0, 6, 30])
+    tried = []
+
+    def made(turned, dense, ends, cut):
+        tried.append(next(sizes))
+        return np.arange(len(turned)) < tried[-1], [dense[:1], dense[:1]], 1.0
+
+    monkeypatch.setattr(b, "segmentations", lambda line: [np.array([0, 39])] * 8)
+    monkeypatch.setattr(b, "_frustum", made)
+    monkeypatch.setattr(b, "points_in_ellipse", lambda p, e: np.zeros(len(p), bool))
+    assert len(b.smooth_branch(cells, line)[0]) == 7 and tried == [0, 0, 0, 7, 5, 0, 6]

@@ -50,31 +50,44 @@ def in_ellipse(point, centre: Vector, major: Vector, minor: Vector, eps: float =
     return F.pow(dot(u, [c / a for c in major]) / a, F.lit(2.0)) + F.pow(dot(u, [c / b for c in minor]) / b, F.lit(2.0)) <= 1
 
 
+def aligned(first: tuple, second: tuple) -> tuple:
+    """The second pair of half axes, paired with the first pair and turned its way.
+
+    An ellipse's half axes are known up to their order and signs; between axes that stand across each other the section would
+    shrink to a line. So each axis goes with the one that it is nearest to, ahead or behind, and points the same way.
+    """
+    unit = lambda v: np.asarray(v, float) / max(float(np.linalg.norm(v)), EPS)
+    cosine = lambda a, b: abs(float(unit(a) @ unit(b)))
+    (p, q), (r, s) = first, second
+    if cosine(p, s) + cosine(q, r) > cosine(p, r) + cosine(q, s):
+        r, s = s, r
+    turned = lambda a, b: np.asarray(b, float) * (1.0 if float(np.dot(a, b)) >= 0 else -1.0)
+    return turned(p, r), turned(q, s)
+
+
 def in_frustum(point, c1: Vector, c2: Vector, major1: Vector, minor1: Vector, major2: Vector, minor2: Vector, eps: float = EPS) -> Column:
-    """Whether a point is between two ellipses: half axes change evenly along the axis. Without height it is the first ellipse."""
+    """Whether a point is between two ellipses: half axes change evenly along the axis. Without height it is the first ellipse.
+
+    The second ellipse's axes are first brought in line with the first's (`aligned`). The half axis at a height is a first * (1 - t) +
+    second * t, its squared length a polynomial of the height, so that a point costs a few products of generated code.
+    """
     height = math.dist(c1, c2)
     if height < eps:
         return in_ellipse(point, c1, major1, minor1, eps)
+    major2, minor2 = aligned((major1, minor1), (major2, minor2))
     unit = [(b - a) / height for a, b in zip(c1, c2, strict=True)]
     u = difference(point, c1)
+    along = dot(u, unit)
+    t = along / height
     plain = lambda a, b: math.fsum(p * q for p, q in zip(a, b, strict=True))
-    axes = (major1, major2, minor1, minor2)
-    # each product is computed once and then used by name
-    products = F.struct(dot(u, unit).alias("along"), *[dot(u, a).alias(f"p{i}") for i, a in enumerate(axes)])
-
-    def holds(q: Column) -> Column:
-        along = q["along"]
-        t = along / height
-        inside = F.lit(0.0)
-        for i in (0, 2):
-            # the half axis is first * (1 - t) + second * t
-            first, second = axes[i], axes[i + 1]
-            beside = (1 - t) * (q[f"p{i}"] - along * plain(unit, first)) + t * (q[f"p{i + 1}"] - along * plain(unit, second))
-            length2 = plain(first, first) * (1 - t) * (1 - t) + 2 * plain(first, second) * t * (1 - t) + plain(second, second) * t * t
-            inside = inside + F.when(length2 > eps * eps, F.pow(beside / length2, F.lit(2.0))).otherwise(F.lit(float("inf")))
-        return along.between(0.0, height) & (inside <= 1)
-
-    return F.exists(F.array(products), holds)
+    solid, inside = [], []
+    for first, second in ((major1, major2), (minor1, minor2)):
+        step = [b - a for a, b in zip(first, second, strict=True)]
+        beside = dot(u, first) + t * dot(u, step) - along * (plain(unit, first) + t * plain(unit, step))
+        length2 = plain(first, first) + t * (2 * plain(first, step) + t * plain(step, step))
+        solid.append(length2 > eps * eps)
+        inside.append(beside / length2)
+    return along.between(0.0, height) & solid[0] & solid[1] & (inside[0] * inside[0] + inside[1] * inside[1] <= 1)
 
 
 def gauss_crossings(m1: Column, m2: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
@@ -218,7 +231,7 @@ def points_in_frustum(points: np.ndarray, first: tuple, second: tuple) -> np.nda
     t = (along / height)[:, None]
     across = u - along[:, None] * axis / height
     inside = np.zeros(len(points))
-    for p, q in zip(first[1:], second[1:], strict=True):
+    for p, q in zip(first[1:], aligned(first[1:], second[1:]), strict=True):
         half = p * (1 - t) + q * t
         length2 = (half**2).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -160,7 +160,8 @@ def smooth_branch(cells: np.ndarray, line: np.ndarray, segments: bool = True) ->
     """A branch's cells that lie in frustums along its polyline.
 
     Returns the cells, the points at the first and last end, gaps (pairs of neighbouring ends to be filled), and the thickness. Breaks of the
-    polyline are tried from coarse to fine; more cells are better, and two tries in a row that aren't better end the search.
+    polyline are tried from coarse to fine; more cells are better, and two tries in a row that aren't better end the search. Tries without any
+    cell don't count.
     """
     if not len(cells) or len(line) < 2:
         return np.zeros((0, 3), np.int64), [np.zeros((0, 3))] * 2, [], 0.0
@@ -169,7 +170,7 @@ def smooth_branch(cells: np.ndarray, line: np.ndarray, segments: bool = True) ->
     mean, axes = principal_axes(dense)
     turned, dense, path = ((np.asarray(p, float) - mean) @ axes.T for p in (cells, dense, line))
     back = lambda p: p @ axes + mean
-    best: tuple = (0, None)
+    best: tuple = (-1, None)
     worse = 0
     for breaks in segmentations(np.asarray(line)) if segments else [np.array([0, len(line) - 1])]:
         inside = np.zeros(len(cells), bool)
@@ -192,12 +193,10 @@ def smooth_branch(cells: np.ndarray, line: np.ndarray, segments: bool = True) ->
         score = int(inside.sum())
         if score > best[0]:
             best, worse = (score, (inside, bases, thickness)), 0
-        else:
+        elif score:
             worse += 1
             if worse == 2:
                 break
-    if best[1] is None:
-        return np.zeros((0, 3), np.int64), [np.zeros((0, 3))] * 2, [], 0.0
     inside, bases, thickness = best[1]
     ends = [back(bases[0][0]), back(bases[-1][1])] if bases else [np.zeros((0, 3))] * 2
     gaps = [np.concatenate([back(p[1]), back(q[0])]) for p, q in zip(bases[:-1], bases[1:], strict=True)]
