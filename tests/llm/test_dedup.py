@@ -91,6 +91,39 @@ def test_near(docs, percent):
     assert got == links(rows, percent)
 
 
+def thue_morse(k):
+    return "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+
+
+def test_words_that_a_polynomial_hash_confuses(docs):
+    """Words whose sums of powers are equal modulo 2**64 are different words."""
+    flip = str.maketrans("ab", "ba")
+    rows = [(10 * k + i, w) for k in (10, 11, 12) for i, w in enumerate((thue_morse(k), thue_morse(k).translate(flip)))]
+    got = mh.near_duplicates(docs(rows)).collect()
+    assert all(x.component_id == x.doc_id and x.n_shingles == 1 for x in got)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_crowded_templates(docs, monkeypatch, percent):
+    """A long common part, own parts of all sizes, and edited copies among them: as brute force, whatever a block holds."""
+    r = random.Random(12)
+    common = words(r, 90, 10**6)
+    rows = []
+    for _ in range(40):
+        own = words(r, r.randrange(8, 40), 10**6).split()
+        for _ in range(r.choice((1, 1, 2, 4))):
+            copy = list(own)
+            for _ in range(r.randrange(0, 3)):
+                copy[r.randrange(len(copy))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), common + " " + " ".join(copy)))
+    want = links(rows, percent)
+    assert 10 < len({c for _, c in want.values()}) < len(rows)
+    for block in (4,):
+        monkeypatch.setattr(mh, "BLOCK", block)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in mh.near_duplicates(docs(rows), percent=percent).collect()}
+        assert got == want
+
+
 def test_near_odd(docs):
     rows = odd_cases(docs, mh.near_duplicates, len(ODD))
     assert all(x.component_id == x.doc_id and x.kept for x in rows)

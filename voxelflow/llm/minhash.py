@@ -12,7 +12,9 @@ comparisons as it has members. A comparison also gives the difference: which shi
 besides. What is linked is joined to components. Only keys whose members still belong to more than one component are opened, in
 blocks of bounded size. The differences to the common hub are whole sets in short, so within a block the intersections of all
 members follow exactly from one matrix product; of the links found only those that join two components leave the block. So
-no pair is a row: a block sends fewer links than it has members.
+no pair is a row: a block sends fewer links than it has members. A key with more members than a block holds is not cut into
+pairs of blocks, which would copy its members to each other: they are filed under rare differences to the hub that linked sets must
+share (`_alike`).
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import release
 from .common import stored, tidy
 from .components import components
-from .words import mix, shingle_set, word_hashes
+from .words import mix, shingle_set, exact_words
 
 CHUNKS, WIDTH = 6, 5
 COMPONENTS = CHUNKS * WIDTH
@@ -61,7 +63,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, sigs = [], [], []
         names = [hashlib.md5(t.as_buffer().to_pybytes()).digest() for t in batch.column("text")]
-        for words in word_hashes(batch.column("text")):
+        for words in exact_words(batch.column("text")):
             s = shingle_set(words)
             sizes.append(len(s))
             digests.append(_digest(s) if len(s) else None)
@@ -90,7 +92,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the sets of a hub's text x and a member's y: sizes of intersection and union, the ranks in x that y lacks, what y adds."""
     for batch in batches:
         both, either, lacks, adds = [], [], [], []
-        for x, y in zip(word_hashes(batch.column("x")), word_hashes(batch.column("y")), strict=True):
+        for x, y in zip(exact_words(batch.column("x")), exact_words(batch.column("y")), strict=True):
             p, q = shingle_set(x), shingle_set(y)
             gone = np.flatnonzero(~np.isin(p, q, assume_unique=True))
             new = np.setdiff1d(q, p, assume_unique=True)
@@ -120,7 +122,7 @@ def _common(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 def _across(percent: int):
     def across(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[1]), int(key[2])
+        i, j = int(key[2]), int(key[3])
         block, cid, root, n = (members[c].to_numpy() for c in ("block", "cid", "root", "n"))
         lacks = [np.frombuffer(x, np.uint32) for x in members["lacks"]]
         adds = [np.frombuffer(x, np.uint64) for x in members["adds"]]
@@ -149,6 +151,43 @@ def _across(percent: int):
     return across
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle in which a member differs from its hub; the number of them, and the sizes of both sets."""
+    for batch in batches:
+        lacks = [np.frombuffer(x, np.uint32) for x in batch.column("lacks").to_pylist()]
+        adds = [np.frombuffer(x, np.uint64) for x in batch.column("adds").to_pylist()]
+        lost, new = np.array([len(x) for x in lacks]), np.array([len(x) for x in adds])
+        n = batch.column("n").to_numpy()
+        each = np.array(np.repeat(np.arange(len(n)), lost + new))
+        e = np.concatenate([np.zeros(0, np.uint64), *[p for x, y in zip(lacks, adds, strict=True) for p in (mix(x.astype(np.uint64) + np.uint64(1)), y)]])
+        rows = batch.select(["hub", "cid"]).take(pa.array(each))
+        yield pa.record_batch([*rows.columns, pa.array((lost + new)[each]), pa.array(n[each]), pa.array((n - new + lost)[each]), pa.array(e.view(np.int64))], ["hub", "cid", "d", "n", "nh", "e"])
+
+
+def _alike(members: DataFrame, percent: int) -> DataFrame:
+    """`members` of crowded hubs, filed under the differences to the hub that a linked pair must share: hub, key, cid, ..., blocks.
+
+    With D the shingles in which a set differs from the hub, x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| of them, and are linked when
+    that is at most r (|x| + |y|), r = (1 - t) / (1 + t). So with s = |D| - r |x| they share at least (sx + sy) / 2 elements of D; and at
+    least one, if not both are linked to the hub itself, which `components` has seen to. By that overlap o two sets meet in the rarest
+    |D| - o + 1 of their elements. Sets are filed under these by levels of s: a set enters its own level and the lower ones in which a
+    partner can be, as o is known best between sets of like s. Copies of a template that differ in their own ways share no rare
+    element, and so are never compared. A group that is still crowded is cut into blocks.
+    """
+    t = percent / 100
+    r = (1 - t) / (1 + t)
+    rows = stored(members.select("hub", "cid", "n", "lacks", "adds").mapInArrow(tidy(_elements), "hub long, cid long, d long, n long, nh long, e long"))
+    often = stored(rows.groupBy("hub", "e").agg(F.count("*").alias("df")))
+    s, step = F.col("d") - r * F.col("n"), F.greatest(F.lit(1.0), r / 2 * F.col("nh"))
+    ranked = rows.join(often, ["hub", "e"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "cid").orderBy("df", "e"))).where("df > 1")
+    levels = F.sequence(F.floor((s - 2 * r / t * F.col("n")) / step), F.floor(s / step))
+    filed = ranked.withColumns({"s": s, "step": step, "level": F.explode(levels)})
+    filed = filed.where(F.col("place") <= F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("level") * F.col("step") + F.col("s")) / 2 - 1e-6)))
+    filed = stored(filed.select("hub", F.xxhash64("level", "e").alias("key"), "cid").distinct())
+    crowds = stored(filed.join(members.select("hub", "cid", "root"), ["hub", "cid"]).groupBy("hub", "key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi"))
+    return filed.join(crowds.select("hub", "key", "c"), ["hub", "key"]).join(members, ["hub", "cid"]).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of `docs`: id_col, n_shingles, component_id (smallest id reachable, itself included), kept.
 
@@ -191,13 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(stored(opened), "key")
         .join(classes.select("cid", "n"), "cid")
         .join(apart.select("hub", "cid", "lacks", "adds"), ["hub", "cid"])
-        .withColumns({"blocks": F.ceil(F.col("c") / BLOCK).cast("int"), "block": F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / BLOCK)).cast("int")})
+    )
+    few = opened.where(F.col("c") <= BLOCK).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.lit(1).alias("blocks"))
+    many = stored(opened.where(F.col("c") > BLOCK).select("hub", "cid", "root", "n", "lacks", "adds").distinct())
+    if not many.isEmpty():
+        few = few.unionByName(_alike(many, percent))
+    blocks = (
+        few.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("key", "i", "j", "block", "cid", "root", "n", "lacks", "adds")
+        .select("hub", "key", "i", "j", "block", "cid", "root", "n", "lacks", "adds")
     )
-    second = stored(opened.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
-    del placed, opened, members, joined
+    second = stored(blocks.groupBy("hub", "key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
+    del placed, opened, few, many, blocks, members, joined
     release(docs.sparkSession)
     joined = components(links.union(second))
 

@@ -1,11 +1,17 @@
-"""Words and word shingles of Arrow text columns as 64-bit hashes, computed on whole buffers."""
+"""Words and word shingles of Arrow text columns as 64-bit hashes.
+
+`exact_words` hashes each word by itself with a strong hash, for sets that decide something. `word_features` computes sums over
+whole buffers, which is quicker and does for counts and candidates: different words can be made that it can't tell apart.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import SPACE
 
@@ -18,6 +24,7 @@ PLAIN = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes hashed at a time; a longer text is cut between words.
 CHUNK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,6 +103,28 @@ def word_features(text: pa.Array, is_word: np.ndarray = _IS_WORD, beginnings: tu
         i = j
 
 
+def exact_words(text: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the xxh3 hashes of its words, in order: runs outside `[\\x20\\x09-\\x0D]`, A-Z lower-cased; null has none."""
+    for value in text:
+        raw = value.as_buffer()
+        data = raw.to_pybytes().lower() if raw is not None else b""
+        if len(data) <= 2 * CHUNK:
+            yield _hashed(data)
+            continue
+        parts, a = [], 0
+        while a < len(data):
+            end = _BLANK.search(data, min(len(data), a + CHUNK))
+            b = end.end() if end else len(data)
+            parts.append(_hashed(data[a:b]))
+            a = b
+        yield np.concatenate(parts)
+
+
+def _hashed(data: bytes) -> np.ndarray:
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; fewer words than `size` make one shingle, none make none."""
     if not len(words):
