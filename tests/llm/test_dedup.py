@@ -180,6 +180,26 @@ def test_lines(docs):
     assert got == lines_kept(rows)
 
 
+def test_crowded_lines(docs, monkeypatch):
+    """A common beginning, near copies of a line, and lines that share a segment only: as brute force where all keys are crowded."""
+    monkeypatch.setattr(li, "BLOCK", 6)
+    monkeypatch.setattr(li, "OFTEN", 2)
+    r = random.Random(13)
+    start, base = words(r, 4), words(r, 9)
+
+    def line():
+        x = r.choice((f"{start} {words(r, 2)} {words(r, 2)}", base, base, f"{words(r, 2)} {start} {start} {r.randrange(30)}"))
+        for _ in range(r.choice((0, 1, 2, 3))):
+            k = r.randrange(len(x))
+            x = r.choice((x[:k] + "z" + x[k + 1 :], x[:k] + x[k + 1 :], x[:k] + "y" + x[k:]))
+        return x
+
+    rows = [(i, "\n".join(line() for _ in range(r.randrange(1, 6)))) for i in range(60)]
+    want = lines_kept(rows)
+    assert 20 < sum(t != want[i] for i, t in rows) < 60
+    assert {x.doc_id: x.text for x in li.without_repeated_lines(docs(rows).repartition(3)).collect()} == want
+
+
 def test_lines_with_many_equal_characters(docs):
     """Near copies whose counts of a character lie on either side of 256 and 512."""
     r = random.Random(4)

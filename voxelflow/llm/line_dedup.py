@@ -7,10 +7,14 @@ the place that the length difference allows. Segments are filed by (length, numb
 at the allowed places for its own length and the EDITS lengths below.
 
 File entries and probes are exchanged as arrays, 12 bytes each, between tasks that own ranges of the key; only keys that a
-file entry and a probe of different lines share go on. A key that many lines share is opened in blocks of bounded size, in which
-counts of characters rule out most pairs. Every later line then takes the earliest partner that is left, and is measured by a
-banded bit-parallel edit distance on its text; only lines for which that one fails take the others, too. So a large group of
-near copies costs a comparison per line.
+file entry and a probe of different lines share go on. A task that holds a key OFTEN keeps its lines to itself: the owner gets one of
+them, the rest goes on by way of any owner, so that no owner holds a key that a third of all lines share. Under a key every
+later line takes the earliest partner that lengths and counts of characters allow, and is measured by a banded bit-parallel
+edit distance on its text; only lines for which that one fails take the others, too.
+
+A key with more members than a block holds is crowded. There all are measured against the earliest first, which settles a group of near
+copies at a comparison per line. The rest is filed anew: lines within k edits differ by 2 k in their counts of characters at most, so of
+2 k + 1 groups of counts one is the same in both. What is crowded still is cut into blocks.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import release
-from .common import stored, tidy
+from .common import partitions, stored, tidy
 from .words import mix
 
 #: Lines of fewer code points, without white space around, have no near copies.
@@ -34,11 +38,15 @@ EDITS = 2
 #: Characters are counted in so many classes.
 BINS = 32
 #: File entries that one task owns on average; members of a key that one task compares with as many others.
-PER_OWNER, BLOCK = 400_000, 1024
-#: Members of keys that one call takes on average, and pairs that it holds at once.
-PER_SHARD, PAIRS = 20_000, 1_000_000
-#: Documents whose lines are looked up by a broadcast at most (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_DOCS = 500_000
+PER_OWNER, BLOCK = 100_000, 1024
+#: Lines of a key in one message above which they don't go to the owner.
+OFTEN = 16
+#: Members of keys and pairs that one call takes on average, and pairs that it holds at once.
+PER_SHARD, PAIRS_PER_SHARD, PAIRS = 20_000, 4_000_000, 1_000_000
+#: Lines that are looked up by a broadcast at most: 16 bytes each and 48 for a document, so 64 MB at most.
+BROADCAST_LINES = 1_000_000
+#: Crowded keys that are broadcast at most (16 bytes each).
+BROADCAST_KEYS = 1_000_000
 
 _WHITE = " \t\n\x0b\x0c\r"
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -171,7 +179,7 @@ def segment_keys(lengths: np.ndarray, starts: np.ndarray, prefix: np.ndarray, ed
     return join(entries), join(probes)
 
 
-def _exchange(owners: int, edits: int):
+def _exchange(owners: int, edits: int, most: int):
     bits = owners.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +194,19 @@ def _exchange(owners: int, edits: int):
                     keys, refs = (np.concatenate([x[i] for x in found[side]]) for i in (0, 1))
                     order = np.argsort(keys, kind="stable")
                     keys, refs = keys[order], refs[order]
-                    cuts = np.searchsorted(keys, np.arange(owners, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+                    owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     short = (keys >> np.uint64(32 - bits)).astype(np.uint32)
+                    new = np.ones(len(keys), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (short[1:] != short[:-1])
+                    size = np.diff(np.flatnonzero(new), append=len(keys))
+                    often = np.repeat(size > most, size)
+                    for part in np.array_split(np.flatnonzero(often), -(-int(often.sum()) // 65536) or 1):
+                        if len(part):
+                            full = (owner[part].astype(np.uint64) << np.uint64(32)) | short[part]
+                            rows.append({"owner": int(mix(refs[part[:1]])[0] >> np.uint64(64 - bits)), "side": side + 2, "keys": full.tobytes(), "refs": refs[part].tobytes()})
+                    sent = ~often | new
+                    owner, short, refs = owner[sent], short[sent], refs[sent]
+                    cuts = np.searchsorted(owner, np.arange(owners + 1)).tolist()
                     rows += [{"owner": i, "side": side, "keys": short[a:b].tobytes(), "refs": refs[a:b].tobytes()} for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             found[0], found[1] = [], []
             return pa.RecordBatch.from_pylist(rows, pa.schema([("owner", pa.int32()), ("side", pa.int8()), ("keys", pa.binary()), ("refs", pa.binary())]))
@@ -221,7 +240,7 @@ def _exchange(owners: int, edits: int):
 
 
 def _meet(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
-    """Members (key, ref) of the keys that a file entry and a probe of different lines share."""
+    """Members (key, side, ref) of the keys that a file entry and a probe of different lines share; sides 2 and 3 pass as they are."""
     both = []
     for side in (0, 1):
         rows = sent[sent["side"] == side]
@@ -238,19 +257,24 @@ def _meet(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
     back = np.isin(fk, probe_keys)
     out_keys, out_refs = np.concatenate([fk[back], probe_keys]), np.concatenate([fr[back], probe_refs])
     side = np.concatenate([np.zeros(int(back.sum()), np.int8), np.ones(len(probe_keys), np.int8)])
-    return pd.DataFrame({"key": (np.int64(key[0]) << np.int64(32)) | out_keys.astype(np.int64), "side": side, "ref": out_refs.view(np.int64)})
+    out = [((np.int64(key[0]) << np.int64(32)) | out_keys.astype(np.int64), side, out_refs.view(np.int64))]
+    for kind in (2, 3):
+        for keys, refs in sent.loc[sent["side"] == kind, ["keys", "refs"]].itertuples(index=False):
+            out.append((np.frombuffer(keys, np.int64), np.full(len(keys) // 8, kind, np.int8), np.frombuffer(refs, np.int64)))
+    return pd.DataFrame({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(("key", "side", "ref"))})
 
 
 def _partners(edits: int, every: bool):
-    """For each later line the earliest partner under a key's block that lengths and characters allow, or all of them.
+    """For each later line that is open the earliest partner under a key's block that lengths and characters allow, or all of them.
 
     A group is a shard of many blocks, so that small ones cost no call each; pairs are taken PAIRS at a time.
     """
 
     def partners(rows: pa.Table) -> pa.Table:
-        key, i, j, side, line, rank, length = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "line", "rank", "length"))
+        names = ("key", "i", "j", "side", "line", "rank", "length", "open")
+        key, i, j, side, line, rank, length, still = (rows.column(c).to_numpy() for c in names)
         order = np.lexsort((side, j, i, key))
-        key, i, j, side, line, rank, length = (x[order] for x in (key, i, j, side, line, rank, length))
+        key, i, j, side, line, rank, length, still = (x[order] for x in (key, i, j, side, line, rank, length, still))
         bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -270,6 +294,8 @@ def _partners(edits: int, every: bool):
             less = length[p] - length[f]
             ok = (less >= 0) & (less <= edits) & (line[f] != line[p])
             f, p = f[ok], p[ok]
+            ok = still[np.where(rank[f] < rank[p], p, f)]
+            f, p = f[ok], p[ok]
             ok = np.abs(bags[f].astype(np.int16) - bags[p]).sum(axis=1) <= 2 * edits
             f, p = f[ok], p[ok]
             first = rank[f] < rank[p]
@@ -285,6 +311,23 @@ def _partners(edits: int, every: bool):
     return partners
 
 
+def _sift(edits: int):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs that lengths and counts of characters allow."""
+        for batch in batches:
+            near = np.abs(batch.column("length").to_numpy() - batch.column("length2").to_numpy()) <= edits
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bag", "bag2"))
+            yield batch.select(["later", "earlier"]).filter(pa.array(near & (np.abs(a - b).sum(axis=1) <= 2 * edits)))
+
+    return sift
+
+
+def _counted(bag: str, group: int, groups: int) -> Column:
+    """The counts of one of so many groups of classes."""
+    a, b = group * BINS // groups, (group + 1) * BINS // groups
+    return F.substring(F.col(bag), a + 1, b - a)
+
+
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines of documents that `wanted` names by number."""
     for batch in batches:
@@ -334,51 +377,75 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = stored(first.select("ref", "low", "c", "f.place", "f.length", "f.bag"))
 
     owners = 1 << max(4, (3 * first.where(F.col("length") >= LEAST).count() // PER_OWNER).bit_length())
-    met = source.select("text").mapInArrow(tidy(_exchange(owners, edits)), "owner int, side byte, keys binary, refs binary").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long")
-    met = stored(met)
-    release(docs.sparkSession)
+    sent = source.select("text").mapInArrow(tidy(_exchange(owners, edits, OFTEN)), "owner int, side byte, keys binary, refs binary")
+    met = stored(sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_meet, "key long, side byte, ref long"))
+    release(spark)
+    met = met.where("side < 2").unionByName(met.where("side > 1").select("key", (F.col("side") - 2).cast("byte").alias("side"), "ref").distinct())
     # numbers for the lines that meet any other, in the order of their first places; a rank decides which of two is later
     known = met.select("ref").distinct().join(first, "ref").select("ref", "low", "place", "length", "bag")
     known = stored(known.withColumn("line", F.monotonically_increasing_id()))
     ranked = stored(_ranked(known.select("line", "place"), kind))
     known = known.join(ranked, "line")
-    release(docs.sparkSession)
-    shards = 1 + met.count() // PER_SHARD
-    sizes = met.groupBy("key").agg(F.count("*").alias("c"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = (
-        met.join(sizes, "key")
-        .join(known, "ref")
-        .withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("line"), F.ceil(F.col("c") / BLOCK)).cast("int")})
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), "j": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))})
-        .withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int"))
-        .select("shard", "key", "i", "j", "side", "line", "rank", "length", "bag")
-    )
+    release(spark)
 
     def measured(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
-        named = pairs.select(F.explode(F.array("later", "earlier")).alias("line")).distinct().join(known.select("line", "place"), "line")
-        wanted = stored(named.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_set(F.struct("line", F.col("place.no").alias("no"))).alias("wanted")))
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+        named = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("line")).distinct().join(known.select("line", "place"), "line"))
+        wanted = named.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.collect_set(F.struct("line", F.col("place.no").alias("no"))).alias("wanted"))
+        wanted = F.broadcast(wanted) if named.count() <= BROADCAST_LINES else wanted
         held = source.alias("s").join(wanted.alias("w"), F.col("s.id").eqNullSafe(F.col("w.id")) & (F.col("s.th") == F.col("w.th"))).select("s.text", "w.wanted")
         content = held.mapInArrow(tidy(_pick), "line long, content string").groupBy("line").agg(F.min("content").alias("content"))
         content = stored(content)
         joined = pairs.join(content.select(F.col("line").alias("later"), F.col("content").alias("x")), "later").join(content.select(F.col("line").alias("earlier"), F.col("content").alias("y")), "earlier")
         return stored(joined.select("later", "earlier", "x", "y").mapInArrow(tidy(_measure(edits)), "later long, earlier long, near boolean"))
 
-    pair = "later long, earlier long"
+    pair, fields = "later long, earlier long", ["line", "rank", "length", "bag"]
+    side = lambda k: F.count(F.when(F.col("side") == k, 1))
+    counts = stored(met.groupBy("key").agg(side(0).alias("f"), side(1).alias("p")))
+    crowded = counts.where(F.col("f") + F.col("p") > BLOCK).select("key")
+    n_crowded, work, n_pairs = counts.agg(F.count(F.when(F.col("f") + F.col("p") > BLOCK, 1)), F.sum(F.col("f") + F.col("p")), F.sum(F.col("f").cast("double") * F.col("p"))).first()
+    members = met.join(known, "ref").select("key", "side", *fields)
+    near = None
+    if n_crowded:
+        crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_KEYS else crowded
+        crowd = stored(members.join(crowded, "key", "left_semi"))
+        hubs = stored(crowd.groupBy("key").agg(F.min(F.struct("rank", "line", "length", "bag")).alias("h")))
+        hubs = hubs.select("key", *[F.col(f"h.{c}").alias(n) for c, n in (("line", "earlier"), ("length", "length2"), ("bag", "bag2"))])
+        first_tries = crowd.join(hubs, "key").where("line != earlier").select(F.col("line").alias("later"), "earlier", "length", "length2", "bag", "bag2")
+        near = stored(measured(first_tries.mapInArrow(tidy(_sift(edits)), pair).distinct()).where("near").select("later").distinct())
+        release(spark)
+        still = crowd.join(near.select(F.col("later").alias("line"), F.lit(False).alias("open")), "line", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        groups = 2 * edits + 1
+        filed = still.withColumn("key", F.explode(F.array(*[F.xxhash64("key", F.lit(g), _counted("bag", g, groups)) for g in range(groups)])))
+        sizes = filed.groupBy("key").agg(side(0).alias("f"), side(1).alias("p"), F.max("open").alias("any")).where("f > 0 and p > 0 and f + p > 1 and any")
+        sizes = stored(sizes.select("key", "f", "p", F.ceil((F.col("f") + F.col("p")) / BLOCK).cast("int").alias("blocks")))
+        filed = filed.join(sizes.select("key", "blocks"), "key").select("key", "side", *fields, "open", "blocks")
+        more = sizes.agg(F.sum(F.col("blocks") * (F.col("f") + F.col("p"))), F.sum(F.col("f").cast("double") * F.col("p"))).first()
+        work, n_pairs = work + (more[0] or 0), n_pairs + (more[1] or 0)
+        members = members.join(crowded, "key", "left_anti").select("*", F.lit(True).alias("open"), F.lit(1).alias("blocks")).unionByName(filed)
+    else:
+        members = members.select("*", F.lit(True).alias("open"), F.lit(1).alias("blocks"))
+    shards = max(2 * partitions(spark), 1 + int(work or 0) // PER_SHARD, 1 + int(n_pairs or 0) // PAIRS_PER_SHARD)
+    members = (
+        members.withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"i": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), "j": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))})
+        .withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int"))
+        .select("shard", "key", "i", "j", "side", *fields, "open")
+    )
     tried = measured(members.groupBy("shard").applyInArrow(_partners(edits, False), pair).distinct())
-    release(docs.sparkSession)
-    near = tried.where("near").select("later").distinct()
-    open_lines = tried.select("later").distinct().join(near, "later", "left_anti").withColumnRenamed("later", "line")
-    open_keys = members.join(open_lines, "line", "left_semi").select("key").distinct()
-    rest = members.join(open_keys, "key", "left_semi").groupBy("shard").applyInArrow(_partners(edits, True), pair).distinct()
-    rest = rest.join(open_lines.withColumnRenamed("line", "later"), "later", "left_semi").join(tried, ["later", "earlier"], "left_anti")
-    near = near.union(measured(rest).where("near").select("later")).distinct()
+    release(spark)
+    found = tried.where("near").select("later").distinct()
+    near = found if near is None else near.union(found).distinct()
+    open_lines = stored(tried.select("later").distinct().join(near, "later", "left_anti").withColumnRenamed("later", "line"))
+    if not open_lines.isEmpty():
+        open_keys = stored(members.join(open_lines, "line", "left_semi").select("key").distinct())
+        rest = members.drop("open").join(open_keys, "key", "left_semi").join(open_lines.withColumn("open", F.lit(True)), "line", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        rest = rest.groupBy("shard").applyInArrow(_partners(edits, True), pair).distinct().join(tried, ["later", "earlier"], "left_anti")
+        near = near.union(measured(rest).where("near").select("later")).distinct()
 
     near = stored(near)
-    release(docs.sparkSession)
+    release(spark)
     flagged = known.join(near, F.col("line") == F.col("later"), "left_semi").select("ref", "low", F.lit(True).alias("near"))
     goes = first.select("ref", "low", "c", "place").join(flagged, ["ref", "low"], "left").where("c > 1 or near")
     return lines.select("id", "th", "no", "ref", "low").join(stored(goes), ["ref", "low"]).where(F.coalesce("near", F.lit(False)) | ~(F.struct(F.col("id").isNull().alias("z"), "id", "th", "no").eqNullSafe(F.col("place")))).select("id", "th", "no").distinct()
