@@ -3,9 +3,11 @@
 Every document is encoded, ended by id 0, and cut into pieces only where it is longer than a sequence. Bins depend on lengths
 alone, and there are at most CAPACITY different ones, so the plan is made on the histogram of lengths: the longest piece left
 opens a bin, a subset-sum dynamic programme over the lengths left (a bit per sum, in one long integer) finds the fullest
-combination beside it, and the pattern is taken as often as the counts allow before the next one is sought. Pieces then get
-their rank among those of their length, and the rank names the bin. The driver holds counts per length and patterns, never
-pieces; a length that most pieces share is ranked in many tasks.
+combination beside it, and the pattern is taken as often as the counts allow before the next one is sought. A piece's rank among
+those of its length names its bin: it is the piece's number in its input partition, counted where it is made, plus the pieces
+of that length in the partitions before, a running sum over a row per partition and length. So nothing is sorted and no length is
+ranked in one task. The driver holds counts per length and patterns, never pieces. Each pattern but the last of its length leaves
+less than half of some length's count, so that there are at most CAPACITY * log2(pieces) of them.
 """
 
 from __future__ import annotations
@@ -14,19 +16,19 @@ import os
 import re
 import string
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import KEPT, stored, tidy
 
 CAPACITY = 2048
-#: Parts in which the pieces of one length are ranked.
-PARTS = 64
+#: Running sums (a row per partition and length, 32 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_SUMS = 1_000_000
 #: Words, and characters in them, that a worker remembers; past that it starts afresh.
 REMEMBERED, REMEMBERED_CHARACTERS = 700_000, 20_000_000
 #: Bytes of text that are encoded together.
@@ -148,9 +150,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pieces(path: str, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, part_id = encoder(path), TaskContext.get().partitionId()
+        before = np.zeros(capacity + 1, np.int64)
         for batch in _parts(batches):
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, crc, place = [], [], [], [], [], []
             for i, found in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids = np.append(found, np.uint32(0)).astype("<u4")
                 for p, s in enumerate(range(0, len(ids), capacity)):
@@ -160,7 +163,9 @@ def _pieces(path: str, capacity: int):
                     start.append(s)
                     length.append(len(part))
                     crc.append(zlib.crc32(part))
-            yield pa.record_batch([batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+                    place.append(int(before[len(part)]))
+                    before[len(part)] += 1
+            yield pa.record_batch([batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part_id, np.int32)), pa.array(place, pa.int64())], ["id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
     return pieces
 
@@ -230,17 +235,19 @@ def slots(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[list[int], l
     return out
 
 
+def runs(plan: dict[int, tuple[list[int], list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`slots` as flat arrays: length and rank of each run's first piece in one number, ascending; its sequence; its offset."""
+    names = [(length << 48) + rank for length in sorted(plan) for rank in plan[length][0]]
+    return np.array(names, np.int64), *(np.array([x for length in sorted(plan) for x in plan[length][k]], np.int64) for k in (1, 2))
+
+
 def _place(plan):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = plan.value
+        names, sequences, offsets = plan.value
         for batch in batches:
-            sequence, offset = [], []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist(), strict=True):
-                ranks, sequences, offsets = table[length]
-                i = bisect_right(ranks, rank) - 1
-                sequence.append(sequences[i] + rank - ranks[i])
-                offset.append(offsets[i])
-            yield pa.record_batch([*(batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            name = (batch.column("length").to_numpy() << 48) + batch.column("rank").to_numpy()
+            at = np.searchsorted(names, name, "right") - 1
+            yield pa.record_batch([*(batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequences[at] + name - names[at]), pa.array(offsets[at])], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return place
 
@@ -259,18 +266,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]
-    pieces = stored(source.mapInArrow(tidy(_pieces(tokenizer, capacity), "packing"), T.StructType(fields)))
-
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counted = [tuple(r) for r in dealt.groupBy("length", "part").count().collect()]  # at most capacity * PARTS rows
-    counts: dict[int, int] = {}
-    before = []
-    for length, part, n in sorted(counted):
-        before.append((length, part, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    plan = docs.sparkSession.sparkContext.broadcast(slots(minimum_bin_slack(counts, capacity)))
-    offsets = docs.sparkSession.createDataFrame(before, "length long, part int, before long")
-    order = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    counted = [T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())]
+    pieces = stored(source.mapInArrow(tidy(_pieces(tokenizer, capacity), "packing"), T.StructType([*fields, *counted])))
+
+    parts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored(parts.select("length", "part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    plan = docs.sparkSession.sparkContext.broadcast(runs(slots(minimum_bin_slack(counts, capacity))))
+    few = sums.count() <= BROADCAST_SUMS
+    before = sums.select("length", "part", "before")
+    ranked = pieces.join(F.broadcast(before) if few else before, ["length", "part"]).withColumn("rank", F.col("place") + F.col("before"))
     placed = ranked.mapInArrow(tidy(_place(plan)), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     return placed.withColumnRenamed("id", id_col)
