@@ -104,6 +104,53 @@ def test_ordinal_gradient():
     assert np.allclose(fitted, w, atol=0.2) and np.allclose(cuts, [0.5, 2.0, 3.0], atol=0.25)
 
 
+def test_likelihood_gradient():
+    """Against differences of the likelihood, whose value is computed in plain Python, on sparse rows."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 6)) * (r.random((40, 6)) < 0.4)
+    y = r.integers(0, tox.GRADES, 40)
+    rows = tox.Sparse([(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in x], 6)
+    at = r.normal(size=9)
+
+    def value(v):
+        cuts = [v[6], v[6] + math.exp(v[7]), v[6] + math.exp(v[7]) + math.exp(v[8])]
+        above = lambda z, k: 1.0 if k < 0 else 0.0 if k > 2 else 1 / (1 + math.exp(cuts[k] - z))
+        return sum(math.log(above(z, g - 1) - above(z, g)) for z, g in zip((x @ v[:6]).tolist(), y.tolist())) / 40 - 0.05 * sum(c * c for c in v[:6])
+
+    got, grad = tox.likelihood(rows, y, at[:6], at[6:7], at[7:], 0.1)
+    assert math.isclose(got, value(at), rel_tol=1e-9)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-6
+        assert math.isclose((value(at + step) - value(at - step)) / 2e-6, grad[k], rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_toxicity_by_brute_force(docs, spark):
+    """Scores against features counted word by word, with far more features than toxic words alone; no part of the vocabulary is cut."""
+    r = random.Random(6)
+    bad, good = ([f"{p}{i}x{i * 7 % 13}" for i in range(700)] for p in ("vile", "kind"))
+    rows = [(i, " ".join(r.choice(bad if i % 4 == 0 else good) for _ in range(150))) for i in range(500)]
+    model = tox.train(docs(rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert len(model.words) > 1000
+    known = {int(w): i for i, w in enumerate(model.words)}
+    for x in tox.score(docs(rows[:60]), model).collect():
+        text = dict(rows)[x.doc_id].split()
+        found = Counter()
+        for w in text:
+            for part in (next(tox._features(pa.array([w]))).ravel().tolist()):
+                found[known.get(part, -1)] += 1
+        z = sum(model.weights[i] * math.log2(1 + n) + model.weights[i + len(known)] * min(100 * n / 150, 5) for i, n in found.items() if i >= 0)
+        above = [1 / (1 + math.exp(float(c) - z)) for c in model.cuts]
+        assert math.isclose(x.severity, sum(above), abs_tol=2e-6) and x.toxic == (above[0] >= 0.5) == (x.doc_id % 4 == 0)
+
+
+def test_grades_do_not_grow_with_length(docs, spark):
+    rows, labels = corpus(900, 4)
+    model = tox.train(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    mild = "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15 word16 word17 word18 word19 grimble "
+    got = {x.doc_id: x for x in tox.score(docs([(1, mild * 2), (2, mild * 20), (3, "grimble vlorp snarxen quixard word1 " * 8)]), model).collect()}
+    assert got[1].toxic and got[2].toxic and got[2].grade < 3 == got[3].grade
+
+
 def test_toxicity_odd(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = tox.train(docs(ODD), none)
