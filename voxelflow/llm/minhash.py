@@ -160,8 +160,8 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.column("n").to_numpy()
         each = np.array(np.repeat(np.arange(len(n)), lost + new))
         e = np.concatenate([np.zeros(0, np.uint64), *[p for x, y in zip(lacks, adds, strict=True) for p in (mix(x.astype(np.uint64) + np.uint64(1)), y)]])
-        rows = batch.select(["hub", "cid"]).take(pa.array(each))
-        yield pa.record_batch([*rows.columns, pa.array((lost + new)[each]), pa.array(n[each]), pa.array((n - new + lost)[each]), pa.array(e.view(np.int64))], ["hub", "cid", "d", "n", "nh", "e"])
+        rows = batch.select(["hub", "cid", "root"]).take(pa.array(each))
+        yield pa.record_batch([*rows.columns, pa.array((lost + new)[each]), pa.array(n[each]), pa.array((n - new + lost)[each]), pa.array(e.view(np.int64))], ["hub", "cid", "root", "d", "n", "nh", "e"])
 
 
 def _alike(members: DataFrame, percent: int) -> DataFrame:
@@ -176,16 +176,16 @@ def _alike(members: DataFrame, percent: int) -> DataFrame:
     """
     t = percent / 100
     r = (1 - t) / (1 + t)
-    rows = stored(members.select("hub", "cid", "n", "lacks", "adds").mapInArrow(tidy(_elements), "hub long, cid long, d long, n long, nh long, e long"))
+    rows = stored(members.select("hub", "cid", "root", "n", "lacks", "adds").mapInArrow(tidy(_elements), "hub long, cid long, root long, d long, n long, nh long, e long"))
     often = stored(rows.groupBy("hub", "e").agg(F.count("*").alias("df")))
-    s, step = F.col("d") - r * F.col("n"), F.greatest(F.lit(1.0), r / 2 * F.col("nh"))
+    s, step = F.col("d") - r * F.col("n"), F.greatest(F.lit(1.0), r * F.col("nh"))
     ranked = rows.join(often, ["hub", "e"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "cid").orderBy("df", "e"))).where("df > 1")
     levels = F.sequence(F.floor((s - 2 * r / t * F.col("n")) / step), F.floor(s / step))
     filed = ranked.withColumns({"s": s, "step": step, "level": F.explode(levels)})
     filed = filed.where(F.col("place") <= F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("level") * F.col("step") + F.col("s")) / 2 - 1e-6)))
-    filed = stored(filed.select("hub", F.xxhash64("level", "e").alias("key"), "cid").distinct())
-    crowds = stored(filed.join(members.select("hub", "cid", "root"), ["hub", "cid"]).groupBy("hub", "key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi"))
-    return filed.join(crowds.select("hub", "key", "c"), ["hub", "key"]).join(members, ["hub", "cid"]).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    filed = stored(filed.select("hub", F.xxhash64("level", "e").alias("key"), "cid", "root"))
+    crowds = stored(filed.groupBy("hub", "key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi"))
+    return filed.drop("root").join(crowds.select("hub", "key", "c"), ["hub", "key"]).join(members, ["hub", "cid"]).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
