@@ -59,6 +59,43 @@ def test_licenses(docs):
         lic.scan_licenses(docs(rows), {"none": "..."})
 
 
+def test_licenses_with_words_between(docs):
+    """A foreign word after each word, numbered lines, two columns: found, by an alignment of the whole text."""
+    r = random.Random(3)
+    other = lambda: "".join(r.choice("vwxyz") for _ in range(6))
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0"):
+        plain = lic.TEMPLATES[name].split()
+        between = " ".join(f"{w} {other()}" for w in plain)
+        columns = "\n".join(" ".join(plain[i : i + 3]) + "   " + " ".join(other() for _ in range(5)) for i in range(0, len(plain), 3))
+        rows = [(1, between), (2, columns), (3, f"{between}\n{' '.join(plain)}\n{between}"), (4, " ".join(other() for _ in range(99)) + " " + between)]
+        got = {x.doc_id: x for x in lic.scan_licenses(docs(rows)).collect()}
+        assert all(x.license == name and x.coverage == 1.0 for x in got.values())
+        assert got[3].matches.count(f"{name}:") == 3
+    scattered = " ".join(other() if i % 40 else ("all", "rights", "reserved")[i // 40 % 3] for i in range(400))
+    assert lic.scan_licenses(docs([(1, scattered)])).first().n_matches == 0
+
+
+def test_scanner_against_whole_text_alignment():
+    """A template is found where patience aligns enough of it with the whole text, whatever was done to it."""
+    r = random.Random(5)
+    scanner = lic.Scanner(lic.TEMPLATES, lic.THRESHOLD)
+    long = [n for n, t in lic.TEMPLATES.items() if len(lic.words(t)[0]) >= lic.LONG]
+    hits = 0
+    for _ in range(250):
+        words = lic.words(lic.TEMPLATES[r.choice(long)])[0]
+        keep, more = r.uniform(0.6, 1), r.choice((0, 0, 0.2, 1, 2))
+        text = [w for x in words if r.random() < keep for w in (x, *(f"q{r.randrange(10**6)}" for _ in range(int(r.random() * 2 * more + 0.5))))]
+        text = [f"p{r.randrange(10**6)}" for _ in range(r.randrange(40))] + text
+        joined = " ".join(text)
+        found = {scanner.names[t] for _, t, _, _ in scanner.scan(joined, next(iter(word_hashes(pa.array([joined]), PLAIN))))}
+        for name in long:
+            words = lic.words(lic.TEMPLATES[name])[0]
+            if len(lic.align(text, words)) >= lic.THRESHOLD * len(words):
+                assert name in found
+                hits += 1
+    assert 100 < hits < 250
+
+
 def test_licenses_odd(docs):
     assert all(x.license is None and x.n_matches == 0 and x.matches == "" for x in odd_cases(docs, lic.scan_licenses, len(ODD)))
 

@@ -1,10 +1,15 @@
 """License scan: patience alignment of texts with license templates.
 
 Words are anchored where they occur once in both; the longest increasing run of anchors is kept, and the gaps between them, and
-before and after, are aligned in the same way. The share of a template's words that are aligned is its coverage. A text may
-hold a license anywhere and several times, so it is aligned within stretches whose words could cover the template: at most as long
-as the template and a half, with words that, each counted as often as the template has it, reach the threshold. That bound is never
-below the coverage; most texts fail it for all templates at once.
+before and after, are aligned in the same way. The share of a template's words that are aligned is its coverage. The only filter before
+is a bound that is never below the coverage: the words of the template that the text has, each counted as often as the template
+has it. Most texts fail it for all templates at once.
+
+A text may hold a license several times, and words are then unique in a part of it only. So stretches of a template and a half whose
+words reach the threshold are aligned first; then what is left before, between and after the licenses found is aligned whole, in
+which words may stand between any two of the license: numbers, marks of quotation, another column. Templates of fewer than LONG words
+are lines, which must stand in one stretch: three words scattered over a book in the right order are no license. Anchors are
+unique in the part that is aligned.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ TEMPLATES = {
 }
 #: Share of a template's words that must be aligned.
 THRESHOLD = 0.8
+#: Words from which a template is aligned with all of a text.
+LONG = 20
 
 # as the hashes of words see them: signs beyond ASCII that stand around words are made spaces first, one for one
 _WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
@@ -123,8 +130,29 @@ class Scanner:
         counts = np.bincount(at[self.hashes[at] == hashed], minlength=len(self.hashes))
         return np.flatnonzero(np.minimum(self.table, counts).sum(axis=1) >= self.threshold * self.sizes)
 
-    def places(self, found: list[str], which: int) -> Iterator[tuple[int, int, int]]:
-        """(aligned words, first, last) of each place where a template is covered, none overlapping.
+    def places(self, found: list[str], which: int) -> list[tuple[int, int, int]]:
+        """(aligned words, first, last) of each place where a template is covered, in order, none overlapping."""
+        out = list(self.dense(found, which))
+        size = len(self.words[which])
+        if size < LONG:
+            return out
+        ends = [-1, *(p for _, a, b in out for p in (a, b)), len(found)]
+        todo = list(zip(ends[::2], ends[1::2], strict=True))
+        while todo:
+            a, b = todo.pop()
+            part = found[a + 1 : b]
+            here = Counter(w for w in part if w in self.counts[which])
+            if sum(min(n, self.counts[which][w]) for w, n in here.items()) < self.threshold * size:
+                continue
+            pairs = align(part, self.words[which])
+            if len(pairs) >= self.threshold * size:
+                first, last = a + 1 + pairs[0][0], a + 1 + pairs[-1][0]
+                out.append((len(pairs), first, last))
+                todo += [(a, first), (last, b)]
+        return sorted(out, key=lambda m: m[1])
+
+    def dense(self, found: list[str], which: int) -> Iterator[tuple[int, int, int]]:
+        """As `places`, of licenses in stretches of at most a template and a half.
 
         A stretch that ends where the bound is reached, with half a template more, is aligned; after a license the search goes on
         behind it, else the stretch begins a word later.
@@ -191,7 +219,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """One row per row of `docs`: id_col, license (the best covered, of these the longest, then by name; null if none), coverage,
     n_matches, matches (name:start:end:coverage by place, in code points).
 
-    A template counts where at least `threshold` of its words are aligned. Words are compared in lower case, without signs. Null
+    A template counts where at least `threshold` of its words are aligned: within a template and a half, or, of LONG words on, wherever
+    they stand in the text. Words are compared in lower case, without signs. Null
     text counts as empty and has no license. Repeated rows and null ids are kept; other columns are ignored; an empty table
     gives an empty result. A template must have a word.
     """
