@@ -392,6 +392,30 @@ def test_fingerprints(docs):
     assert np.mean([x.near_edited for x in got.values() if x.n_chars > 100]) > 0.6
 
 
+@pytest.mark.parametrize("case", ["many", "hot", "null", "uneven"])
+def test_ranges_of_all_kinds(docs, monkeypatch, case):
+    """More ranges than cuts, an id and null ids that many rows have, ids far apart: each row's successor is the next in order."""
+    monkeypatch.setattr(sh, "ROWS_PER_RANGE", 6)
+    monkeypatch.setattr(sh, "MOST_CUTS", 5 if case in ("many", "uneven") else 4096)
+    r = random.Random(11)
+    ids = {"many": list(range(150)), "hot": [r.choice((7, 7, *range(20))) for _ in range(150)], "null": [r.choice((None, r.randrange(400))) for _ in range(150)], "uneven": [i**4 - 50 for i in range(150)]}[case]
+    rows = [(i, f"t{k} " + "a b c d e f " * (k % 5)) for k, i in enumerate(ids)]
+    frame = docs(rows)
+    ties = {x.text: x.h for x in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, ties[x[1]]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(t) // 2
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    got = [(str(x.doc_id), x.n_chars, x.edited_sha256) for x in sh.fingerprints(frame.repartition(4)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        sh.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_fingerprint_votes(spark):
     """Against the votes counted one by one."""
     texts = ["a b c a b c d", "one", "", "The THE the the", "x " * 500]

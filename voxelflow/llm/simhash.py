@@ -8,9 +8,11 @@ neighbours in id order.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections import Counter
+from dataclasses import dataclass
+from itertools import accumulate, combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import partitions, stored, whole
 
@@ -22,6 +24,10 @@ RADIUS = 23
 BLOCKS, SIDE = 8, 16
 #: Rows that one range of ids holds at most, about; a range is what one window partition sorts.
 ROWS_PER_RANGE = 20_000
+#: Cuts between ranges that are one expression; beyond that the stretches between them are divided evenly.
+MOST_CUTS = 4096
+#: Ranges whose first rows are found by a broadcast (some 40 bytes each); more by a shuffle.
+BROADCAST_RANGES = 1_000_000
 _PAIR = 0x0000000100000001
 
 
@@ -61,11 +67,50 @@ def likeness(lo: str, hi: str, lo2: str, hi2: str) -> Column:
     return 1 - apart / F.lit(float(BITS))
 
 
-def id_ranges(docs: DataFrame, id_col: str, rows: int) -> list[int]:
-    """Ascending ids, without the least, that cut `docs` into ranges of about equal size: one aggregate over the id column."""
-    n = min(4096, max(4 * partitions(docs.sparkSession), -(-rows // ROWS_PER_RANGE)))
-    cuts, least = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n), F.min(id_col)).first()
-    return sorted({x for x in cuts or [] if x > least})
+@dataclass(frozen=True)
+class Ranges:
+    """Numbers of ranges of ids, ascending with (id, tie), null ids first.
+
+    cuts: ascending ids at which a stretch begins; a stretch without a cut of its own comes before the first. pieces: for null and for each cut,
+    in how many ranges its rows are dealt by their tie (0: with the rest of the stretch). parts: ranges of a stretch, of even width.
+    """
+
+    least: int
+    greatest: int
+    cuts: list[int]
+    pieces: list[int]
+    parts: int
+
+    @property
+    def plain(self) -> bool:
+        """Whether every range but the first begins with the rows of a cut, all of which it holds."""
+        return self.parts == 1 and not any(self.pieces)
+
+    def of(self, id_col: str, tie_col: str) -> Column:
+        steps = [self.pieces[0], *(p + self.parts for p in self.pieces[1:])]  # ranges before a stretch's own
+        starts = list(accumulate([self.pieces[0], self.parts, *steps[1:]]))[: len(self.cuts) + 1]
+        lows, highs = [self.least, *self.cuts], [*self.cuts, self.greatest + 1]
+        long = lambda x: F.lit(x).cast("array<bigint>")
+        at = F.col("_at") + 1
+        low, high, piece = F.element_at(long(lows), at), F.element_at(long(highs), at), F.element_at(long([0, *self.pieces[1:]]), at)
+        dealt = lambda n: F.least(F.floor((F.col(tie_col).cast("double") / 2.0**64 + 0.5) * n), n - 1)
+        even = F.least(F.floor((F.col(id_col) - low) / F.greatest(high - low, F.lit(1)).cast("double") * self.parts), F.lit(self.parts - 1)) if self.parts > 1 else F.lit(0)
+        inside = F.when((piece > 0) & (F.col(id_col) == low), dealt(piece)).otherwise(piece + even)
+        return F.when(F.col(id_col).isNull(), dealt(F.lit(max(1, self.pieces[0])))).otherwise(F.element_at(long(starts), at) + inside).cast("long")
+
+
+def id_ranges(docs: DataFrame, id_col: str, rows: int, nulls: int) -> Ranges:
+    """Ranges of about ROWS_PER_RANGE rows: one aggregate over the id column. An id that several cuts fall on is dealt to as many ranges."""
+    n = max(4 * partitions(docs.sparkSession), -(-rows // ROWS_PER_RANGE))
+    parts, n = -(-n // MOST_CUTS), min(n, MOST_CUTS)
+    found, least, greatest = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n), F.min(id_col), F.max(id_col)).first()
+    times = Counter(x for x in found or [] if x > least)
+    first = sum(x == least for x in found or [])
+    cuts = sorted(times)
+    pieces = [-(-nulls // ROWS_PER_RANGE) if nulls else 0, *(parts * times[x] if times[x] > 1 else 0 for x in cuts)]
+    if first > 1:  # the least id alone fills ranges
+        cuts, pieces = [least, *cuts], [pieces[0], parts * first, *pieces[1:]]
+    return Ranges(least or 0, greatest or 0, cuts, pieces, parts)
 
 
 def range_of(id_col: str, cuts: list[int]) -> Column:
@@ -80,30 +125,44 @@ def range_of(id_col: str, cuts: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(reach(at, step), F.lit(False)), at + step).otherwise(at))
 
 
+def _dealt(base: DataFrame, ranges: Ranges) -> DataFrame:
+    """id, text, tie, range, guest, wrap: each row in its range, and in the range before the first row of a range as a guest."""
+    numbered = base.withColumn("tie", F.xxhash64("text")).withColumn("_at", range_of("id", ranges.cuts)).withColumn("range", ranges.of("id", "tie")).drop("_at")
+    if ranges.plain:
+        last = len(ranges.cuts)
+        heads = F.lit(ranges.cuts or [0]).cast("array<bigint>")
+        head = (F.col("range") > 0) & (F.col("id") == F.element_at(heads, F.greatest(F.col("range"), F.lit(1)).cast("int")))
+        spot = lambda r, guest, wrap: F.struct(r.cast("long").alias("range"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
+        places = F.array(spot(F.col("range"), 0, 0), F.when(head, spot(F.col("range") - 1, 1, 0)), F.when(F.col("id") == ranges.least, spot(F.lit(last), 1, 1)))
+        return numbered.withColumn("to", F.explode(F.filter(places, lambda x: x.isNotNull()))).select("id", "text", "tie", "to.range", "to.guest", "to.wrap")
+    # a row per range, from which the one before it is known
+    firsts = numbered.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("z"), "id", "tie")).alias("f"), F.lit(1).alias("all"))
+    order = Window.partitionBy("all").orderBy("range")
+    lag, last = F.lag("range").over(order), F.max("range").over(Window.partitionBy("all"))
+    heads = stored(firsts.select(F.col("f.id").alias("hid"), F.col("f.tie").alias("htie"), F.coalesce(lag, last).alias("to"), F.when(lag.isNull(), 1).otherwise(0).alias("wrap")))
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_RANGES else heads
+    guests = numbered.join(heads, F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).dropDuplicates(["to", "wrap"])
+    own = numbered.select("id", "text", "tie", "range", F.lit(0).alias("guest"), F.lit(0).alias("wrap"))
+    return own.unionByName(guests.select("id", "text", "tie", F.col("to").alias("range"), F.lit(1).alias("guest"), "wrap"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`, with the fingerprints of its text and of its edited text.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next row's text
-    in ascending order of id, an integer; the first row follows the last, and a single row follows itself. Null ids come first;
-    rows of one id follow one another by a hash of their text. Null text counts as empty, which is one empty term. Columns:
-    id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lo, hi (the fingerprint as longs).
-    Other columns are ignored; an empty table gives an empty result.
+    in ascending order of id; the first row follows the last, and a single row follows itself. Null ids come first; rows of one id follow
+    one another by a hash of their text. Ids are integers; others raise a TypeError. Null text counts as empty, which is one empty
+    term. Columns: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lo, hi (the fingerprint
+    as longs). Other columns are ignored; an empty table gives an empty result.
 
-    Rows are dealt to ranges of ids of about equal size. A range also gets the first row of the next one, so each text has its
-    successor beside it; terms are then counted where the texts are.
+    Rows are dealt to ranges of ids of about equal size; an id, or null, that many rows have is dealt by a hash of the text. A range
+    also gets the first row of the next one, so each text has its successor beside it; terms are then counted where the texts are.
     """
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is no integer")
     base = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
     rows, nulls = docs.agg(F.count("*"), F.count(F.when(F.col(id_col).isNull(), 1))).first()
-    cuts = id_ranges(docs, id_col, rows) if rows > nulls else []
-    least = base.agg(F.min("id")).first()[0]
-    first = F.col("id").isNull() if nulls or not rows else F.col("id") == F.lit(least)
-    last = len(cuts)
-    heads = F.lit(cuts or [0]).cast("array<bigint>")
-    head = (F.col("range") > 0) & (F.col("id") == F.element_at(heads, F.greatest("range", F.lit(1))))
-    spot = lambda r, guest, wrap: F.struct(r.cast("int").alias("range"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
-    places = F.array(spot(F.col("range"), 0, 0), F.when(head, spot(F.col("range") - 1, 1, 0)), F.when(first, spot(F.lit(last), 1, 1)))
-    dealt = base.withColumn("range", range_of("id", cuts)).withColumn("to", F.explode(F.filter(places, lambda x: x.isNotNull())))
-    dealt = dealt.select("id", "text", F.xxhash64("text").alias("tie"), "to.range", "to.guest", "to.wrap")
+    dealt = _dealt(base, id_ranges(docs, id_col, rows, nulls))
 
     order = Window.partitionBy("range").orderBy("wrap", F.col("id").asc_nulls_first(), "tie")
     paired = dealt.select("*", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"), F.char_length("text").alias("n"))
