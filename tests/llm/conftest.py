@@ -19,6 +19,7 @@ def docs(spark):
 ODD = [(None, "a null id"), (1, None), (2, ""), (3, " \t\n"), (4, "twice the same row"), (4, "twice the same row"), (5, "x" * 200_000), (6, "é ü ß 漢字 😀 ▁ \x1c"), (7, None)]
 #: Columns with the names that the operators use inside.
 CLASH = [("id", 1), ("part", 2), ("fp", 3), ("row", 4), ("text2", "x"), ("th", 5), ("kept", True), ("n_lines", 9), ("key", "k"), ("range", 3), ("next", "n")]
+CLASH += [(name, "c") for name in ("cid", "hub", "sig", "digest", "node", "root", "line", "rank", "words", "spans", "wanted", "place", "before", "length", "open", "tie", "tags")]
 
 
 def odd_cases(docs, operator, rows_out=None):

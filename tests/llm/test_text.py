@@ -330,6 +330,77 @@ def test_tagger_gradient():
         assert math.isclose((sides[0] - sides[1]) / 2e-3, grads[k][at], rel_tol=0.02)
 
 
+def test_crf_against_all_paths():
+    """The best tags and the likelihood, against every sequence of tags of short texts."""
+    r = np.random.default_rng(3)
+    m = tagger.Tagger(2)
+    m.w["t"] = r.normal(0, 1.5, m.w["t"].shape).astype(np.float32)
+    m.w["b"] = r.normal(0, 1.5, m.w["b"].shape).astype(np.float32)
+    for n in (1, 2, 4):
+        x = r.integers(0, tagger.CLASSES, (n, 5))
+        e, _ = m.emissions(x)
+        paths = np.array(list(itertools.product(range(tagger.TAGS), repeat=n)))
+        y = r.integers(0, tagger.TAGS, (n, 5))
+        lost = []
+        best = m.decode(x)
+        for j in range(5):
+            score = lambda p, j=j: sum(e[i, j, p[:, i]] for i in range(n)) + sum(m.w["t"][p[:, i - 1], p[:, i]] for i in range(1, n))
+            every = score(paths)
+            assert paths[every.argmax()].tolist() == best[:, j].tolist()
+            lost.append(np.logaddexp.reduce(every.astype(float)) - score(y[:, j][None])[0])
+        assert math.isclose(m.gradients(x, y)[0], np.mean(lost), rel_tol=1e-4)
+
+
+def test_windows_left_out_hold_nothing():
+    """Windows with neither a digit nor an at sign that no span reaches change nothing: all windows give the same accepted spans."""
+    model, r = tagger.trained(), random.Random(21)
+    texts = []
+    for k in range(40):
+        parts = [t for t, _ in tagger.sentences(6, 500 + k)] + [" ".join("plain" + "e" * r.randrange(9) for _ in range(r.randrange(200))) for _ in range(4)]
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    some = pii.all_spans(texts, model)
+    every = []
+    for t in texts:
+        which = list(range((len(t) - 1) // pii.STRIDE + 1))
+        tags = model.decode(np.ascontiguousarray(pii.windows(t, which).T).astype(np.int64)).T[:, pii.MARGIN : pii.MARGIN + pii.STRIDE]
+        spans = [(*pii._trim(t, a, b), k) for a, k, b in pii._spans_of(np.concatenate(tags)[: len(t)], 0)]
+        base = pii.base_spans(t)
+        every.append(sorted(base + [(a, k, b) for a, b, k in spans if a < b and not any(p < b and a < q for p, _, q in base) and pii._accept(k, t[a:b])]))
+    assert [s for _, s in some] == every
+
+
+def test_spellings_that_the_patterns_miss():
+    """What the tagger is there for: addresses, numbers and cards written as no pattern has them, in sentences it wasn't trained on."""
+    r = random.Random(31)
+    name = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randrange(3, 9)))
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + d(14)
+        body += next(c for c in "0123456789" if tagger.luhn(body + c))
+        return ".".join(body[i : i + 4] for i in range(0, 16, 4))
+
+    make = {0: lambda: f"{name()}.{name()} @ {name()}.com", 1: lambda: "[.]".join(str(r.randrange(256)) for _ in range(4)), 2: card, 3: lambda: f"({d(3)}) {d(3)}-{d(4)}"}
+    start = ("Please write to ", "Reach me at ", "The old entry was ", "see also: ", "Contact = ", "Meine Nummer ist ", "from ")
+    end = (" before noon.", ", thanks", " or come by", "\nBest regards", " (office)", "; then wait")
+    texts, want, clean = [], [], []
+    for _ in range(400):
+        kind = r.randrange(4)
+        a, piece, b = r.choice(start) + name() + " ", make[kind](), r.choice(end)
+        texts.append(a + piece + b)
+        want.append((len(a), kind, len(a) + len(piece)))
+        clean.append(r.choice(start) + r.choice((f"the year {r.randrange(1900, 2030)}", f"room {d(3)}", f"{d(2)},{d(3)} items", f"v{d(1)}.{d(2)}", f"@{name()}", f"{d(1)}.{d(1)} %", name())) + r.choice(end))
+    model = tagger.trained()
+    assert sum(bool(pii.base_spans(t)) for t in texts) < 0.1 * len(texts)
+    found = [s for _, s in pii.all_spans(texts, model)]
+    recall = sum(w in f for w, f in zip(want, found, strict=True)) / len(texts)
+    precision = sum(w in f for w, f in zip(want, found, strict=True)) / max(1, sum(map(len, found)))
+    wrong = sum(bool(s) for _, s in pii.all_spans(clean, model)) / len(clean)
+    print(f"recall {recall:.3f}, precision {precision:.3f}, clean texts with a span {wrong:.3f}")
+    assert recall >= 0.8 and precision >= 0.8 and wrong <= 0.05
+
+
 def test_windows_are_joined():
     """A span far longer than a window's middle, and texts decoded together or alone."""
     model = tagger.trained()
