@@ -104,8 +104,15 @@ def largest_component(mask: DataFrame, volumes: DataFrame, connectivity: int = 6
 
 def most_similar_component(mask: DataFrame, reference: DataFrame, volumes: DataFrame) -> DataFrame:
     """The cells of the component with the highest intersection over union with the reference; none if none overlaps."""
+    return most_similar_with_score(mask, reference, volumes)[0]
+
+
+def most_similar_with_score(mask: DataFrame, reference: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells of the most similar component, and (volume_id, label, iou) of it."""
     labels = stored(label(mask, volumes, 6))
-    return with_label(labels, best_label(overlap_by_label(labels, reference).where("iou > 0"), "iou"))
+    scores = stored(overlap_by_label(labels, reference).where("iou > 0"))
+    best = stored(best_label(scores, "iou"))
+    return with_label(labels, best), scores.join(best, ["volume_id", "label"], "left_semi")
 
 
 def drop_small(mask: DataFrame, volumes: DataFrame, least: int = 50, connectivity: int = 6) -> DataFrame:

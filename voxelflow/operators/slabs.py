@@ -35,6 +35,15 @@ def sparse(array: np.ndarray, volume_id: str, z0: int, keep: np.ndarray, name: s
     return pd.DataFrame(out)
 
 
+def boxed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The mask of some cells in their bounding box, and the box's first cell."""
+    at = rows[list("zyx")].to_numpy(np.int64)
+    low = at.min(axis=0)
+    out = np.zeros(at.max(axis=0) - low + 1, bool)
+    out[tuple((at - low).T)] = True
+    return out, low
+
+
 def by_slab(
     voxels: DataFrame,
     volumes: DataFrame,

@@ -17,11 +17,11 @@ from ..functions.offsets import exact_ball, itk_ball
 from ..operators import components as comp, masks as m, morphology as morph, stencils
 from ..operators.branches import fill_gap, smooth_branch
 from ..operators.fronts import fast_march
-from ..operators.graphs import edge_thickness, nearest_edge, node_order, tree
+from ..operators.graphs import edge_thickness, largest_graph, nearest_edge, node_order, tree
 from ..operators.hulls import body_hull, hull_by_slice
 from ..operators.mixture import threshold_volume
-from ..operators.skeletons import PATHS, path_skeleton, skeleton_graph, thin
-from ..operators.slabs import by_volume, dense
+from ..operators.skeletons import PATHS, path_graph, path_skeleton, skeleton_graph, thin
+from ..operators.slabs import boxed, by_volume
 from ..session import stored
 from ..sources.nrrd import coerce
 
@@ -110,34 +110,99 @@ def vessels(image: DataFrame, lung_labels: DataFrame, volumes: DataFrame, lobe_l
     return kept if binary else m.lookup(kept, lobe_labels)
 
 
-def skeleton_tables(mask: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node (graph_id, node_id, z, y, x) and edge (graph_id, src, dst, line) of each volume's skeleton; line: points as z, y, x in turn.
+def skeleton(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+    """The lines of a mask: thinned, holes of that filled, and the clumps that filling leaves taken away again."""
 
-    The mask's largest part is thinned; if the graph has more than NODES nodes the tree of shortest paths is taken instead.
-    """
+    def kernel(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
+        array, low = boxed(rows)
+        at = np.argwhere(thin(array)) + low
+        return pd.DataFrame({"volume_id": info["volume_id"], **{a: at[:, i].astype(np.int32) for i, a in enumerate("zyx")}})
+
+    return without_clumps(stored(by_volume(mask.select(*KEYS), volumes, kernel, "volume_id string, z int, y int, x int")), volumes)
+
+
+def without_clumps(lines: DataFrame, volumes: DataFrame) -> DataFrame:
+    """A mask with its holes filled, less what an opening by a ball of radius 1 keeps of that."""
+    filled = stored(morph.fill_holes(lines, volumes, 6))
+    return m.minus(filled, morph.opening(filled, volumes, itk_ball(1, 1, 1)))
+
+
+def path_preparation(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+    """What the tree of shortest paths is found in: holes filled by all 26 neighbours, parts of at most 50 cells dropped if there are several."""
+    return comp.drop_small(morph.fill_holes(mask, volumes, 26), volumes, 50)
+
+
+_GRAPH = "graph_id string, node_id int, z int, y int, x int, src int, dst int, line array<int>"
+
+
+def _tables(nodes, edges, low: np.ndarray, graph_id: str) -> pd.DataFrame:
+    out = [(graph_id, i, *map(int, p + low), -1, -1, []) for i, p in enumerate(nodes)]
+    out += [(graph_id, -1, 0, 0, 0, i, j, (line + low).ravel().tolist()) for i, j, line in edges]
+    return pd.DataFrame(out, columns=["graph_id", "node_id", "z", "y", "x", "src", "dst", "line"])
+
+
+def line_graph(lines: DataFrame, volumes: DataFrame, ends_at_nodes: bool = True) -> DataFrame:
+    """Nodes and edges of thin masks in one table; an edge has node_id -1."""
+
+    def kernel(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
+        array, low = boxed(rows)
+        return _tables(*skeleton_graph(array, ends_at_nodes), low, info["volume_id"])
+
+    return by_volume(lines.select(*KEYS), volumes, kernel, _GRAPH)
+
+
+def path_graphs(mask: DataFrame, volumes: DataFrame, detail: str = "fine") -> DataFrame:
+    """As `line_graph`, of the tree of shortest paths; of the parts that of most points. Too few points with "fine" are tried again."""
 
     def kernel(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
-        shape = tuple(int(info[f"n{a}"]) for a in "zyx")
-        array = dense(rows, 0, shape, None, 0)
-        nodes, edges = skeleton_graph(thin(array))
-        if len(nodes) > NODES:
-            lines = path_skeleton(array, **PATHS["fine"])
-            if sum(map(len, lines)) < min(3000, int(array.sum()) // 500):
-                retry = path_skeleton(array, **PATHS["retry"])
-                lines = max(lines, retry, key=lambda x: sum(map(len, x)))
-            drawn = np.zeros(shape, bool)
-            for line in lines:
-                drawn[tuple(line.T)] = True
-            nodes, edges = skeleton_graph(drawn)
-        out = [(info["volume_id"], i, int(z), int(y), int(x), -1, -1, []) for i, (z, y, x) in enumerate(nodes)]
-        out += [(info["volume_id"], -1, 0, 0, 0, i, j, line.ravel().tolist()) for i, j, line in edges]
-        return pd.DataFrame(out, columns=["graph_id", "node_id", "z", "y", "x", "src", "dst", "line"])
-
-    largest = comp.largest_component(mask, volumes)
-    both = stored(by_volume(largest, volumes, kernel, "graph_id string, node_id int, z int, y int, x int, src int, dst int, line array<int>"))
+        array, low = boxed(rows)
+        found = path_graph(path_skeleton(array, **PATHS[detail]))
+        if detail == "fine" and len(found[0]) < min(3000, len(rows) // 500):
+            found = path_graph(path_skeleton(array, **PATHS["retry"]))
+        return _tables(*found, low, info["volume_id"])
+
+    return by_volume(path_preparation(mask, volumes), volumes, kernel, _GRAPH)
+
+
+def clean_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The largest connected part of each graph, and of its edges those of the breadth-first tree from the node of greatest z."""
+    kept = stored(largest_graph(nodes, edges))
+    nodes = nodes.join(kept, ["graph_id", "node_id"], "left_semi")
+    edges = edges.join(kept.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi")
+    way = tree(nodes, edges)
+    both = way.unionByName(way.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return nodes, edges.join(both, ["graph_id", "src", "dst"], "left_semi")
+
+
+def _split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("node_id >= 0").select("graph_id", "node_id", "z", "y", "x"), both.where("src >= 0").select("graph_id", "src", "dst", "line")
 
 
+def skeleton_tables(mask: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node (graph_id, node_id, z, y, x) and edge (graph_id, src, dst, line) of each volume's skeleton; line: points as z, y, x in turn.
+
+    The mask's largest part is thinned, and the graph of that is cleaned. Where it has more than NODES nodes, the tree of shortest
+    paths of the mask is taken instead.
+    """
+    nodes, edges = _split(stored(line_graph(skeleton(comp.largest_component(mask, volumes), volumes), volumes)))
+    nodes, edges = (stored(x) for x in clean_graph(nodes, edges))
+    wide = stored(nodes.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > NODES).select(F.col("graph_id").alias("volume_id")))
+    if wide.isEmpty():
+        return nodes, edges
+    paths = _split(stored(path_graphs(mask.join(wide, "volume_id", "left_semi"), volumes)))
+    few = wide.withColumnRenamed("volume_id", "graph_id")
+    kept = stored(largest_graph(*paths))
+    paths = paths[0].join(kept, ["graph_id", "node_id"], "left_semi"), paths[1].join(kept.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi")
+    return tuple(stored(x.join(few, "graph_id", "left_anti").unionByName(y)) for x, y in zip((nodes, edges), paths, strict=True))
+
+
+def top_node(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(volume_id, z, y, x) of the skeleton's node with the greatest z of each volume's mask; of several the first."""
+    nodes, _ = _split(line_graph(skeleton(mask, volumes), volumes, False))
+    best = nodes.groupBy("graph_id").agg(F.min(F.struct((-F.abs("z")).alias("up"), "node_id", "z", "y", "x")).alias("m"))
+    return best.select(F.col("graph_id").alias("volume_id"), "m.z", "m.y", "m.x")
+
+
 def _oriented(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(volume_id, edge_id, src, dst, line) of the tree's edges, lines from parent to child."""
     way = tree(nodes, edges)
