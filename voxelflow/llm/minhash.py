@@ -184,7 +184,7 @@ def _alike(members: DataFrame, percent: int) -> DataFrame:
     filed = ranked.withColumns({"s": s, "step": step, "level": F.explode(levels)})
     filed = filed.where(F.col("place") <= F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((F.col("level") * F.col("step") + F.col("s")) / 2 - 1e-6)))
     filed = stored(filed.select("hub", F.xxhash64("level", "e").alias("key"), "cid", "root"))
-    crowds = stored(filed.groupBy("hub", "key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi"))
+    crowds = filed.groupBy("hub", "key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
     return filed.drop("root").join(crowds.select("hub", "key", "c"), ["hub", "key"]).join(members, ["hub", "cid"]).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
 
 
