@@ -6,14 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.geometry import between_endpoints, fit_ellipse, gauss_crossings, in_ellipse, in_frustum, principal_axes
+from ..functions.geometry import between_endpoints, collinear, fit_ellipse, gauss_crossings, in_ellipse, in_frustum, principal_axes
+from ..functions.offsets import itk_ball
 from ..operators import branches, components as comp, fronts, graphs, hulls, masks as m, mixture, stencils
 from ..operators.skeletons import skeleton_graph, thin
 from ..operators.slabs import by_volume, dense, sparse
 from ..operators.sweeps import sweep_from_centre
 from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, grid, grid_volume, poly, vec, vec_volume, volume
-from . import pipelines
-from .mask_queries import GRID, NX, NY, NZ, VEC, labelled
+from . import filter_sql as fs, pipelines
+from .mask_queries import BORDER, GRID, INSIDE, NEAR6, NEAR26, NX, NY, NZ, VEC, dilated, eroded, filled, labelled, passed
 
 POLY = f"poly as ({POLY_SQL})"
 QUERIES = {}
@@ -93,12 +94,22 @@ _query(
 
 
 def _collinear(points: DataFrame) -> DataFrame:
-    ends = points.groupBy("user_id").agg(*[F.min(F.when(F.col("i") == k, F.col(a))).alias(f"{a}{k}") for k in (0, 1) for a in "yx"])
-    off = F.abs((F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) - (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")))
-    return points.join(ends, "user_id").groupBy("user_id").agg(F.min(F.coalesce(off <= 1e-8, F.lit(True))).alias("collinear"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": rows["user_id"].iloc[:1], "collinear": [collinear(rows.sort_values("i")[["y", "x"]].to_numpy(float))]})
+
+    return points.groupBy("user_id").applyInPandas(run, "user_id long, collinear boolean")
+
+
+@_query("kept_indices", f"with {POLY} select user_id, i from poly p semi join (select user_id, z, y, x from poly where x >= 10) k using (user_id, z, y, x)")
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        p = rows[list("zyx")].to_numpy()
+        return rows.iloc[branches.kept_indices(p, p[p[:, 2] >= 10])][["user_id", "i"]]
+
+    return poly(s, d).groupBy("user_id").applyInPandas(run, "user_id long, i int")
 
 
-_query("kept_indices", f"with {POLY} select user_id, i from poly p semi join (select user_id, z, y, x from poly where x >= 10) k using (user_id, z, y, x)")(lambda s, d: (lambda p: p.join(p.where("x >= 10").select("user_id", "z", "y", "x"), ["user_id", "z", "y", "x"], "left_semi").select("user_id", "i"))(poly(s, d)))
 _query(
     "densify_points",
     f"with {POLY}, nb as (select a.user_id, a.i as i, b.i as j, row_number() over (partition by a.user_id, a.i order by pow(a.z - b.z, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2), b.i) as rn from poly a join poly b using (user_id)), e as (select * from nb where rn <= 10 and j > i), "
@@ -134,11 +145,25 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
         p = rows[list("zyx")].to_numpy(float)
         mean, axes = principal_axes(p)
         t = (p - mean) @ axes.T
+        assert np.allclose(axes @ axes.T, np.eye(3))
         return rows[["user_id", "i"]].assign(a=t[:, 0], b=t[:, 1], c=t[:, 2])
 
     return poly(s, d).groupBy("user_id").applyInPandas(run, "user_id long, i int, a double, b double, c double")
 
 
+def _spread_sql() -> str:
+    """Variances along the principal axes: the eigenvalues of the covariances, by the cosine of a third of an angle."""
+    cov = ", ".join(f"covar_samp({p}, {q}) as {n}" for p, q, n in (("z", "z", "a"), ("y", "y", "b"), ("x", "x", "c"), ("z", "y", "d"), ("z", "x", "e"), ("y", "x", "f")))
+    return (
+        f"with {POLY}, m as (select user_id, {cov} from poly group by user_id), q as (select *, (a + b + c) / 3 as q from m), p as (select *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) as p from q), "
+        "t as (select *, acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 as t from p) "
+        "select user_id, round(q + 2 * p * cos(t), 4) as a, round(3 * q - (q + 2 * p * cos(t)) - (q + 2 * p * cos(t + 2 * pi() / 3)), 4) as b, round(q + 2 * p * cos(t + 2 * pi() / 3), 4) as c from t"
+    )
+
+
+_query("pca_variances", _spread_sql())(lambda s, d: _pca(s, d).groupBy("user_id").agg(*[F.round(F.var_samp(c), 4).alias(c) for c in "abc"]))
+
+
 @_query("ellipse_fit")
 def _ellipses(s: SparkSession, d: str) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,15 +256,44 @@ def _gradient_sql() -> str:
 
 
 _query("gradient_magnitude", _gradient_sql())(lambda s, d: _cells(stencils.gradient_magnitude(vec(s, d), vec_volume(s, d)).withColumn("v", F.round("v", 6)), "v"))
-_query("em_thresholds")(lambda s, d: mixture.thresholds(vec(s, d)))
-_query("mixture_components")(lambda s, d: mixture.mixture(vec(s, d)))
-_query("tubeness")(lambda s, d: _cells(stencils.tubeness(grid(s, d), grid_volume(s)), "v"))
-_query("vesselness")(lambda s, d: _cells(stencils.vesselness(vec(s, d), m.threshold(vec(s, d), -1000), vec_volume(s, d))[0]))
-_query("blobness")(lambda s, d: _cells(stencils.blobs(grid(s, d), m.threshold(grid(s, d), 1), grid_volume(s), 1.0, 2.0, 3)))
-_query("diffusion")(lambda s, d: _cells(stencils.curvature_diffusion(grid(s, d), grid_volume(s)), "v"))
-_query("fast_march")(lambda s, d: _cells(fronts.fast_march(grid(s, d), m.threshold(grid(s, d), 20), grid_volume(s), 2.0), "v"))
-_query("hull_by_slice")(lambda s, d: _cells(hulls.hull_by_slice(m.threshold(grid(s, d), 17))))
-_query("body_hull")(lambda s, d: _cells(hulls.body_hull(m.threshold(grid(s, d), 17), grid_volume(s))))
+_query("em_thresholds", f"with recursive {VEC}, {fs.mixed('vec')}, {fs.crossings('vec')} select 'vec' as volume_id, i, round(threshold, 4) as threshold from cut")(lambda s, d: mixture.thresholds(vec(s, d)).withColumn("threshold", F.round("threshold", 4)))
+_query("mixture_components", f"with recursive {VEC}, {fs.mixed('vec')} select 'vec' as volume_id, i, round(mean, 4) as mean, round(weight, 6) as weight, round(std, 4) as std from mix")(
+    lambda s, d: mixture.mixture(vec(s, d)).select("volume_id", "i", *[F.round(c, n).alias(c) for c, n in (("mean", 4), ("weight", 6), ("std", 4))])
+)
+_CELLS = fs.dense(GRID_SHAPE, "grid")
+_GRID_SIDES = f"shp as (select {NZ} as n0, {NY} as n1, {NX} as n2)"
+
+
+def _over_scales(sigmas: list[float], each: str) -> str:
+    """Tables of curvatures for each scale, and table best (z, y, x, v) of the greatest value of `each`, in which s is the scale."""
+    tables = ", ".join(f"ev{i} as materialized (with {fs.eigenvalues('cells', 'shp', sigma, 'h', GRID_SHAPE)} select * from h)" for i, sigma in enumerate(sigmas))
+    values = " union all ".join(f"select z, y, x, {each.replace('{s}', repr(float(sigma)))} as v from ev{i}" for i, sigma in enumerate(sigmas))
+    return f"{_GRID_SIDES}, {tables}, best as (select z, y, x, max(v) as v from ({values}) q group by 1, 2, 3)"
+
+
+_TUBE = _over_scales(list(stencils.TUBE_SIGMAS), "pow({s}, 2) * sqrt(greatest(-e0, 0) * greatest(-e1, 0))")
+_query("tubeness", f"with {GRID}, {_CELLS}, {_TUBE} select z, y, x, round(case when (v - lo) / (hi - lo) < 0.025 then 0 else (v - lo) / (hi - lo) end, 6) as v from best, (select min(v) as lo, max(v) as hi from best) e")(
+    lambda s, d: _cells(stencils.tubeness(grid(s, d), grid_volume(s)).withColumn("v", F.round("v", 6)), "v")
+)
+_query(
+    "vesselness",
+    f"with {VEC}, shp as (select max(z) + 1 as n0, 20 as n1, 64 as n2 from vec), ev as materialized (with {fs.eigenvalues('vec', 'shp', 1.0, 'h')} select *, least(-e1, -e0) as n from h) select z, y, x from ev where n > 0 and n * exp(-0.5 * pow(e2 / (case when e2 <= 0 then 0.5 else 2.0 end * n), 2)) >= 30",
+)(lambda s, d: _cells(stencils.vesselness(vec(s, d), m.threshold(vec(s, d), -1000), vec_volume(s, d))[0]))
+_BLOB = _over_scales(
+    stencils.log_steps(1.0, 2.0, 3),
+    "case when e2 < 0 and e0 < 0 and e1 < 0 then (1 - exp(-pow(e2 * pow({s}, 2), 2) / abs(e0 * e1 * pow({s}, 4)) / (2 * 0.04))) * (1 - exp(-(e0 * e0 + e1 * e1 + e2 * e2) * pow({s}, 4) / 800)) else 0 end",
+)
+_query("blobness", f"with {GRID}, {_CELLS}, {_BLOB}, own as (select best.* from best semi join grid using (z, y, x)) select z, y, x from own, (select min(v) as lo, max(v) as hi from own) e where floor((v - lo) / (hi - lo) * 255) >= 126")(
+    lambda s, d: _cells(stencils.blobs(grid(s, d), m.threshold(grid(s, d), 1), grid_volume(s), 1.0, 2.0, 3))
+)
+_query("diffusion", f"with {GRID}, {_CELLS}, {fs.diffused('cells', 5)} select z, y, x, round(v, 6) as v from d5")(lambda s, d: _cells(stencils.curvature_diffusion(grid(s, d), grid_volume(s)).withColumn("v", F.round("v", 6)), "v"))
+_query("fast_march", f"with recursive {GRID}, sd as (select z, y, x from grid where v >= 20), {fs.front('grid', 'sd', NY, NX, 2.0, 80)} select z, y, x, round(v, 6) as v from march")(
+    lambda s, d: _cells(fronts.fast_march(grid(s, d), m.threshold(grid(s, d), 20), grid_volume(s), 2.0).withColumn("v", F.round("v", 6)), "v")
+)
+_MSK = "msk as (select z, y, x from grid where v >= 17)"
+_query("hull_by_slice", f"with {GRID}, {_MSK}, {fs.hull('msk', NY, NX)} select z, y, x from hull")(lambda s, d: _cells(hulls.hull_by_slice(m.threshold(grid(s, d), 17))))
+_CLOSED = f"di as ({dilated('select z, y, x from msk', itk_ball(1, 1, 1))}), closed as ({eroded('select * from di', itk_ball(1, 1, 1), True)})"
+_query("body_hull", f"with {GRID}, {_MSK}, {_CLOSED}, {fs.hull('closed', NY, NX)} select z, y, x from hull union select z, y, x from closed")(lambda s, d: _cells(hulls.body_hull(m.threshold(grid(s, d), 17), grid_volume(s))))
 _query(
     "resample_nearest",
     f"with {GRID} select cast(a as int) as z, cast(b as int) as y, cast(c as int) as x, v from range(0, 25) r(a), range(0, 6) s(b), range(0, 4) t(c) join grid on grid.z = least(a * 2, 49) and grid.y = least(b * 2, 10) and grid.x = least(c * 2, 8)",
@@ -264,6 +318,30 @@ def _skeleton_graph(s: SparkSession, d: str) -> DataFrame:
     return by_volume(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s), run, "src int, dst int, points int")
 
 
+_GAPS = "select z, y, x from grid where v >= 12"
+_query("skeleton_clumps", f"{filled(_GAPS, NEAR6, BORDER).rpartition('select z, y, x from msk union all')[0].rstrip()}, full_ as (select z, y, x from msk union all (select z, y, x from rest except select z, y, x from out_)), er as ({eroded('select * from full_', itk_ball(1, 1, 1), False)}) select z, y, x from full_ except ({dilated('select * from er', itk_ball(1, 1, 1))})")(
+    lambda s, d: _cells(pipelines.without_clumps(m.threshold(grid(s, d), 12), grid_volume(s)))
+)
+
+
+def _prepared_sql() -> str:
+    """Holes by 26 neighbours, then parts by faces of more than 50 cells, labelled by rounds of the least label around."""
+    head = filled("select z, y, x from grid where v >= 16", NEAR26, BORDER).rpartition("select z, y, x from msk union all")[0].rstrip()
+    return f"{head}, full_ as (select (z * {NY} + y) * {NX} + x as id, z, y, x from (select z, y, x from msk union all (select z, y, x from rest except select z, y, x from out_)) q), {passed('full_', 150)} select z, y, x from lab where label in (select label from lab group by label having count(*) > 50) or (select count(distinct label) from lab) = 1"
+
+
+_query("path_preparation", _prepared_sql())(lambda s, d: _cells(pipelines.path_preparation(m.threshold(grid(s, d), 16), grid_volume(s))))
+
+
+@_query("clean_graph", _head + f"{GRID}, {_tables}, " + """big as (select id from lab join cells using (z, y, x) where label = (select label from lab group by label order by count(*) desc, label limit 1)),
+    top as (select id from big join cells using (id) order by z, id limit 1), bfs(id, dist) as (select id, 0 from top union select link.b, dist + 1 from bfs join link on link.a = bfs.id where dist < 120),
+    lev as (select id, min(dist) as dist from bfs group by id) select least(min(p.id), c.id) as a, greatest(min(p.id), c.id) as b from lev c join link on link.a = c.id join lev p on p.id = link.b and p.dist = c.dist - 1 group by c.id""")
+def _clean(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _cell_graph(s, d)
+    kept = pipelines.clean_graph(nodes, edges)[1]
+    return kept.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+
+
 _query("contour_sweep")(lambda s, d: _cells(sweep_from_centre(m.threshold(grid(s, d), 14), grid_volume(s))))
 
 # ---- pipelines on phantoms ------------------------------------------------------------------------------------------
@@ -301,8 +379,47 @@ def tube(s: SparkSession) -> tuple[DataFrame, DataFrame]:
     return s.createDataFrame(pd.DataFrame({"volume_id": "tube", "z": at[:, 0], "y": at[:, 1], "x": at[:, 2]})), volume(s, "tube", shape)
 
 
-_query("mediastinum_pipeline")(lambda s, d: (lambda t: _cells(pipelines.mediastinum(t[1].select(*m.KEYS), t[2])))(thorax(s)))
-_query("trachea_pipeline")(lambda s, d: (lambda t: _cells(pipelines.trachea(t[0], t[1].select(*m.KEYS), t[2])))(thorax(s)))
+def chest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image, lung mask and volume made from the vectors: strong values are lung, and a tube of air runs through all slices."""
+    pipe = (F.col("y") - 10) * (F.col("y") - 10) + (F.col("x") - 32) * (F.col("x") - 32)
+    image = vec(s, d).withColumn("v", F.when(pipe <= 20, -1000 + F.pmod("v", F.lit(7))).otherwise(F.col("v")))
+    return image, image.where("v >= 280").where(pipe > 60).select(*m.KEYS), vec_volume(s, d)
+
+
+_PIPE = "(y - 10) * (y - 10) + (x - 32) * (x - 32)"
+_ROOM = "z between 0 and (select max(z) from vec) and y between 0 and 19 and x between 0 and 63"
+
+
+def _middle_sql() -> str:
+    """Table middle: closed lungs, hulls of the slices, what they hold besides, opened by a ball of radius 3."""
+    ball, three = itk_ball(1, 1, 1), itk_ball(3, 3, 3)
+    room = lambda q: q.replace(INSIDE, _ROOM)
+    shut = f"select b.z, b.y, b.x from chest b cross join (values {', '.join(map(str, ball))}) o(dz, dy, dx) left join di s on s.z = b.z + dz and s.y = b.y + dy and s.x = b.x + dx group by 1, 2, 3 having bool_and(s.z is not null or not (b.z + dz between 0 and (select max(z) from vec) and b.y + dy between 0 and 19 and b.x + dx between 0 and 63))"
+    return (
+        f"{VEC}, chest as (select z, y, x, case when {_PIPE} <= 20 then -1000 + ((v % 7) + 7) % 7 else v end as v from vec), lung as (select z, y, x from chest where v >= 280 and {_PIPE} > 60), "
+        f"di as ({room(dilated('select * from lung', ball))}), closed as ({shut}), {fs.hull('closed', 20, 64)}, between_ as (select z, y, x from hull except select z, y, x from closed), "
+        f"er as ({eroded('select * from between_', three, False)}), middle as ({room(dilated('select * from er', three))})"
+    )
+
+
+_query("mediastinum_pipeline", f"with {_middle_sql()} select z, y, x from middle")(lambda s, d: (lambda t: _cells(pipelines.mediastinum(t[1], t[2])))(chest(s, d)))
+_query(
+    "trachea_pipeline",
+    f"with recursive {_middle_sql()}, inner_ as (select chest.* from chest semi join middle using (z, y, x)), air as (select z, y, x from inner_ where v between (select min(v) from inner_) and floor((select min(v) from inner_) / 3.0) and (select min(v) from inner_) < 0), "
+    "thin as (select b.z, b.y, b.x from air b cross join range(-1, 2) p(dy) cross join range(-1, 2) q(dx) left join air s on s.z = b.z and s.y = b.y + dy and s.x = b.x + dx group by 1, 2, 3 having bool_and(s.z is not null or not (b.y + dy between 0 and 19 and b.x + dx between 0 and 63))), "
+    f"cell as (select (z * 20 + y) * 64 + x as id, z, y, x from thin), {passed('cell', 150, 26)} select z, y, x from lab where label = (select label from lab group by label order by count(*) desc, label desc limit 1)",
+)(lambda s, d: (lambda t: _cells(pipelines.trachea(*t)))(chest(s, d)))
+_REGIONS = f"{VEC}, reg as (select z, y, x, cast(((v % 8) + 8) % 8 as int) as label from vec)"
+
+
+def _regions(s: SparkSession, d: str) -> DataFrame:
+    return vec(s, d).select(*m.KEYS, F.pmod("v", F.lit(8)).cast("int").alias("label"))
+
+
+_query("lungs_pipeline", f"with {_REGIONS} select z, y, x, case when label in (1, 2) then 1 else 2 end as label from reg where label between 1 and 5")(lambda s, d: _cells(pipelines.lungs(_regions(s, d).where("label < 6"), binary=False), "label"))
+_query("lungs_mask_pipeline", f"with {_REGIONS} select z, y, x from reg where label between 1 and 5")(lambda s, d: _cells(pipelines.lungs(s.range(0).select(), plug_in=lambda _: pipelines.lobes(_regions(s, d), {i: i for i in range(1, 6)}))))
+_query("lobes_pipeline", f"with {_REGIONS} select z, y, x, case label when 7 then 1 when 3 then 2 when 4 then 3 when 5 then 4 else 5 end as label from reg where label in (7, 3, 4, 5, 1)")(lambda s, d: _cells(pipelines.lobes(_regions(s, d), {7: 1, 3: 2, 4: 3, 5: 4, 1: 5}), "label"))
+_query("run_pipeline")(lambda s, d: (lambda t: _cells(pipelines.run(s, t[0], t[2], t[1])))(thorax(s)))
 _query("airways_pipeline")(lambda s, d: (lambda t: _cells(pipelines.airways(t[0], t[1], t[2], [-1100.0, -500.0, -200.0, 200.0])["airways"]))(thorax(s)))
 _query("vessels_pipeline")(lambda s, d: (lambda t: _cells(pipelines.vessels(t[0], t[1], t[2])))(thorax(s)))
 _query("tree_pipeline")(lambda s, d: (lambda t: _cells(pipelines.smooth_tree(t[0], t[0], t[1])))(tube(s)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.offsets import Offset, box, exact_ball, face, full, itk_ball
 from ..operators import components as comp, masks as m, morphology as morph
-from ..sources.fixtures import GRID_SHAPE, GRID_SQL, VEC_SQL, grid, grid_volume, vec, vec_volume
+from ..sources.fixtures import GRID_SHAPE, GRID_SQL, STACK_SQL, VEC_SQL, grid, grid_volume, stack, stack_volumes, vec, vec_volume
 
 NZ, NY, NX = GRID_SHAPE
 GRID = f"grid as ({GRID_SQL})"
@@ -73,6 +73,18 @@ def filled(mask: str, near: str, edge: str) -> str:
         select z, y, x from msk union all (select z, y, x from rest except select z, y, x from out_)"""
 
 
+def passed(cells: str, rounds: int, connectivity: int = 6) -> str:
+    """Tables that end with lab: the cells (id, z, y, x) and their label, by rounds in which each takes the least label around it.
+
+    For large parts, where `labelled` would follow every label that a cell has had. Needs `recursive`.
+    """
+    near = {6: "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1", 26: "abs(a.z - b.z) <= 1 and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1"}[connectivity]
+    return (
+        f"lab_link as (select a.id as a, b.id as b from {cells} a join {cells} b on {near}), lab_t(r, id, l) as (select 0, id, id from {cells} union all "
+        f"select any_value(r) + 1, a, min(l) from lab_t join lab_link on b = id where r < {rounds} group by a), lab as (select c.*, l as label from lab_t join {cells} c using (id) where r = {rounds})"
+    )
+
+
 # ---- mask algebra ---------------------------------------------------------------------------------------------------
 
 _A, _B = "select z, y, x from grid where v >= 12", "select z, y, x from grid where v <= 14"
@@ -167,14 +179,15 @@ _query(
     "select z, y, x from grid where v >= 16 and z < 20 union select z, y, x from lab semi join tr using (label) semi join (select z, y, x from grid where v >= 16 and z >= 20) q using (z, y, x)",
 )(lambda s, d: _cells(comp.without_leaks(_mask(s, d, 16), grid(s, d).where("z < 20"), _mask(s, d, 15).where("z between 25 and 40"), grid_volume(s))))
 _query("reconstruct_by_slice", _with(_E8, 4) + ", er as (" + eroded(_E8, box(0, 1, 1), True) + ") select z, y, x from lab where label in (select label from lab semi join er using (z, y, x))")(lambda s, d: _cells(morph.reconstruct_by_slice(_mask(s, d, 8), grid_volume(s))))
+NEAR6 = "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1"
+NEAR26 = "abs(a.z - b.z) <= 1 and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.z <> b.z or a.y <> b.y or a.x <> b.x)"
+BORDER = f"z = 0 or z = {NZ - 1} or y = 0 or y = {NY - 1} or x = 0 or x = {NX - 1}"
 _M12 = "select z, y, x from grid where v >= 12"
 _Q4 = "a.z = b.z and abs(a.y - b.y) + abs(a.x - b.x) = 1"
-_Q6 = "abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1"
-_Q26 = "abs(a.z - b.z) <= 1 and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and (a.z <> b.z or a.y <> b.y or a.x <> b.x)"
 _YX = f"y = 0 or y = {NY - 1} or x = 0 or x = {NX - 1}"
 _query("fill_holes_by_slice", filled(_M12, _Q4, _YX))(lambda s, d: _cells(morph.fill_holes_by_slice(_mask(s, d, 12), grid_volume(s))))
-_query("fill_holes_3d_6", filled(_M12, _Q6, f"z = 0 or z = {NZ - 1} or {_YX}"))(lambda s, d: _cells(morph.fill_holes(_mask(s, d, 12), grid_volume(s), 6)))
-_query("fill_holes_3d_26", filled("select z, y, x from grid where v >= 8", _Q26, f"z = 0 or z = {NZ - 1} or {_YX}"))(lambda s, d: _cells(morph.fill_holes(_mask(s, d, 8), grid_volume(s), 26)))
+_query("fill_holes_3d_6", filled(_M12, NEAR6, BORDER))(lambda s, d: _cells(morph.fill_holes(_mask(s, d, 12), grid_volume(s), 6)))
+_query("fill_holes_3d_26", filled("select z, y, x from grid where v >= 8", NEAR26, BORDER))(lambda s, d: _cells(morph.fill_holes(_mask(s, d, 8), grid_volume(s), 26)))
 
 
 def largest_component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,5 +197,29 @@ def largest_component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.label_sizes(kept).join(m.bounding_box(kept, grid_volume(spark), 0), ["volume_id", "label"])
 
 
-_query("largest_component_report")(largest_component_report)
+_query(
+    "largest_component_report",
+    f"with recursive {GRID}, cells as (select (z * {NY} + y) * {NX} + x as id, z, y, x from grid where v >= 4), {passed('cells', 150)} "
+    "select 'grid' as volume_id, cast(label as bigint) as label, count(*) as n, min(z) as z0, max(z) + 1 as z1, min(y) as y0, max(y) + 1 as y1, min(x) as x0, max(x) + 1 as x1 from lab group by label order by n desc, label limit 1",
+)(largest_component_report)
+_query("open_ball_3", f"with {GRID}, er as (" + eroded("select z, y, x from grid where v >= 3", itk_ball(3, 3, 3), False) + ") " + dilated("select * from er", itk_ball(3, 3, 3)))(lambda s, d: _cells(morph.opening(_mask(s, d, 3), grid_volume(s), itk_ball(3, 3, 3))))
+_query("erode_ball_5", f"with {VEC} " + eroded("select z, y, x from vec where z <> 12 or y <> 10 or x <> 30", itk_ball(5, 5, 5), False))(lambda s, d: _cells(morph.erode(vec(s, d).where("z <> 12 or y <> 10 or x <> 30"), vec_volume(s, d), itk_ball(5, 5, 5))))
+_query(
+    "most_similar_score",
+    _with(_C17) + f", ref as ({_REF}), sc as (select label, cast(sum(case when ref.z is null then 0 else 1 end) as double) / (count(*) + (select count(*) from ref) - sum(case when ref.z is null then 0 else 1 end)) as iou from lab left join ref using (z, y, x) group by label) select label, round(iou, 9) as iou from sc where iou > 0 order by iou desc, label limit 1",
+)(lambda s, d: comp.most_similar_with_score(_mask(s, d, 17), _mask(s, d, 15).where("z < 20"), grid_volume(s))[1].select("label", F.round("iou", 9).alias("iou")))
+
+# ---- volumes that grow in number with the tables ----------------------------------------------------------------------
+
+STACK = f"stack as ({STACK_SQL})"
+_query("stack_dilate", f"with {STACK} select distinct volume_id, z + dz as z, y + dy as y, x + dx as x from (select * from stack where v >= 2) s, {_values([(0, 0, 0), *face()])} where z + dz between 0 and {NZ - 1} and y + dy between 0 and {NY - 1} and x + dx between 0 and {NX - 1}")(
+    lambda s, d: morph.dilate(m.threshold(stack(s, d), 2), stack_volumes(s, d), [(0, 0, 0), *face()])
+)
+_query(
+    "stack_components",
+    f"with recursive {STACK}, cells as (select volume_id, cast(substr(volume_id, 2) as bigint) * {NZ * NY * NX} + (z * {NY} + y) * {NX} + x as id, z, y, x from stack where v >= 2), "
+    "link as (select a.id as a, b.id as b from cells a join cells b on a.volume_id = b.volume_id and abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) <= 1), "
+    "t(r, id, l) as (select 0, id, id from cells union all select any_value(r) + 1, a, min(l) from t join link on b = id where r < 150 group by a) "
+    f"select volume_id, l % {NZ * NY * NX} as label, count(*) as n from t join cells using (id) where r = 150 group by 1, 2",
+)(lambda s, d: m.label_sizes(comp.label(m.threshold(stack(s, d), 2), stack_volumes(s, d), 6)))
 assert len(full()) == 26

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: A count volume of 50 x 11 x 9 cells; a cell without a row is 0.
 GRID_SQL = "select cast(l_quantity as int) - 1 as z, cast(round(l_discount * 100) as int) as y, cast(round(l_tax * 100) as int) as x, cast(count(*) as int) as v from lineitem group by 1, 2, 3"
 GRID_SHAPE = (50, 11, 9)
+#: Volumes of that shape, one for each 6,000 order keys, so that their number grows with the table.
+STACK_SQL = "select 's' || cast(l_orderkey // 6000 as varchar) as volume_id, cast(l_quantity as int) - 1 as z, cast(round(l_discount * 100) as int) as y, cast(round(l_tax * 100) as int) as x, cast(count(*) as int) as v from lineitem group by 1, 2, 3, 4"
 #: A dense volume of signed integers, 25 x 20 x 64 cells for 500 vectors.
 VEC_SQL = "select cast(floor(vec_id / 20) as int) as z, cast(vec_id % 20 as int) as y, cast(i - 1 as int) as x, cast(floor(cast(embedding[i] as double) * 1000) as int) as v from embeddings, range(1, 65) r(i)"
 VEC_SIDES = (20, 64)
@@ -25,6 +27,17 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.lit("grid").alias("volume_id"), "z", "y", "x", "v")
 
 
+def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(volume_id, z, y, x, v): as `grid`, by 6,000 order keys."""
+    cell = [F.concat(F.lit("s"), F.floor(F.col("l_orderkey") / 6000).cast("string")), F.col("l_quantity").cast("int") - 1, F.round(F.col("l_discount") * 100).cast("int"), F.round(F.col("l_tax") * 100).cast("int")]
+    return _table(spark, sf_dir, "lineitem").groupBy(*(c.alias(n) for c, n in zip(cell, ("volume_id", "z", "y", "x"), strict=True))).agg(F.count("*").cast("int").alias("v"))
+
+
+def stack_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.floor(F.col("l_orderkey") / 6000).cast("string")).alias("volume_id")).distinct()
+    return names.select("volume_id", *[F.lit(n).alias(f"n{a}") for n, a in zip(GRID_SHAPE, "zyx", strict=True)], *[F.lit(1.0).alias(f"s{a}") for a in "zyx"])
+
+
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(volume_id, z, y, x, v): each vector is a row of a slice of 20, its components in thousandths."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
