@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import checkpoint_folder as shared_folder, stored  # noqa: F401
+
 #: The characters that separate words and that exact comparison ignores: `[\x20\x09-\x0D]`.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -18,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: the one that `spark.checkpoint.dir` names.
-
-    Only where that is unset (tests on one machine) a folder of this process is made.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared folder. The lineage ends there, so a lost executor costs a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
