@@ -1,5 +1,7 @@
 """Shapes with known answers."""
 
+import heapq
+import itertools
 import math
 
 import numpy as np
@@ -74,6 +76,105 @@ def test_densify():
     assert len(b.densify(p[:1], 4)) == 1 and len(b.densify(p, 1)) == 2
 
 
+def test_nearest_points():
+    """Cells of a thick and of a thin mask, with far ones and with repeated ones: as all pairs."""
+    r = np.random.default_rng(8)
+    thick = np.argwhere(r.random((14, 14, 14)) < 0.8)
+    thin = np.argwhere(r.random((30, 30, 30)) < 0.06)
+    for p in (thick, thin, np.concatenate([thick, [[400, 3, -90]]]), np.concatenate([thin, thin[:9]]), thick + 0.5):
+        assert len(p) > 1024
+        assert np.array_equal(b.nearest(p, 10), b._all_pairs(np.asarray(p, float), np.arange(len(p)), 10))
+
+
+def test_kept_indices_with_repeated_points():
+    p = np.array([(0, 0, 0), (1, 1, 1), (0, 0, 0), (2, 0, 1)])
+    assert b.kept_indices(p, p[[0, 3]]).tolist() == [0, 2, 3] and b.kept_indices(p, p[:0]).tolist() == []
+
+
+def brute_simplify(points, least):
+    """Every area that was ever entered is looked at again and again, the smallest first."""
+    p = [tuple(map(float, q)) for q in points]
+    left, n = list(range(len(p))), len(p)
+
+    def area(i):
+        at = left.index(i)
+        a, q, c = (np.array(p[j]) for j in left[at - 1 : at + 2])
+        return 0.5 * float(np.linalg.norm(np.cross(a - q, c - q)))
+
+    entered = [(area(i), i) for i in range(1, n - 1)]
+    while entered:
+        entered.sort()
+        size, i = entered.pop(0)
+        if i in left:
+            if size >= least:
+                break
+            at = left.index(i)
+            around = [left[at - 1], left[at + 1]]
+            left.remove(i)
+            entered += [(area(j), j) for j in around if 0 < j < n - 1]
+    return [points[i] for i in left]
+
+
+def test_simplify_against_brute_force():
+    r = np.random.default_rng(3)
+    for k in range(60):
+        p = np.cumsum(r.integers(-3, 4, (r.integers(3, 40), 3)), axis=0).astype(float)
+        for least in (0.51, 2.0, 10.0):
+            assert np.allclose(b.simplify(p, least), brute_simplify(p, least))
+
+
+def test_thinning_keeps_what_it_must():
+    """Parts, holes and tunnels of random masks (by Euler's number), and nothing that could go is left but ends."""
+    def parts(m, near):
+        return len(s._parts(list(map(tuple, np.argwhere(m).tolist())), near))
+
+    def euler(m):
+        faces = np.pad(m, 1).astype(int)
+        total = 0
+        for axes in itertools.product((0, 1), repeat=3):
+            cells = faces
+            for axis, wide in enumerate(axes):
+                if not wide:
+                    cells = np.maximum(cells, np.roll(cells, 1, axis))
+            total += (-1) ** sum(axes) * int(cells.sum())
+        return total
+
+    r = np.random.default_rng(4)
+    for k in range(25):
+        m = r.random((7, 8, 9)) < r.choice((0.3, 0.6, 0.9))
+        thin = s.thin(m)
+        assert not (thin & ~m).any()
+        assert parts(thin, s._AROUND) == parts(m, s._AROUND) and euler(thin) == euler(m)
+        assert parts(~np.pad(thin, 1), s._FACES) == parts(~np.pad(m, 1), s._FACES)
+        assert np.array_equal(s.thin(thin), thin)
+
+
+def test_shortest_paths_against_a_queue():
+    r = np.random.default_rng(5)
+    mask = r.random((6, 9, 11)) < 0.6
+    cells = np.argwhere(mask)
+    near, steps = s._near(cells, mask.shape)
+    cost = r.random(len(cells)) + 0.1
+    far, before = s._shortest(near, steps, cost, 0)
+    want, queue = {0: 0.0}, [(0.0, 0)]
+    while queue:
+        d, i = heapq.heappop(queue)
+        if d > want[i]:
+            continue
+        for j, step in zip(near[i].tolist(), steps.tolist()):
+            if j != i and d + cost[j] * step < want.get(j, math.inf):
+                want[j] = d + cost[j] * step
+                heapq.heappush(queue, (want[j], j))
+    assert all(math.isclose(far[i], want.get(i, math.inf), rel_tol=1e-9) for i in range(len(cells)))
+
+
+def test_path_graph():
+    lines = [np.array([(0, 0, 0), (0, 0, 1), (0, 1, 2)]), np.array([(0, 5, 2), (0, 1, 2), (0, 0, 1)])]
+    nodes, edges = s.path_graph(lines)
+    assert nodes.tolist() == [[0, 0, 0], [0, 0, 1], [0, 1, 2], [0, 5, 2]]
+    assert [(a, c, len(line)) for a, c, line in edges] == [(0, 1, 2), (1, 2, 2), (3, 2, 5)]
+
+
 def test_gap_fill():
     assert b.fill_gap(np.array([[1.2, 2, 3]])).tolist() == [[1, 2, 3]]
     assert b.fill_gap(np.array([[0, 0, 0], [3, 0, 0]])).tolist() == [[i, 0, 0] for i in range(4)]

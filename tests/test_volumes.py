@@ -100,6 +100,63 @@ def test_front_table(spark):
     assert {r.x: round(r.v, 6) for r in t.collect()} == {i: float(i) for i in range(6)}
 
 
+def test_fronts_cross_slabs(spark):
+    """A front that goes up, over and down again through thin slabs: as in one."""
+    r = np.random.default_rng(9)
+    speed = r.random((14, 6, 7)) + 0.2
+    speed[2:, :, 3] = 0
+    speed[:, 2, 5] = 0
+    seeds = np.zeros(speed.shape)
+    seeds[13, 0, 0] = seeds[6, 5, 1] = 1
+    v = volume(spark, "a", speed.shape, (2.0, 1.0, 0.5))
+    want = fronts.arrival_times(speed, seeds > 0, (2.0, 1.0, 0.5), 45.0)
+    for depth in (4, 64):
+        got = {(x.z, x.y, x.x): x.v for x in fronts.fast_march(cells(spark, speed), cells(spark, seeds), v, 45.0, depth).collect()}
+        assert got.keys() == set(map(tuple, np.argwhere(np.isfinite(want)).tolist()))
+        assert all(abs(want[i] - t) < 1e-7 for i, t in got.items())
+    assert np.isfinite(want[:, :, 4:]).any() and not np.isfinite(want).all()
+
+
+def test_spline_resampling(spark):
+    """Against the spline's equations solved along each axis; slabs don't show; cells of the old grid keep their values."""
+    r = np.random.default_rng(11)
+    a = r.normal(size=(45, 6, 7))
+
+    def system(n):
+        m = np.eye(n) * 4 / 6
+        for i in range(n):
+            for j in (i - 1, i + 1):
+                m[i, abs(j) if j < n else 2 * (n - 1) - j] += 1 / 6
+        return m
+
+    c = a
+    for axis in range(3):
+        c = np.moveaxis(np.linalg.solve(system(a.shape[axis]), np.moveaxis(c, axis, 0).reshape(a.shape[axis], -1)).reshape(np.moveaxis(c, axis, 0).shape), 0, axis)
+    basis = lambda u: np.where(np.abs(u) < 1, 2 / 3 - u**2 + np.abs(u) ** 3 / 2, np.where(np.abs(u) < 2, (2 - np.abs(u)) ** 3 / 6, 0))
+    want = c
+    for axis, s in enumerate((1.0, 1.5, 3.0)):
+        n = a.shape[axis]
+        p = np.arange(round(n * s / 2.0)) * 2.0 / s
+        k = np.arange(-4, n + 4)
+        mirror = np.minimum(np.abs(k) % (2 * n - 2), 2 * n - 2 - np.abs(k) % (2 * n - 2))
+        want = np.moveaxis(np.tensordot(basis(p[:, None] - k), np.take(want, mirror, axis), (1, axis)), 0, axis)
+    v = volume(spark, "a", a.shape, (1.0, 1.5, 3.0))
+    for depth in (7, 64):
+        got = {(x.z, x.y, x.x): x.v for x in stencils.resample_spline(cells(spark, a), v, 2.0, depth=depth).collect()}
+        assert len(got) == want.size and all(abs(want[i] - x) < 1e-8 for i, x in got.items())
+    same = {(x.z, x.y, x.x): x.v for x in stencils.resample_spline(cells(spark, a), volume(spark, "a", a.shape, (2.0, 2.0, 2.0)), 2.0).collect()}
+    assert all(abs(a[i] - x) < 1e-9 for i, x in same.items()) and len(same) == a.size
+
+
+def test_constrained_dilation_of_a_wide_ball(spark):
+    r = np.random.default_rng(10)
+    labels, mask = r.integers(0, 4, (40, 7, 8)), r.random((40, 7, 8)) < 0.02
+    v, ball = volume(spark, "a", labels.shape), itk_ball(3, 3, 3)
+    got = found(morph.constrained_dilation(cells(spark, mask.astype(int)), cells(spark, labels).withColumn("label", F.col("v").cast("int")), v, ball))
+    want = {tuple(np.add(c, d)) for c in np.argwhere(mask).tolist() for d in ball if all(0 <= i < n for i, n in zip(np.add(c, d), labels.shape)) and labels[tuple(np.add(c, d))] == labels[tuple(c)]}
+    assert got == want
+
+
 def test_levels_two_ways(spark):
     nodes = spark.createDataFrame([("g", i, 9 - i, 0, 0) for i in range(8)] + [("h", 1, 0, 0, 0)], "graph_id string, node_id int, z int, y int, x int")
     edges = spark.createDataFrame([("g", a, b) for a, b in ((0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 5))], "graph_id string, src int, dst int")
@@ -127,6 +184,51 @@ def test_nrrd_round_trip(spark, tmp_path):
     assert [r.label for r in nrrd.roi_labels(spark, ["z"], {"z": 7}).collect()] == [7]
 
 
+def test_nrrd_geometry_goes_through(spark, tmp_path):
+    """Origin and direction through read and write; bzip2, text and detached data; files by the sink."""
+    import bz2
+
+    a = np.arange(24, dtype=np.int16).reshape(2, 3, 4)
+    turned = [0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.nrrd").write_bytes(nrrd.encode(a, (2.0, 1.0, 0.5), True, [1.5, -2.0, 30.0], turned, "right-anterior-superior"))
+    head = b"NRRD0004\ntype: short\ndimension: 3\nsizes: 4 3 2\nendian: little\nencoding: "
+    (tmp_path / "in" / "q.nrrd").write_bytes(head + b"bzip2\n\n" + bz2.compress(a.tobytes()))
+    (tmp_path / "in" / "t.nrrd").write_bytes(head + b"text\n\n" + " ".join(map(str, a.ravel())).encode())
+    (tmp_path / "in" / "h.nhdr").write_bytes(head + b"raw\ndata file: h.raw\n")
+    (tmp_path / "in" / "h.raw").write_bytes(a.tobytes())
+    volumes = nrrd.read_volumes(spark, str(tmp_path / "in"))
+    voxels = nrrd.read_voxels(spark, str(tmp_path / "in"))
+    got = {r.volume_id: r for r in volumes.collect()}
+    assert set(got) == {"p", "q", "t", "h"} and got["p"].origin == [1.5, -2.0, 30.0] and got["p"].direction == turned and got["q"].origin == [0.0] * 3
+    for name in got:
+        assert {(r.z, r.y, r.x): r.v for r in voxels.where(F.col("volume_id") == name).collect()} == {i: float(a[i]) for i in np.ndindex(a.shape)}
+    assert nrrd.write_nrrd(voxels, volumes, str(tmp_path / "out")) == 4
+    back = {r.volume_id: r for r in nrrd.read_volumes(spark, str(tmp_path / "out")).collect()}
+    assert (back["p"].origin, back["p"].direction, back["p"].space, back["p"].sy) == ([1.5, -2.0, 30.0], turned, "right-anterior-superior", 1.0)
+    mask = voxels.where("v > 100").select("volume_id", "z", "y", "x")
+    assert nrrd.write_nrrd(mask, volumes.where("volume_id = 'p'"), str(tmp_path / "empty"), "uint8") == 1
+    assert not nrrd.parse((tmp_path / "empty" / "p.nrrd").read_bytes())[1].any()
+    plain = volume(spark, "p", a.shape)
+    assert nrrd.with_geometry(plain, volumes).first().origin == [1.5, -2.0, 30.0]
+
+
+def test_region_plug_ins(spark):
+    image = cells(spark, np.ones((2, 2, 2)))
+    asked = {}
+
+    def plug_in(image, names, **options):
+        asked.update(options, names=names)
+        return image.select("volume_id", "z", "y", "x", (F.col("x") + 1).alias("label"))
+
+    table = {"left": 1, "right": 2}
+    assert nrrd.segment_regions(image, ["left"], table, plug_in, {"fast": 1}, 3).count() == 4
+    assert asked == {"names": ["left"], "device": "gpu:3", "fast": True, "quiet": True, "verbose": False}
+    assert nrrd.region_options({"device": "cpu"})["device"] == "cpu" and nrrd.region_options()["device"] == "gpu"
+    with pytest.raises(KeyError, match="neck"):
+        nrrd.segment_regions(image, ["neck", "left"], table, plug_in)
+
+
 def test_pipelines_on_phantoms(spark):
     image, lungs, v = thorax(spark)
     lung_mask = lungs.select(*m.KEYS)

@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.offsets import box
 from ..functions.geometry import facets, fit_ellipse, hull_2d, in_hull_2d, points_in_ellipse, points_in_frustum, principal_axes, triangle_area
 
-#: Least triangle areas that are tried for a branch, coarse to fine, and the one used without trying.
+#: Least triangle areas that are tried for a branch, coarse to fine, and the one used without trying.
 AREAS, AREA = (20.0, 15.0, 10.0, 5.0, 2.0, 1.0), 10.0
 #: Points put between neighbours, and how many neighbours a point has.
 FACTOR, NEIGHBOURS = 100, 10
@@ -57,8 +58,10 @@ def simplify(points: np.ndarray, least: float = 0.51) -> np.ndarray:
 
 def kept_indices(points: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Where the points stand that are among the kept ones, by value."""
-    names = set(map(tuple, kept.tolist()))
-    return np.array([i for i, q in enumerate(map(tuple, points.tolist())) if q in names], np.int64)
+    if not len(points) or not len(kept):
+        return np.zeros(0, np.int64)
+    _, which = np.unique(np.concatenate([points, kept]), axis=0, return_inverse=True)
+    return np.flatnonzero(np.isin(which[: len(points)], which[len(points) :]))
 
 
 def segmentations(points: np.ndarray, adaptive: bool = True) -> list[np.ndarray]:
@@ -71,6 +74,52 @@ def segmentations(points: np.ndarray, adaptive: bool = True) -> list[np.ndarray]
     return out
 
 
+def _all_pairs(p: np.ndarray, which: np.ndarray, k: int) -> np.ndarray:
+    out = []
+    for a in range(0, len(which), 512):
+        near = ((p[which[a : a + 512], None] - p[None]) ** 2).sum(axis=2)
+        out.append(np.lexsort((np.broadcast_to(np.arange(len(p)), near.shape), near), axis=1)[:, :k])
+    return np.concatenate([np.zeros((0, k), np.int64), *out])
+
+
+def nearest(points: np.ndarray, k: int) -> np.ndarray:
+    """(n, k): numbers of each point's nearest points, itself included, by distance and number.
+
+    Cells of a grid, no two alike, look around themselves first; only what finds too few within reach is compared with all.
+    """
+    p = np.asarray(points, float)
+    todo = np.arange(len(p))
+    if len(p) <= 1024 or (p != np.rint(p)).any() or np.ptp(p, axis=0).prod() > 2**50:
+        return _all_pairs(p, todo, k)
+    cells = (p - p.min(axis=0)).astype(np.int64) + 4
+    sides = cells.max(axis=0) + 5
+    code = (cells[:, 0] * sides[1] + cells[:, 1]) * sides[2] + cells[:, 2]
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+    if (ranked[1:] == ranked[:-1]).any():
+        return _all_pairs(p, todo, k)
+    out = np.zeros((len(p), k), np.int64)
+    for reach in (2, 4):
+        around = np.array(box(reach, reach, reach))
+        length2 = (around**2).sum(axis=1)
+        around, length2 = around[length2 <= reach * reach], length2[length2 <= reach * reach]
+        steps = (around[:, 0] * sides[1] + around[:, 1]) * sides[2] + around[:, 2]
+        left = []
+        for a in range(0, len(todo), 4096):
+            part = todo[a : a + 4096]
+            wanted = code[part][:, None] + steps
+            at = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)
+            name = np.where(ranked[at] == wanted, length2 * len(p) + order[at], np.iinfo(np.int64).max)
+            name = np.sort(name, axis=1)[:, :k]
+            full = name.shape[1] == k and name[:, -1] < np.iinfo(np.int64).max
+            full = np.broadcast_to(full, len(part))
+            out[part[full]] = name[full] % len(p)
+            left.append(part[~full])
+        todo = np.concatenate([np.zeros(0, np.int64), *left])
+    out[todo] = _all_pairs(p, todo, k)
+    return out
+
+
 def densify(points: np.ndarray, factor: int = 2, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """The points, and factor - 1 points evenly between each and those of its nearest neighbours that come after it.
 
@@ -80,16 +129,27 @@ def densify(points: np.ndarray, factor: int = 2, neighbours: int = NEIGHBOURS) -
     n = len(p)
     if n < 2 or factor < 2:
         return p.copy()
-    k = min(neighbours, n)
+    order = nearest(p, min(neighbours, n))
+    i, j = np.nonzero(order > np.arange(n)[:, None])
+    first, second = p[i], p[order[i, j]]
     steps = (np.arange(1, factor) / factor)[None, :, None]
-    out = [p]
-    for a in range(0, n, 512):
-        near = ((p[a : a + 512, None] - p[None]) ** 2).sum(axis=2)
-        order = np.lexsort((np.broadcast_to(np.arange(n), near.shape), near), axis=1)[:, :k]
-        i, j = np.nonzero(order > (np.arange(len(near)) + a)[:, None])
-        first, second = p[a + i], p[order[i, j]]
-        out.append((first[:, None] + steps * (second - first)[:, None]).reshape(-1, 3))
-    return np.concatenate(out)
+    return np.concatenate([p, (first[:, None] + steps * (second - first)[:, None]).reshape(-1, 3)])
+
+
+def densified(points: DataFrame, by: str, order: str, factor: int = 2, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(by, z, y, x): `densify` of each polyline; many polylines are one group, so that short ones cost no call each."""
+    groups = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = dict(points.dtypes)[by]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, own in rows.sort_values([by, order]).groupby(by, sort=False):
+            p = densify(own[list("zyx")].to_numpy(), factor, neighbours)
+            out.append(pd.DataFrame({by: np.full(len(p), name), **{a: p[:, i] for i, a in enumerate("zyx")}}))
+        return pd.concat(out)
+
+    dealt = points.select(by, order, *"zyx").withColumn("deal", F.pmod(F.xxhash64(by), F.lit(4 * groups)))
+    return dealt.groupBy("deal").applyInPandas(run, f"{by} {kind}, z double, y double, x double")
 
 
 def polyline_areas(points: DataFrame, by: str, order: str) -> DataFrame:

@@ -6,18 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settled
 from .masks import KEYS
-from .slabs import by_volume, dense, sparse
+from .slabs import DEPTH, dense, sparse, spread_slabs
 
 
-def arrival_times(speed: np.ndarray, seeds: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), stop: float = np.inf) -> np.ndarray:
+def arrival_times(speed: np.ndarray, seeds: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), stop: float = np.inf, known: np.ndarray | None = None) -> np.ndarray:
     """The solution of |grad T| = 1 / speed with T = 0 at the seeds, infinite where T would exceed `stop`.
 
     All cells are updated from their neighbours at once until nothing changes, which reaches the same fixed point as
-    taking them in the order of their times. Speed 0 is never passed.
+    taking them in the order of their times. Speed 0 is never passed. known: times that are no less than the solution, to go on from.
     """
     slow = np.where(speed > 0, 1.0 / np.where(speed > 0, speed, 1.0), np.inf)
-    t = np.where(seeds, 0.0, np.inf)
+    t = np.where(seeds, 0.0, np.inf if known is None else known)
     h = np.array(spacing, float)
     while True:
         p = np.pad(t, 1, constant_values=np.inf)
@@ -43,13 +44,37 @@ def arrival_times(speed: np.ndarray, seeds: np.ndarray, spacing: tuple[float, fl
         t = new
 
 
-def fast_march(speed: DataFrame, seeds: DataFrame, volumes: DataFrame, stop: float = 60.0) -> DataFrame:
-    """(volume_id, z, y, x, v): arrival times up to `stop`. A volume is one task; cells without speed aren't passed."""
+def fast_march(speed: DataFrame, seeds: DataFrame, volumes: DataFrame, stop: float = 60.0, depth: int = DEPTH) -> DataFrame:
+    """(volume_id, z, y, x, v): arrival times up to `stop`. Cells without speed aren't passed.
+
+    A slab of `depth` slices, with a slice more on either side, is one task. A slab's times are the solution given those of its neighbours as
+    they are so far, which are no less than the true ones; slabs go on from them until none has changed. A volume of one slab is solved
+    at once.
+    """
     marked = speed.select(*KEYS, F.col("v").cast("double").alias("v")).join(seeds.select(*KEYS).distinct().withColumn("seed", F.lit(True)), KEYS, "left")
 
-    def kernel(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
-        shape = tuple(int(info[f"n{a}"]) for a in "zyx")
-        t = arrival_times(dense(rows, 0, shape, "v", 0.0), dense(rows[rows["seed"].notna()], 0, shape, None, 0), tuple(info[f"s{a}"] for a in "zyx"), stop)
-        return sparse(t, info["volume_id"], 0, np.isfinite(t), "v")
+    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[0]
+        start, stop_z = int(key[1]) * depth, min((int(key[1]) + 1) * depth, int(one["nz"]))
+        a, b = max(0, start - 1), min(int(one["nz"]), stop_z + 1)
+        shape = (b - a, int(one["ny"]), int(one["nx"]))
+        rate, seed = dense(rows, a, shape, "v", 0.0), dense(rows[rows["seed"].notna()], a, shape, None, 0)
+        before = dense(rows, a, shape, "t", np.inf)
+        t = arrival_times(rate, seed, tuple(float(one[f"s{c}"]) for c in "zyx"), stop, before)
+        own = slice(start - a, stop_z - a)
+        out = sparse(t[own], str(key[0]), start, rate[own] > 0, "t")
+        at = out["z"].to_numpy() - a, out["y"].to_numpy(), out["x"].to_numpy()
+        return out.assign(v=rate[at], seed=pd.array(np.where(seed[at], True, None), dtype="boolean"), moved=(t[at] < before[at] - 1e-9).astype(np.int8))
 
-    return by_volume(marked, volumes, kernel, "volume_id string, z int, y int, x int, v double")
+    state = marked.withColumn("t", F.lit(float("inf")))
+    schema = "volume_id string, z int, y int, x int, t double, v double, seed boolean, moved byte"
+    many = volumes.agg(F.max("nz")).first()[0] or 0
+    while True:
+        spread = spread_slabs(state.select(*KEYS, "v", "seed", "t"), volumes, 1, depth, ["nz", "ny", "nx", "sz", "sy", "sx"])
+        state = spread.groupBy("volume_id", "slab").applyInPandas(kernel, schema)
+        if many <= depth:
+            break
+        state = settled(state)
+        if not state.agg(F.max("moved")).first()[0]:
+            break
+    return state.where(F.col("t") < float("inf")).select(*KEYS, F.col("t").alias("v"))

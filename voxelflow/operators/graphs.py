@@ -15,6 +15,9 @@ from ..session import settled, stored
 from .components import label_roots
 from .slabs import DEPTH
 
+#: Side of the blocks of cells that are compared with polyline points together.
+BLOCK = 8
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst) of every edge in both directions, without loops and repetitions."""
@@ -120,7 +123,7 @@ def nearest_edge(cells: DataFrame, edge_points: DataFrame) -> DataFrame:
 
     edge_points: (volume_id, edge_id, z, y, x). A cell on polylines is of the one with the greatest id; of equally near ones it is
     of the smallest. Exact positions are an equality join; the rest is compared slab by slab with the volume's polyline points,
-    which a tree bounds.
+    which a tree bounds, and in a slab by blocks of BLOCK cells a side with those points that can be nearest to any of it.
     """
     keys = ["volume_id", "z", "y", "x"]
     exact = cells.select(*keys).join(edge_points, keys).groupBy(*keys).agg(F.max("edge_id").alias("edge_id")).withColumn("distance", F.lit(0.0))
@@ -135,10 +138,17 @@ def nearest_edge(cells: DataFrame, edge_points: DataFrame) -> DataFrame:
         lines = lines.sort_values("edge_id", kind="stable")
         p, q, ids = mine[list("zyx")].to_numpy(np.int64), lines[list("zyx")].to_numpy(np.int64), lines["edge_id"].to_numpy()
         edge, far = np.zeros(len(p), np.int64), np.zeros(len(p))
-        for a in range(0, len(p), 1024):
-            d2 = ((p[a : a + 1024, None] - q[None]) ** 2).sum(axis=2)
+        _, block = np.unique(p // BLOCK, axis=0, return_inverse=True)
+        order = np.argsort(block.ravel(), kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(block.ravel()[order])) + 1):
+            # only points that may be nearer to some cell of the block than the one that is nearest to all of it
+            low, high = p[mine].min(axis=0), p[mine].max(axis=0)
+            least = (np.maximum(0, np.maximum(low - q, q - high)) ** 2).sum(axis=1)
+            most = (np.maximum(np.abs(q - low), np.abs(q - high)) ** 2).sum(axis=1)
+            near = np.flatnonzero(least <= most.min())
+            d2 = ((p[mine, None] - q[near][None]) ** 2).sum(axis=2)
             at = d2.argmin(axis=1)
-            edge[a : a + 1024], far[a : a + 1024] = ids[at], np.sqrt(d2[np.arange(len(at)), at])
+            edge[mine], far[mine] = ids[near[at]], np.sqrt(d2[np.arange(len(at)), at])
         return out.assign(edge_id=edge, distance=far)
 
     near = rest.groupBy("volume_id", "slab").cogroup(points.groupBy("volume_id", "slab")).applyInPandas(run, "volume_id string, z int, y int, x int, edge_id int, distance double")

@@ -44,6 +44,14 @@ def boxed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out, low
 
 
+def spread_slabs(voxels: DataFrame, volumes: DataFrame, halo: int, depth: int, geometry: list[str]) -> DataFrame:
+    """The rows with `geometry` of their volume and slab: a row for each slab that a cell lies in or within `halo` slices of."""
+    last = F.floor((F.col("nz") - 1) / depth).cast("int")
+    low = F.greatest(F.floor((F.col("z") - halo) / depth).cast("int"), F.lit(0))
+    high = F.least(F.floor((F.col("z") + halo) / depth).cast("int"), last)
+    return voxels.join(volumes.select("volume_id", *geometry), "volume_id").withColumn("slab", F.explode(F.sequence(low, high)))
+
+
 def by_slab(
     voxels: DataFrame,
     volumes: DataFrame,
@@ -62,12 +70,8 @@ def by_slab(
     kernel(array, info) gets the slab with its halo as far as the volume goes, and the volume's row and z0, and returns an array
     of the same shape; what it returns for the halo is dropped. more: further columns of `volumes` that the row has.
     """
-    last = F.floor((F.col("nz") - 1) / depth).cast("int")
-    low = F.greatest(F.floor((F.col("z") - halo) / depth).cast("int"), F.lit(0))
-    high = F.least(F.floor((F.col("z") + halo) / depth).cast("int"), last)
-    columns = KEYS + ([value] if value else [])
     geometry = ["nz", "ny", "nx", "sz", "sy", "sx", *more]
-    spread = voxels.select(*columns).join(volumes.select("volume_id", *geometry), "volume_id").withColumn("slab", F.explode(F.sequence(low, high)))
+    spread = spread_slabs(voxels.select(*KEYS, *([value] if value else [])), volumes, halo, depth, geometry)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         name, slab = str(key[0]), int(key[1])

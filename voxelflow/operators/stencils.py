@@ -5,34 +5,24 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 from .masks import KEYS, masked, normalise, rescale_bytes, threshold
-from .slabs import by_slab
+from .slabs import DEPTH, by_slab, dense, sparse, spread_slabs
 
 #: Standard deviations of the tubeness filter, and the part of its range below which it is 0.
 TUBE_SIGMAS, TUBE_CUT = (0.5, 1.0, 2.0, 3.0, 5.0), 0.025
 
 
 def gradient_magnitude(image: DataFrame, volumes: DataFrame) -> DataFrame:
-    """The length of the central difference, in units of space; beyond a border the border's value goes on.
+    """The length of the central difference, in units of space; beyond a border the border's value goes on, cells without a row are 0."""
 
-    Each cell sends what it adds to its neighbours' differences, so there is one shuffle of sums; cells without a row count as 0.
-    """
-    sides = image.join(volumes.select("volume_id", "nz", "ny", "nx", "sz", "sy", "sx"), "volume_id")
-    v = F.col("v").cast("double")
-    sent = []
-    for axis in "zyx":
-        at, n, half = F.col(axis), F.col(f"n{axis}"), v / (2 * F.col(f"s{axis}"))
-        for step, value, inside in ((-1, half, at > 0), (1, -half, at < n - 1)):
-            # a neighbour beyond the border is the cell itself
-            other = at == n - 1 if step == -1 else at == 0
-            spot = lambda place: F.struct(*[(place if a == axis else F.col(a)).alias(a) for a in "zyx"], *[(value if a == axis else F.lit(0.0)).alias(f"g{a}") for a in "zyx"])  # noqa: B023, E731
-            sent += [F.when(inside, spot(at + step)), F.when(other, spot(at))]
-    moved = sides.select("volume_id", F.inline(F.filter(F.array(*sent), lambda s: s.isNotNull())))
-    sums = moved.groupBy(*KEYS).agg(*[F.sum(f"g{a}").alias(f"g{a}") for a in "zyx"])
-    return sums.select(*KEYS, F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in "zyx"), F.lit(0.0))).alias("v"))
+    def kernel(array: np.ndarray, info: dict) -> np.ndarray:
+        return np.sqrt(sum((c / float(info[f"s{a}"])) ** 2 for c, a in zip(_differences(array)[2], "zyx", strict=True)))
+
+    return by_slab(image, volumes, kernel, 1, everywhere=True)
 
 
 def _kernel(sigma: float, order: int) -> np.ndarray:
@@ -194,3 +184,58 @@ def resample_nearest(image: DataFrame, volumes: DataFrame, spacing: float = 2.0)
     near = grid.select("volume_id", *"zyx", *[F.least(F.floor(F.col(a) * spacing / F.col(f"s{a}") + 0.5).cast("int"), F.col(f"n{a}") - 1).alias(f"o{a}") for a in "zyx"])
     old = image.select("volume_id", *[F.col(a).alias(f"o{a}") for a in "zyx"], "v")
     return near.join(old, ["volume_id", "oz", "oy", "ox"]).select(*KEYS, "v")
+
+
+#: Cells that a spline's coefficient takes part in, to either side: the weights fall by 3.7 a cell.
+SPLINE_REACH = 24
+_POLE = math.sqrt(3) - 2
+
+
+def _spline_coefficients(a: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic spline through an array, which is mirrored about its border cells."""
+    weights = -6 * _POLE / (1 - _POLE**2) * _POLE ** np.abs(np.arange(-SPLINE_REACH, SPLINE_REACH + 1.0))
+    for axis in range(3):
+        padded = np.pad(a, [(SPLINE_REACH, SPLINE_REACH) if i == axis else (0, 0) for i in range(3)], mode="reflect")
+        a = sum(w * padded[tuple(slice(k, k + a.shape[axis]) if i == axis else slice(None) for i in range(3))] for k, w in enumerate(weights))
+    return a
+
+
+def _spline_weights(places: np.ndarray, n: int, first: int, held: int) -> np.ndarray:
+    """What each of `held` coefficients from number `first` on adds at places of an axis of n cells."""
+    out = np.zeros((len(places), held))
+    base = np.floor(places).astype(int)
+    f = places - base
+    cubic = ((1 - f) ** 3 / 6, 2 / 3 - f**2 + f**3 / 2, 2 / 3 - (1 - f) ** 2 + (1 - f) ** 3 / 2, f**3 / 6)
+    turn = max(1, 2 * (n - 1))
+    for k, w in enumerate(cubic):
+        at = np.abs(base + k - 1) % turn
+        np.add.at(out, (np.arange(len(places)), np.minimum(at, turn - at) - first if n > 1 else np.zeros(len(places), int)), w)
+    return out
+
+
+def resample_spline(image: DataFrame, volumes: DataFrame, spacing: float = 2.0, fill: float = 0.0, depth: int = DEPTH) -> DataFrame:
+    """The image on a grid of the spacing, by a cubic spline through its cells (without a row: 0); beyond half a cell outside it is `fill`.
+
+    A slab makes the new slices that lie in it; its halo holds what their coefficients depend on.
+    """
+    geometry = ["nz", "ny", "nx", "sz", "sy", "sx"]
+    halo = SPLINE_REACH + 2
+    spread = spread_slabs(image.select(*KEYS, "v"), volumes, halo, depth, geometry)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, s = ([float(rows[f"{c}{a}"].iloc[0]) for a in "zyx"] for c in "ns")
+        n = [int(c) for c in n]
+        places = [np.arange(int(np.rint(c * d / spacing))) * spacing / d for c, d in zip(n, s, strict=True)]
+        start, stop = int(key[1]) * depth, (int(key[1]) + 1) * depth
+        mine = np.flatnonzero((places[0] >= start) & ((places[0] < stop) | (stop >= n[0])))
+        if not len(mine):
+            return pd.DataFrame({c: [] for c in (*KEYS, "v")})
+        a, b = max(0, start - halo), min(n[0], stop + halo)
+        made = _spline_coefficients(dense(rows, a, (b - a, n[1], n[2]), "v", 0.0))
+        for axis, (at, first, held) in enumerate(((places[0][mine], a, b - a), (places[1], 0, n[1]), (places[2], 0, n[2]))):
+            made = np.moveaxis(np.tensordot(_spline_weights(at, n[axis], first, held), made, (1, axis)), 0, axis)
+        out = np.ix_(*(p > c - 0.5 for p, c in zip((places[0][mine], places[1], places[2]), n, strict=True)))
+        made[out[0] | out[1] | out[2]] = fill
+        return sparse(made, str(key[0]), int(mine[0]), np.ones(made.shape, bool), "v")
+
+    return spread.groupBy("volume_id", "slab").applyInPandas(run, "volume_id string, z int, y int, x int, v double")

@@ -119,11 +119,7 @@ _query(
 
 
 def _densified(points: DataFrame) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p = branches.densify(rows.sort_values("i")[list("zyx")].to_numpy(), 4)
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], **{a: p[:, i] for i, a in enumerate("zyx")}})
-
-    made = points.groupBy("user_id").applyInPandas(run, "user_id long, z double, y double, x double")
+    made = branches.densified(points, "user_id", "i", 4)
     return made.groupBy("user_id").agg(F.count("*").alias("n"), *[F.round(F.sum(a), 3).alias(a) for a in "zyx"])
 
 
