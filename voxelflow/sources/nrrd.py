@@ -140,7 +140,7 @@ def encode(array: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1
     unit = np.asarray(direction if direction is not None else np.eye(3).ravel(), float).reshape(3, 3)
     point = lambda v: "(" + ",".join(repr(float(c)) for c in v) + ")"
     sizes, steps = " ".join(map(str, array.shape[::-1])), " ".join(point(v * float(n)) for v, n in zip(unit, spacing[::-1], strict=True))
-    head = f"NRRD0004\ntype: {names[kind]}\ndimension: 3\nspace: {space}\nsizes: {sizes}\nspace directions: {steps}\nendian: little\nencoding: {'gzip' if compressed else 'raw'}\nspace origin: {point(origin or [0.0] * 3)}\n\n"
+    head = f"NRRD0004\ntype: {names[kind]}\ndimension: 3\nspace: {space}\nsizes: {sizes}\nspace directions: {steps}\nendian: little\nencoding: {'gzip' if compressed else 'raw'}\nspace origin: {point([0.0] * 3 if origin is None else origin)}\n\n"
     data = array.astype(array.dtype.newbyteorder("<")).tobytes()
     return head.encode() + (gzip.compress(data) if compressed else data)
 
