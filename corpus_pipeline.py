@@ -16,13 +16,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelflow.llm.common import shared_folder
 from voxelflow.llm.line_dedup import without_repeated_lines
 from voxelflow.llm.minhash import near_duplicates
 from voxelflow.llm.packing import pack
 from voxelflow.llm.pii import redact
 from voxelflow.llm.toxicity import train, without_toxic
-from voxelflow.session import reach
+from voxelflow.session import checkpoint_folder, reach
 
 #: No stage but the first two is plain SQL.
 ORACLE_SQL = None
@@ -70,12 +69,22 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What each stage makes is written to the shared folder and reread."""
+    """The last stage's rows. What each stage makes is written to the shared folder and reread, and goes when the next one's is there.
+
+    The last one's folder stays, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    top = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{top}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            _drop(spark, f"{top}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
