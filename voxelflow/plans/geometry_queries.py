@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.geometry import between_endpoints, collinear, fit_ellipse, gauss_crossings, in_ellipse, in_frustum, principal_axes
 from ..functions.offsets import itk_ball
 from ..operators import branches, components as comp, fronts, graphs, hulls, masks as m, mixture, stencils
-from ..operators.skeletons import skeleton_graph, thin
-from ..operators.slabs import by_volume, dense, sparse
 from ..operators.sweeps import sweep_from_centre
-from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, grid, grid_volume, poly, vec, vec_volume, volume
+from ..session import stored
+from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, grid, grid_volume, poly, stack, stack_volumes, vec, vec_volume, volume
 from . import filter_sql as fs, pipelines
 from .mask_queries import BORDER, GRID, INSIDE, NEAR6, NEAR26, NX, NY, NZ, VEC, dilated, eroded, filled, labelled, passed
 
@@ -296,22 +295,39 @@ _query(
 )(lambda s, d: _cells(stencils.resample_nearest(grid(s, d), grid_volume(s), 2.0), "v"))
 
 
+_query("resample_spline")(lambda s, d: _cells(stencils.resample_spline(grid(s, d), grid_volume(s), 1.5), "v"))
+_query("top_node")(lambda s, d: pipelines.top_node(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s)).select("z", "y", "x"))
+
+
 @_query("skeleton")
 def _skeleton(s: SparkSession, d: str) -> DataFrame:
-    def run(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
-        lines = thin(dense(rows, 0, GRID_SHAPE, None, 0))
-        return sparse(lines, info["volume_id"], 0, lines, None)
-
-    return _cells(by_volume(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s), run, "volume_id string, z int, y int, x int"))
+    return _cells(pipelines.skeleton(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s)))
 
 
 @_query("skeleton_graph")
 def _skeleton_graph(s: SparkSession, d: str) -> DataFrame:
-    def run(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
-        _, edges = skeleton_graph(thin(dense(rows, 0, GRID_SHAPE, None, 0)))
-        return pd.DataFrame([(i, j, len(p)) for i, j, p in edges], columns=["src", "dst", "points"])
+    _, edges = pipelines.skeleton_tables(m.threshold(grid(s, d), 16), grid_volume(s))
+    return edges.select("src", "dst", (F.size("line") / 3).cast("int").alias("points"))
+
+
+def _parts_sql() -> str:
+    tables, head = labelled("select z, y, x from grid where v >= 18", 26)
+    return f"{head}{GRID}, {tables} select label, count(*) as cells, true as inside from lab group by label"
+
+
+@_query("thinned_parts", _parts_sql())
+def _thinned(s: SparkSession, d: str) -> DataFrame:
+    """Each part's cells by 26 neighbours, and whether thinning left exactly one part of it, within it."""
+    mask, v = m.threshold(grid(s, d), 18), grid_volume(s)
+    whole, lines = (stored(comp.label(x, v, 26)) for x in (mask, pipelines.thinned(mask, v)))
+    under = lines.select(*m.KEYS, F.col("label").alias("line")).join(whole, m.KEYS, "left").groupBy("label").agg((F.countDistinct("line") == 1).alias("inside"))
+    return m.label_sizes(whole).withColumnRenamed("n", "cells").join(under, "label", "full").select("label", "cells", F.coalesce("inside", F.lit(False)).alias("inside"))
+
 
-    return by_volume(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s), run, "src int, dst int, points int")
+@_query("path_skeleton")
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    """Edges of the tree of shortest paths through the stacks' volumes."""
+    return pipelines.path_graphs(m.threshold(stack(s, d), 2), stack_volumes(s, d)).where("src >= 0").select("graph_id", "src", "dst")
 
 
 _GAPS = "select z, y, x from grid where v >= 12"

@@ -23,7 +23,7 @@ from ..operators.mixture import threshold_volume
 from ..operators.skeletons import PATHS, path_graph, path_skeleton, skeleton_graph, thin
 from ..operators.slabs import boxed, by_volume
 from ..session import stored
-from ..sources.nrrd import coerce
+from ..sources.nrrd import coerce, write_nrrd
 
 log = logging.getLogger(__name__)
 KEYS = m.KEYS
@@ -110,15 +110,20 @@ def vessels(image: DataFrame, lung_labels: DataFrame, volumes: DataFrame, lobe_l
     return kept if binary else m.lookup(kept, lobe_labels)
 
 
-def skeleton(mask: DataFrame, volumes: DataFrame) -> DataFrame:
-    """The lines of a mask: thinned, holes of that filled, and the clumps that filling leaves taken away again."""
+def thinned(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+    """A mask thinned to lines. A volume's mask, in its bounding box, is one task."""
 
     def kernel(rows: pd.DataFrame, info: dict) -> pd.DataFrame:
         array, low = boxed(rows)
         at = np.argwhere(thin(array)) + low
         return pd.DataFrame({"volume_id": info["volume_id"], **{a: at[:, i].astype(np.int32) for i, a in enumerate("zyx")}})
 
-    return without_clumps(stored(by_volume(mask.select(*KEYS), volumes, kernel, "volume_id string, z int, y int, x int")), volumes)
+    return by_volume(mask.select(*KEYS), volumes, kernel, "volume_id string, z int, y int, x int")
+
+
+def skeleton(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+    """The lines of a mask: thinned, holes of that filled, and the clumps that filling leaves taken away again."""
+    return without_clumps(stored(thinned(mask, volumes)), volumes)
 
 
 def without_clumps(lines: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -290,10 +295,23 @@ def smooth_tree(rough: DataFrame, airway_mask: DataFrame, volumes: DataFrame) ->
     return m.intersect(model_tree(rough, airway_mask, volumes), rough)
 
 
-def run(spark: SparkSession, image: str | DataFrame, volumes: DataFrame, lung_labels: str | DataFrame, path: str | None = None) -> DataFrame:
-    """Airways of an image given as a path or a table; airways and filled walls are written below `path` if given."""
-    out = airways(coerce(spark, image), coerce(spark, lung_labels), volumes)
-    if path:
+def run(spark: SparkSession, image: str | DataFrame, volumes: DataFrame, lung_labels: str | DataFrame | None = None, path: str | tuple[str, str] | None = None, plug_in: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Airways of an image given as a path or a table. Without lung labels a plug-in makes them from the image.
+
+    path: a folder, below which airways and filled walls are written as Parquet; or two folders, one for each, that get NRRD files with the
+    geometry of `volumes`.
+    """
+    cells = coerce(spark, image)
+    regions = coerce(spark, lung_labels)
+    if regions is None:
+        if plug_in is None:
+            raise ValueError("neither lung labels nor a plug-in")
+        regions = stored(lungs(cells, binary=False, plug_in=plug_in))
+    out = airways(cells, regions, volumes)
+    if isinstance(path, str):
         out["airways"].write.mode("overwrite").parquet(f"{path}/airways")
         out["walls_filled"].write.mode("overwrite").parquet(f"{path}/walls_filled")
+    elif path:
+        for name, folder in zip(("airways", "walls_filled"), path, strict=True):
+            write_nrrd(out[name], volumes, folder, "uint8")
     return out["airways"]
