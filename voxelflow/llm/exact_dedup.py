@@ -1,6 +1,6 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-Every input partition hashes its normalised texts to 64 bits and sends each owner of a hash range its sorted distinct
+Every input partition, in parts of PER_PART rows, hashes its normalised texts to 64 bits and sends each owner of a hash range its sorted distinct
 hashes, Rice-coded (Golomb with a power of two). An owner answers every partition with a bitmap: bit i says that the i-th
 hash was also sent by another partition. A partition adds what is repeated within itself; rows whose hash is marked are
 suspects. Only suspects' texts are shuffled: they are grouped by their bytes, copies first within each task, and a class
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import SPACE, stored, tidy
 
-#: Fingerprints that one owner takes on average.
-PER_OWNER = 1_000_000
+#: Fingerprints that one owner takes on average, and rows of an input partition that are answered together at most.
+PER_OWNER, PER_PART = 1_000_000, 500_000
 #: Suspect hashes that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
 
@@ -76,16 +76,18 @@ def normalised(text: pa.Array) -> Iterator[bytes]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
+    part, rows = TaskContext.get().partitionId() << 24, 0
     for batch in batches:
         text = batch.column("text")
+        own = part + rows // PER_PART  # so that a file that can't be split is no single group
+        rows += len(text)
         fps, shas = [], []
         for raw in normalised(text):
             fps.append(xxhash.xxh3_64_intdigest(raw))
             shas.append(hashlib.sha256(raw).hexdigest())
         yield pa.record_batch(
             [
-                pa.array(np.full(len(text), part, np.int64)),
+                pa.array(np.full(len(text), own, np.int64)),
                 batch.column("id"),
                 pa.array(np.array(fps, np.uint64).view(np.int64)),
                 pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()),
