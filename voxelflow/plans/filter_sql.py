@@ -134,3 +134,40 @@ def crossings(image: str, highest: float = 500, k: int = 3) -> str:
     cut_r as (select i, case when abs(a) < 1e-12 then -c / b else (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) end as p, case when abs(a) < 1e-12 then -c / b else (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) end as q from cut_q),
     cut as (select cast(i + 1 as int) as i, case when greatest(p, q) < (select max(v) from {image} where v <= {highest}) then greatest(p, q) else least(p, q) end as threshold from cut_r
         union all select 0, cast(min(v) - 1 as double) from {image} union all select {k}, cast(max(v) + 1 as double) from {image})"""
+
+
+def splined(cells: str, shape: tuple[int, int, int], spacing: float) -> str:
+    """Table spline (z, y, x, v): a cubic spline through the cells, mirrored about its border cells, on a grid of another spacing."""
+    pole = math.sqrt(3) - 2
+    taps = ", ".join(f"({o}, {-6 * pole / (1 - pole**2) * pole ** abs(o)!r}::double)" for o in range(-24, 25))
+    turned = lambda place, n: f"least(abs({place}) % {2 * (n - 1)}, {2 * (n - 1)} - abs({place}) % {2 * (n - 1)})"
+    out, last = [f"spline_tap(o, w) as (values {taps})"], cells
+    for axis, n in zip("zyx", shape, strict=True):
+        others = " and ".join(f"a.{c} = s.{c}" for c in "zyx" if c != axis)
+        out.append(f"spline_c{axis} as (select s.z, s.y, s.x, sum(w * a.v) as v from {last} s cross join spline_tap join {last} a on {others} and a.{axis} = {turned(f'(s.{axis} + o)', n)} group by 1, 2, 3)")
+        last = f"spline_c{axis}"
+    basis = ("pow(1 - f, 3) / 6", "2 / 3.0::double - f * f + pow(f, 3) / 2", "2 / 3.0::double - pow(1 - f, 2) + pow(1 - f, 3) / 2", "pow(f, 3) / 6")
+    for axis, n in zip("zyx", shape, strict=True):
+        others = ", ".join(f"a.{c}" for c in "zyx" if c != axis)
+        spots = " union all ".join(f"select p, {turned(f'(b + {k - 1})', n)} as at, {w} as w, p * {spacing} > {n - 0.5} as off from spline_p{axis}" for k, w in enumerate(basis))
+        out.append(f"spline_p{axis} as (select cast(p as int) as p, cast(floor(p * {spacing}) as int) as b, cast(p * {spacing} - floor(p * {spacing}) as double) as f from range(0, cast(round_even({n} / {spacing}, 0) as int)) r(p))")
+        out.append(f"spline_{axis} as (select p as {axis}, {others}, case when any_value(off) then 0 else sum(w * a.v) end as v from ({spots}) s join {last} a on a.{axis} = s.at group by 1, 2, 3)")
+        last = f"spline_{axis}"
+    return ",\n    ".join([*out, f"spline as (select z, y, x, v from {last})"])
+
+
+def swept(cells: str, centre: tuple[int, int, int]) -> str:
+    """Table sweep (z, y, x) of cells (id, z, y, x): blobs of the slices through the centre, and along each axis those that overlap one of
+    the slice before which is at least as large. Needs `recursive`."""
+    views = " union all ".join(f"select '{a}' as axis, {a} as s, {SIDES[a].split(', ')[0]} as u, {SIDES[a].split(', ')[1]} as w, id, z, y, x from {cells}" for a in "zyx")
+    middle = " or ".join(f"(axis = '{a}' and s = {c})" for a, c in zip("zyx", centre, strict=True))
+    return f"""sweep_v as ({views}),
+    sweep_l as (select a.axis, a.id as a, b.id as b from sweep_v a join sweep_v b on a.axis = b.axis and a.s = b.s and abs(a.u - b.u) <= 1 and abs(a.w - b.w) <= 1 and a.id <> b.id),
+    sweep_w(axis, id, l) as (select axis, id, id from sweep_v union select l.axis, l.b, w.l from sweep_w w join sweep_l l on l.axis = w.axis and l.a = w.id where w.l < l.b),
+    sweep_b as (select v.*, m.l as blob from sweep_v v join (select axis, id, min(l) as l from sweep_w group by 1, 2) m using (axis, id)),
+    sweep_n as (select axis, s, blob, count(*) as n from sweep_b group by 1, 2, 3),
+    sweep_o as (select distinct a.axis, a.s, a.blob, b.s as s2, b.blob as blob2 from sweep_b a join sweep_b b on a.axis = b.axis and abs(a.s - b.s) = 1 and a.u = b.u and a.w = b.w
+        join sweep_n m on m.axis = a.axis and m.s = a.s and m.blob = a.blob join sweep_n n on n.axis = b.axis and n.s = b.s and n.blob = b.blob where m.n >= n.n),
+    sweep_r(axis, s, blob, way) as (select axis, s, blob, way from sweep_n, (values (1), (-1)) d(way) where {middle}
+        union select o.axis, o.s2, o.blob2, way from sweep_r r join sweep_o o on o.axis = r.axis and o.s = r.s and o.blob = r.blob and o.s2 = r.s + way),
+    sweep as (select distinct z, y, x from sweep_b b join sweep_r r on r.axis = b.axis and r.s = b.s and r.blob = b.blob)"""

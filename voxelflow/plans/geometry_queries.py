@@ -169,7 +169,22 @@ def _ellipses(s: SparkSession, d: str) -> DataFrame:
     return poly(s, d).groupBy("user_id").applyInPandas(run, "user_id long, centre array<double>, major array<double>, minor array<double>")
 
 
-@_query("gap_fill")
+def _gap_sql() -> str:
+    """A line between the ends where all points lie on one; else the cells on the inner side of all lines through two points that have
+    every point on one side."""
+    return (
+        f"with {POLY}, p as (select distinct user_id, z, y, x from poly), e as (select user_id, z, min({{'y': y, 'x': x}}) as a, max({{'y': y, 'x': x}}) as b, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from p group by 1, 2), "
+        "f as (select e.*, s.flat from e join (select user_id, z, bool_and((b.y - a.y) * (x - a.x) = (b.x - a.x) * (y - a.y)) as flat from p join e using (user_id, z) group by 1, 2) s using (user_id, z)), "
+        "n as (select *, greatest(abs(b.y - a.y), abs(b.x - a.x)) as n from f where flat), k as (select user_id, z, a, b, case when n = 0 then 0.0 when k = n then 1.0 else k * (cast(1.0 as double) / n) end as t from n, lateral (select unnest(range(0, n + 1)) as k) u), "
+        "side as (select q.user_id, q.z, q.y as ay, q.x as ax, r.y - q.y as dy, r.x - q.x as dx from p q join p r using (user_id, z) join f using (user_id, z) where not flat and (q.y <> r.y or q.x <> r.x)), "
+        "edge as (select s.* from side s join p using (user_id, z) group by all having min(dy * (x - ax) - dx * (y - ay)) >= 0), "
+        "cell as (select user_id, z, y, x from f, lateral (select unnest(range(y0, y1 + 1)) as y) u, lateral (select unnest(range(x0, x1 + 1)) as x) w where not flat) "
+        "select distinct user_id, z, cast(round_even(a.y + t * (b.y - a.y), 0) as int) as y, cast(round_even(a.x + t * (b.x - a.x), 0) as int) as x from k "
+        "union all select c.user_id, c.z, cast(c.y as int), cast(c.x as int) from cell c join edge e using (user_id, z) group by 1, 2, 3, 4 having min(e.dy * (c.x - e.ax) - e.dx * (c.y - e.ay)) >= 0"
+    )
+
+
+@_query("gap_fill", _gap_sql())
 def _gaps(s: SparkSession, d: str) -> DataFrame:
     """The gaps between a user's points of one hour."""
 
@@ -295,7 +310,7 @@ _query(
 )(lambda s, d: _cells(stencils.resample_nearest(grid(s, d), grid_volume(s), 2.0), "v"))
 
 
-_query("resample_spline")(lambda s, d: _cells(stencils.resample_spline(grid(s, d), grid_volume(s), 1.5), "v"))
+_query("resample_spline", f"with {GRID}, {_CELLS}, {fs.splined('cells', GRID_SHAPE, 1.5)} select z, y, x, round(v, 6) as v from spline")(lambda s, d: _cells(stencils.resample_spline(grid(s, d), grid_volume(s), 1.5).withColumn("v", F.round("v", 6)), "v"))
 _query("top_node")(lambda s, d: pipelines.top_node(comp.largest_component(m.threshold(grid(s, d), 16), grid_volume(s)), grid_volume(s)).select("z", "y", "x"))
 
 
@@ -354,7 +369,7 @@ def _clean(s: SparkSession, d: str) -> DataFrame:
     return kept.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-_query("contour_sweep")(lambda s, d: _cells(sweep_from_centre(m.threshold(grid(s, d), 14), grid_volume(s))))
+_query("contour_sweep", f"with recursive {GRID}, cell as (select (z * {NY} + y) * {NX} + x as id, z, y, x from grid where v >= 14), {fs.swept('cell', tuple(n // 2 for n in GRID_SHAPE))} select z, y, x from sweep")(lambda s, d: _cells(sweep_from_centre(m.threshold(grid(s, d), 14), grid_volume(s))))
 
 # ---- pipelines on phantoms ------------------------------------------------------------------------------------------
 
