@@ -11,7 +11,7 @@ from ..functions.offsets import itk_ball
 from ..operators import branches, components as comp, fronts, graphs, hulls, masks as m, mixture, stencils
 from ..operators.sweeps import sweep_from_centre
 from ..session import stored
-from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, grid, grid_volume, poly, stack, stack_volumes, vec, vec_volume, volume
+from ..sources.fixtures import GRID_SHAPE, GRID_SQL, POLY_SQL, VEC_SQL, alike, grid, grid_volume, poly, stack, stack_volumes, vec, vec_volume, volume
 from . import filter_sql as fs, pipelines
 from .mask_queries import BORDER, GRID, INSIDE, NEAR6, NEAR26, NX, NY, NZ, VEC, dilated, eroded, filled, labelled, passed
 
@@ -374,8 +374,11 @@ _query("contour_sweep", f"with recursive {GRID}, cell as (select (z * {NY} + y)
 # ---- pipelines on phantoms ------------------------------------------------------------------------------------------
 
 
-def thorax(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Image, lung labels and volume of a made-up chest: two lungs of air with vessels, tissue around, and a tube of air between."""
+def thorax(s: SparkSession, d: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image, lung labels and volumes of made-up chests: two lungs of air with vessels, tissue around, and a tube of air between.
+
+    With tables there is a chest for each 25 slices of the vectors, whose values are its noise; without there is one.
+    """
     shape = (24, 40, 56)
     z, y, x = np.indices(shape).astype(float)
     image = np.full(shape, 40.0)
@@ -391,19 +394,31 @@ def thorax(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     bronchi = ((y - 20) ** 2 + (z - 11) ** 2 <= 5) & (x > 14) & (x < 42)
     image[((y - 20) ** 2 + (z - 11) ** 2 <= 16) & (pipe > 9) & (x > 14) & (x < 42) & (label == 0)] = 60
     image[bronchi] = -1000
-    image += (z * 7 + y * 13 + x * 29) % 11 - 5
-    rows = np.stack([*np.nonzero(np.ones(shape)), image.ravel(), label.ravel()], 1)
+    noise = (z * 7 + y * 13 + x * 29) % 11 - 5 if d is None else 0 * z
+    rows = np.stack([*np.nonzero(np.ones(shape)), (image + noise).ravel(), label.ravel()], 1)
     table = s.createDataFrame(pd.DataFrame({"volume_id": "thorax", "z": rows[:, 0].astype(np.int32), "y": rows[:, 1].astype(np.int32), "x": rows[:, 2].astype(np.int32), "v": rows[:, 3], "label": rows[:, 4].astype(np.int32)}))
-    return table.select(*m.KEYS, "v"), table.where("label > 0").select(*m.KEYS, "label"), volume(s, "thorax", shape)
+    volumes = volume(s, "thorax", shape)
+    if d is not None:
+        number = F.concat(F.lit("thorax"), F.floor(F.col("z") / 25).cast("string"))
+        rough = vec(s, d).select(number.alias("volume_id"), (F.col("z") % 25).alias("z"), F.col("y").alias("y20"), "x", (F.pmod("v", F.lit(11)) - 5).alias("noise"))
+        table = stored(table.drop("volume_id").withColumn("y20", F.col("y") % 20).join(rough, ["z", "y20", "x"]).select("volume_id", "z", "y", "x", (F.col("v") + F.col("noise")).alias("v"), "label"))
+        volumes = stored(alike(rough.select("volume_id").distinct(), shape))
+    return table.select(*m.KEYS, "v"), table.where("label > 0").select(*m.KEYS, "label"), volumes
 
 
-def tube(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The mask of a forked tube, and its volume."""
+def tube(s: SparkSession, d: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mask of a forked tube, and its volume; with tables one for each 25 slices of the vectors, with holes where values are greatest."""
     shape = (40, 24, 32)
     z, y, x = np.indices(shape).astype(float)
     fork = ((y - 12) ** 2 + (x - 16) ** 2 <= 9) & (z >= 20) | ((y - 12) ** 2 + (np.abs(x - 16) - (20 - z) / 2) ** 2 <= 6) & (z < 20) & (z > 2)
     at = np.argwhere(fork).astype(np.int32)
-    return s.createDataFrame(pd.DataFrame({"volume_id": "tube", "z": at[:, 0], "y": at[:, 1], "x": at[:, 2]})), volume(s, "tube", shape)
+    table, volumes = s.createDataFrame(pd.DataFrame({"volume_id": "tube", "z": at[:, 0], "y": at[:, 1], "x": at[:, 2]})), volume(s, "tube", shape)
+    if d is None:
+        return table, volumes
+    number = F.concat(F.lit("tube"), F.floor(F.col("z") / 25).cast("string"))
+    rough = vec(s, d).select(number.alias("volume_id"), (F.col("z") % 25).alias("z25"), F.col("y").alias("y20"), "x", (F.col("v") > 330).alias("hole"))
+    joined = table.drop("volume_id").withColumns({"z25": F.col("z") % 25, "y20": F.col("y") % 20}).join(rough, ["z25", "y20", "x"]).where("not hole")
+    return stored(joined.select("volume_id", "z", "y", "x")), stored(alike(rough.select("volume_id").distinct(), shape))
 
 
 def chest(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -446,8 +461,8 @@ def _regions(s: SparkSession, d: str) -> DataFrame:
 _query("lungs_pipeline", f"with {_REGIONS} select z, y, x, case when label in (1, 2) then 1 else 2 end as label from reg where label between 1 and 5")(lambda s, d: _cells(pipelines.lungs(_regions(s, d).where("label < 6"), binary=False), "label"))
 _query("lungs_mask_pipeline", f"with {_REGIONS} select z, y, x from reg where label between 1 and 5")(lambda s, d: _cells(pipelines.lungs(s.range(0).select(), plug_in=lambda _: pipelines.lobes(_regions(s, d), {i: i for i in range(1, 6)}))))
 _query("lobes_pipeline", f"with {_REGIONS} select z, y, x, case label when 7 then 1 when 3 then 2 when 4 then 3 when 5 then 4 else 5 end as label from reg where label in (7, 3, 4, 5, 1)")(lambda s, d: _cells(pipelines.lobes(_regions(s, d), {7: 1, 3: 2, 4: 3, 5: 4, 1: 5}), "label"))
-_query("run_pipeline")(lambda s, d: (lambda t: _cells(pipelines.run(s, t[0], t[2], t[1])))(thorax(s)))
-_query("airways_pipeline")(lambda s, d: (lambda t: _cells(pipelines.airways(t[0], t[1], t[2], [-1100.0, -500.0, -200.0, 200.0])["airways"]))(thorax(s)))
-_query("vessels_pipeline")(lambda s, d: (lambda t: _cells(pipelines.vessels(t[0], t[1], t[2])))(thorax(s)))
-_query("tree_pipeline")(lambda s, d: (lambda t: _cells(pipelines.smooth_tree(t[0], t[0], t[1])))(tube(s)))
+_query("run_pipeline")(lambda s, d: (lambda t: pipelines.run(s, t[0], t[2], t[1]).select(*m.KEYS))(thorax(s, d)))
+_query("airways_pipeline")(lambda s, d: (lambda t: pipelines.airways(t[0], t[1], t[2], [-1100.0, -500.0, -200.0, 200.0])["airways"].select(*m.KEYS))(thorax(s, d)))
+_query("vessels_pipeline")(lambda s, d: (lambda t: pipelines.vessels(t[0], t[1], t[2]).select(*m.KEYS))(thorax(s, d)))
+_query("tree_pipeline")(lambda s, d: (lambda t: pipelines.smooth_tree(t[0], t[0], t[1]).select(*m.KEYS))(tube(s, d)))
 assert NZ == GRID_SHAPE[0] and GRID_SQL and VEC_SQL

@@ -1,7 +1,7 @@
 """The composite pipelines: lungs, lobes, mediastinum, trachea, airways, vessels, and the model of an airway tree.
 
 Lung and lobe regions are an input relation (volume_id, z, y, x, label); a plug-in may make them. Every function takes tables of
-any number of volumes, except where a threshold is one number for all, and returns masks (volume_id, z, y, x).
+any number of volumes and returns masks (volume_id, z, y, x).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..operators.branches import fill_gap, smooth_branch
 from ..operators.fronts import fast_march
 from ..operators.graphs import edge_thickness, largest_graph, nearest_edge, node_order, tree
 from ..operators.hulls import body_hull, hull_by_slice
-from ..operators.mixture import threshold_volume
+from ..operators.mixture import thresholds as mixture_thresholds
 from ..operators.skeletons import PATHS, path_graph, path_skeleton, skeleton_graph, thin
 from ..operators.slabs import boxed, by_volume
 from ..session import stored
@@ -62,17 +62,27 @@ def trachea(image: DataFrame, lung_mask: DataFrame, volumes: DataFrame) -> DataF
     return comp.largest_component(morph.erode_by_slice(air, volumes), volumes, 26, last=True)
 
 
+def _cuts(image: DataFrame, lung_mask: DataFrame, volumes: DataFrame, thresholds: list[float] | None) -> DataFrame:
+    """(volume_id, air, tissue): the second and third threshold, of all volumes or by a mixture fitted to each one's lungs."""
+    if thresholds is not None:
+        return volumes.select("volume_id", F.lit(float(thresholds[1])).alias("air"), F.lit(float(thresholds[2])).alias("tissue"))
+    rows = mixture_thresholds(m.masked(image, lung_mask))
+    return rows.groupBy("volume_id").agg(*[F.max(F.when(F.col("i") == i, F.col("threshold"))).alias(n) for i, n in ((1, "air"), (2, "tissue"))])
+
+
 def airways(image: DataFrame, lung_labels: DataFrame, volumes: DataFrame, thresholds: list[float] | None = None) -> dict[str, DataFrame]:
-    """airways, walls, trachea and walls_filled of one volume. lung_labels: a mask, or labels 1 left and 2 right."""
+    """airways, walls, trachea and walls_filled of any number of volumes. lung_labels: a mask, or labels 1 left and 2 right.
+
+    thresholds: four, for all volumes; by default those of a mixture fitted to each volume. A volume without air in its trachea gives nothing; if
+    all are, that is an error.
+    """
     lung_labels = lung_labels if "label" in lung_labels.columns else lung_labels.withColumn("label", F.lit(1))
     lung_mask = lung_labels.select(*KEYS)
-    if thresholds is None:
-        _, thresholds = threshold_volume(image, lung_mask)
-    log.info("thresholds %s", thresholds)
+    cuts = stored(_cuts(image, lung_mask, volumes, thresholds))
     pipe = stored(trachea(image, lung_mask, volumes))
     hull = stored(body_hull(lung_mask, volumes))
     body = m.masked(image, hull, OUTSIDE_BODY)
-    tissue = stored(m.threshold(body, thresholds[2]))  # all outside the hull, too
+    tissue = stored(body.join(cuts, "volume_id").where("v >= tissue").select(*KEYS))  # all outside the hull, too
     scaffold = stored(comp.largest_component(m.minus(hull, tissue), volumes))
     ones = scaffold.withColumn("v", F.lit(1.0))
     first = m.masked(m.bounded_reciprocal(stencils.gradient_magnitude(ones, volumes)), scaffold)
@@ -80,12 +90,13 @@ def airways(image: DataFrame, lung_labels: DataFrame, volumes: DataFrame, thresh
     core = morph.erode(hull, volumes, itk_ball(5, 5, 5))
     speed = stored(m.masked(m.product(first, second), core).where("v > 0"))
 
-    lowest = m.masked(image, lung_mask).agg(F.min("v")).first()[0]
     smooth = stored(stencils.curvature_diffusion(m.masked(image, scaffold, OUTSIDE_BODY), volumes))
-    mean = m.masked(smooth, pipe).where(F.col("v") < min(AIR, thresholds[1])).agg(F.avg("v")).first()[0]
-    if mean is None:
+    air = m.masked(smooth, pipe).join(cuts, "volume_id").where(F.col("v") < F.least(F.lit(AIR), "air")).groupBy("volume_id").agg(F.avg("v").cast("int").alias("mean"))
+    limits = stored(m.masked(image, lung_mask).groupBy("volume_id").agg(F.min("v").cast("int").alias("lowest")).join(air, "volume_id"))
+    log.info("limits of seeds %s", limits)
+    if limits.isEmpty():
         raise ValueError("no air in the trachea")
-    seeds = m.threshold(smooth, int(lowest), int(mean)).join(smooth.where("v < 0").select(*KEYS), KEYS, "left_semi")
+    seeds = smooth.join(limits, "volume_id").where("v >= lowest and v <= mean and v < 0").select(*KEYS)
     reached = fast_march(speed, m.intersect(seeds, speed), volumes, 10.0).select(*KEYS)
     found = stored(comp.most_similar_component(reached, pipe, volumes))
     clean = comp.without_leaks(found, lung_mask, pipe, volumes)

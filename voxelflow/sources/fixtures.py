@@ -33,9 +33,14 @@ def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").groupBy(*(c.alias(n) for c, n in zip(cell, ("volume_id", "z", "y", "x"), strict=True))).agg(F.count("*").cast("int").alias("v"))
 
 
+def alike(names: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Volumes (volume_id, nz, ny, nx, sz, sy, sx) of one shape and cells of size 1."""
+    return names.select("volume_id", *[F.lit(n).alias(f"n{a}") for n, a in zip(shape, "zyx", strict=True)], *[F.lit(1.0).alias(f"s{a}") for a in "zyx"])
+
+
 def stack_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.floor(F.col("l_orderkey") / 6000).cast("string")).alias("volume_id")).distinct()
-    return names.select("volume_id", *[F.lit(n).alias(f"n{a}") for n, a in zip(GRID_SHAPE, "zyx", strict=True)], *[F.lit(1.0).alias(f"s{a}") for a in "zyx"])
+    return alike(names, GRID_SHAPE)
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
