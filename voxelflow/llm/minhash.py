@@ -225,14 +225,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = stored(members.join(joined, F.col("cid") == F.col("node"), "left").select("key", "cid", "hub", F.coalesce("root", "cid").alias("root")))
     opened = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo != hi and c > 2").select("key", "c")
-    opened = (
-        placed.where("cid != hub")  # the hub has been compared with all
-        .join(stored(opened), "key")
-        .join(classes.select("cid", "n"), "cid")
-        .join(apart.select("hub", "cid", "lacks", "adds"), ["hub", "cid"])
-    )
-    few = opened.where(F.col("c") <= BLOCK).select("hub", "key", "cid", "root", "n", "lacks", "adds", F.lit(1).alias("blocks"))
-    many = stored(opened.where(F.col("c") > BLOCK).select("hub", "cid", "root", "n", "lacks", "adds").distinct())
+    # the hub has been compared with all; members of its keys that fit in one block are one group, each of them once
+    narrow = stored(placed.where("cid != hub").join(stored(opened), "key").select("hub", "key", "cid", "root", "c"))
+    hubs = stored(narrow.groupBy("hub").agg(F.count_distinct("cid").alias("h")))
+    narrow = narrow.join(hubs, "hub")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("cid", "n"), "cid").join(apart.select("hub", "cid", "lacks", "adds"), ["hub", "cid"])
+
+    few = narrow.where(F.col("h") <= BLOCK).select("hub", F.lit(0).cast("long").alias("key"), "cid", "root").distinct()
+    few = whole(few.unionByName(narrow.where((F.col("h") > BLOCK) & (F.col("c") <= BLOCK)).select("hub", "key", "cid", "root")))
+    few = few.select("hub", "key", "cid", "root", "n", "lacks", "adds", F.lit(1).alias("blocks"))
+    many = stored(whole(narrow.where((F.col("h") > BLOCK) & (F.col("c") > BLOCK)).select("hub", "cid", "root").distinct()).select("hub", "cid", "root", "n", "lacks", "adds"))
     if not many.isEmpty():
         few = few.unionByName(_alike(many, percent))
     blocks = (
@@ -242,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("hub", "key", "i", "j", "block", "cid", "root", "n", "lacks", "adds")
     )
     second = stored(blocks.groupBy("hub", "key", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct())
-    del placed, opened, few, many, blocks, members, joined
+    del placed, opened, narrow, hubs, few, many, blocks, members, joined
     release(docs.sparkSession)
     joined = components(links.union(second))
 
