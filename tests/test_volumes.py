@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelflow.functions.offsets import exact_ball, face, itk_ball
-from voxelflow.operators import components as comp, fronts, graphs, masks as m, morphology as morph, stencils
+from voxelflow.operators import components as comp, fronts, graphs, masks as m, mixture, morphology as morph, stencils
 from voxelflow.plans import pipelines
 from voxelflow.plans.geometry_queries import thorax, tube
 from voxelflow.sources import nrrd
@@ -157,6 +157,19 @@ def test_constrained_dilation_of_a_wide_ball(spark):
     assert got == want
 
 
+def test_thresholds_of_a_volume_are_written(spark, tmp_path):
+    r = np.random.default_rng(14)
+    a = np.rint(r.choice([-850.0, -300.0, 50.0], (12, 20, 20)) + r.normal(0, 25, (12, 20, 20)))
+    image = cells(spark, a)
+    lungs = image.where("x > 1").select("volume_id", "z", "y", "x")
+    labels, cuts = mixture.threshold_volume(image, lungs, path=str(tmp_path / "cuts"))
+    assert len(cuts) == 4 and cuts[0] < -850 < cuts[1] < -300 < cuts[2] < 50 < cuts[3]
+    assert [float(x.threshold) for x in spark.read.csv(str(tmp_path / "cuts"), header=True).collect()] == cuts
+    least = a[:, :, 2:].min()
+    want = {i: 0 if a[i] == least else int(np.searchsorted(cuts, a[i], "right")) for i in np.ndindex(a.shape) if i[2] > 1}
+    assert {(x.z, x.y, x.x): x.label for x in labels.collect()} == want
+
+
 def test_levels_two_ways(spark):
     nodes = spark.createDataFrame([("g", i, 9 - i, 0, 0) for i in range(8)] + [("h", 1, 0, 0, 0)], "graph_id string, node_id int, z int, y int, x int")
     edges = spark.createDataFrame([("g", a, b) for a, b in ((0, 1), (1, 2), (0, 3), (3, 2), (2, 4), (4, 5))], "graph_id string, src int, dst int")

@@ -93,7 +93,7 @@ def airways(image: DataFrame, lung_labels: DataFrame, volumes: DataFrame, thresh
     smooth = stored(stencils.curvature_diffusion(m.masked(image, scaffold, OUTSIDE_BODY), volumes))
     air = m.masked(smooth, pipe).join(cuts, "volume_id").where(F.col("v") < F.least(F.lit(AIR), "air")).groupBy("volume_id").agg(F.avg("v").cast("int").alias("mean"))
     limits = stored(m.masked(image, lung_mask).groupBy("volume_id").agg(F.min("v").cast("int").alias("lowest")).join(air, "volume_id"))
-    log.info("limits of seeds %s", limits)
+    log.info("trachea, hull and scaffold are stored; limits of seeds are known")
     if limits.isEmpty():
         raise ValueError("no air in the trachea")
     seeds = smooth.join(limits, "volume_id").where("v >= lowest and v <= mean and v < 0").select(*KEYS)
