@@ -222,10 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         hashed = stored(hashed.orderBy(F.xxhash64("which", "counts"), "toxic").limit(2 * SAMPLE))
     often = hashed.select("which").mapInArrow(tidy(_each), "feature long").groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("feature").toArrow()
     known = np.sort(often.column("feature").to_numpy().astype(np.uint32))
-    rows = hashed.mapInArrow(tidy(_narrowed(known)), schema).orderBy("least", "which", "counts", "length", "toxic").toArrow()
-    blobs = ([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(c)] for c in ("which", "counts"))
-    model = fit(list(zip(*blobs, rows.column("length").to_pylist(), rows.column("toxic").to_pylist(), rows.column("least").to_pylist(), strict=True)))
-    del rows, blobs, often, known
+    rows = hashed.mapInArrow(tidy(_narrowed(known)), schema).toArrow()
+    texts = sorted(zip(*(rows.column(c).to_pylist() for c in _FIELDS), strict=True))  # alike however rows were dealt
+    model = fit([(np.frombuffer(which, np.uint32), np.frombuffer(counts, np.uint32), *rest) for which, counts, *rest in texts])
+    del rows, texts, often, known
     trim()
     return model
 
