@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settled
+from ..session import release, settled
 from .common import stored
 
 #: Share of a score that may be left to be passed on, and share of it that each round passes on.
@@ -28,6 +28,8 @@ TOLERANCE, DAMPING = 1e-4, 0.85
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts whose scores are broadcast at most (some 60 bytes each), edges from which a host's are dealt anew, and in how many parts.
 BROADCAST_HOSTS, CROWDED, SALTS = 500_000, 100_000, 64
+#: Edges (some 100 bytes each) of a graph that one task goes through in every round, which then moves nothing.
+SMALL = 500_000
 #: Second labels under which country domains register names.
 SECOND = ("ac", "co", "com", "edu", "gov", "net", "ne", "or", "org")
 #: The host of an absolute or protocol-relative link.
@@ -118,25 +120,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
     back = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("f"), (F.col("weight") / F.col("total")).alias("b"))
     steps = settled(forth.unionByName(back).groupBy("host", "to").agg(F.sum("f").alias("f"), F.sum("b").alias("b")))
     degrees = stored(steps.groupBy("host").agg(F.count("*").alias("n")))
-    few = degrees.count() <= BROADCAST_HOSTS
-    if not few:
+    hosts, n_steps = degrees.agg(F.count("*"), F.sum("n")).first()
+    few, small = hosts <= BROADCAST_HOSTS, (n_steps or 0) <= SMALL
+    small = small and few
+    if small:
+        steps = settled(steps.coalesce(1))
+    elif not few:
         steps = steps.join(degrees, "host").withColumn("salts", F.when(F.col("n") > CROWDED, SALTS).otherwise(1))
         steps = settled(steps.withColumn("salt", F.pmod(F.xxhash64("to"), "salts").cast("int")).select("host", "salt", "to", "f", "b"))
     base = start.select("host", (F.col("s") * (1 - damping)).alias("t"), (F.col("z") * (1 - damping)).alias("d"))
-    scores = start.select("host", F.col("s").alias("t"), F.col("z").alias("d"))
+    alone = base.join(degrees, "host", "left_anti")  # seeds without an edge keep what they have
+    scores = start.join(degrees, "host", "left_semi").select("host", F.col("s").alias("t"), F.col("z").alias("d"))
+    base = base.join(degrees, "host", "left_semi")
+    base, scores = (settled(x.coalesce(1)) if small else x for x in (base, scores))
     for i in range(rounds_for(tolerance, damping)):
-        # every host with edges is in `degrees`, whose number bounds what is broadcast
-        passed = scores.join(degrees, "host")
-        if few:
-            joined = F.broadcast(passed).join(steps, "host")
+        if few:  # every host with a score has edges, so their number bounds what is broadcast
+            joined = F.broadcast(scores).join(steps, "host")
         else:
             salts = F.when(F.col("n") > CROWDED, SALTS).otherwise(1)
-            joined = settled(passed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))).join(steps, ["host", "salt"])
+            joined = settled(scores.join(degrees, "host").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))).join(steps, ["host", "salt"])
         moved = joined.select(F.col("to").alias("host"), (damping * F.col("t") * F.col("f")).alias("t"), (damping * F.col("d") * F.col("b")).alias("d"))
-        scores = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        both = moved.unionByName(base)
+        scores = (both.coalesce(1) if small else both).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         if i % 4 == 3 or not few:
             scores = settled(scores)
-    return scores.select("host", F.round("t", 15).alias("trust"), F.round("d", 15).alias("distrust"))
+        if i % 16 == 15:
+            release(seeds.sparkSession)
+    return scores.unionByName(alone).select("host", F.round("t", 15).alias("trust"), F.round("d", 15).alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tolerance: float = TOLERANCE, threshold: float = 0.5) -> DataFrame:
