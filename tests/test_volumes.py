@@ -289,3 +289,18 @@ def test_all_points_at_the_ends_of_a_wide_branch(monkeypatch):
     made = pipelines._modelled(("a", 1), pd.DataFrame(np.zeros((1, 3), int), columns=list("zyx")), pd.DataFrame({"line": [[0, 0, 0, 1, 0, 0]]}))
     for kind, end in zip(("first", "last"), ends, strict=True):
         assert np.array_equal(made[made["kind"] == kind][list("zyx")].to_numpy(float), end)
+
+
+def test_nearest_edge_sends_each_place_once(spark, monkeypatch):
+    """However many polylines cross in a place, its task gets one row of it; pairs are compared in parts."""
+    monkeypatch.setattr(graphs, "PAIRS", 4)
+    a = np.zeros((4, 9, 9))
+    a[0, 0, :5] = a[3, 8, 8] = 1
+    where = [(0, 0, 1), (3, 8, 7), (0, 0, 3)]
+    lines = spark.createDataFrame([("a", e, *where[e % 3]) for e in range(1, 3001)], "volume_id string, edge_id int, z int, y int, x int")
+    out = graphs.nearest_edge(cells(spark, a), lines)
+    got = {(r.z, r.y, r.x): (r.edge_id, r.distance) for r in out.collect()}
+    assert got == {(0, 0, 0): (3, 1.0), (0, 0, 1): (3000, 0.0), (0, 0, 2): (2, 1.0), (0, 0, 3): (2999, 0.0), (0, 0, 4): (2, 1.0), (3, 8, 8): (1, 1.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    side = plan[plan.index("FlatMapCoGroupsInPandas") :]
+    assert "min(edge_id" in side

@@ -15,8 +15,8 @@ from ..session import settled, stored
 from .components import label_roots
 from .slabs import DEPTH
 
-#: Side of the blocks of cells that are compared with polyline points together.
-BLOCK = 8
+#: Side of the blocks of cells that are compared with polyline points together, and pairs that are compared at once.
+BLOCK, PAIRS = 8, 1 << 19
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -123,13 +123,15 @@ def nearest_edge(cells: DataFrame, edge_points: DataFrame) -> DataFrame:
 
     edge_points: (volume_id, edge_id, z, y, x). A cell on polylines is of the one with the greatest id; of equally near ones it is
     of the smallest. Exact positions are an equality join; the rest is compared slab by slab with the volume's polyline points,
-    which a tree bounds, and in a slab by blocks of BLOCK cells a side with those points that can be nearest to any of it.
+    and in a slab by blocks of BLOCK cells a side with those points that can be nearest to any of it. Of a position only the greatest
+    and the smallest edge count, so that however many polylines cross there, a volume has no more points than cells.
     """
     keys = ["volume_id", "z", "y", "x"]
-    exact = cells.select(*keys).join(edge_points, keys).groupBy(*keys).agg(F.max("edge_id").alias("edge_id")).withColumn("distance", F.lit(0.0))
+    places = edge_points.groupBy(*keys).agg(F.max("edge_id").alias("last"), F.min("edge_id").alias("edge_id"))
+    exact = cells.select(*keys).join(places, keys).select(*keys, F.col("last").alias("edge_id"), F.lit(0.0).alias("distance")).distinct()
     rest = cells.select(*keys).join(exact, keys, "left_anti").withColumn("slab", F.floor(F.col("z") / DEPTH).cast("int"))
     slabs = rest.select("volume_id", "slab").distinct()
-    points = edge_points.join(slabs.select("volume_id", (F.col("slab") + 0).alias("slab")), "volume_id")
+    points = places.drop("last").join(slabs.select("volume_id", (F.col("slab") + 0).alias("slab")), "volume_id")
 
     def run(mine: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         out = mine[keys].copy()
@@ -146,9 +148,10 @@ def nearest_edge(cells: DataFrame, edge_points: DataFrame) -> DataFrame:
             least = (np.maximum(0, np.maximum(low - q, q - high)) ** 2).sum(axis=1)
             most = (np.maximum(np.abs(q - low), np.abs(q - high)) ** 2).sum(axis=1)
             near = np.flatnonzero(least <= most.min())
-            d2 = ((p[mine, None] - q[near][None]) ** 2).sum(axis=2)
-            at = d2.argmin(axis=1)
-            edge[mine], far[mine] = ids[near[at]], np.sqrt(d2[np.arange(len(at)), at])
+            for part in np.array_split(mine, min(len(mine), len(mine) * len(near) // PAIRS + 1)):
+                d2 = ((p[part, None] - q[near][None]) ** 2).sum(axis=2)
+                at = d2.argmin(axis=1)
+                edge[part], far[part] = ids[near[at]], np.sqrt(d2[np.arange(len(at)), at])
         return out.assign(edge_id=edge, distance=far)
 
     near = rest.groupBy("volume_id", "slab").cogroup(points.groupBy("volume_id", "slab")).applyInPandas(run, "volume_id string, z int, y int, x int, edge_id int, distance double")
