@@ -306,3 +306,17 @@ def test_tries_without_cells_do_not_count(monkeypatch):
     monkeypatch.setattr(b, "_frustum", made)
     monkeypatch.setattr(b, "points_in_ellipse", lambda p, e: np.zeros(len(p), bool))
     assert len(b.smooth_branch(cells, line)[0]) == 7 and tried == [0, 0, 0, 7, 5, 0, 6]
+
+
+def test_hull_facets_of_points_in_few_planes():
+    """Points evenly between cells, turned there and back as a branch's are, lie in few planes but for their last digits."""
+    cube = np.array(list(itertools.product((0, 1, 2, 3), repeat=3)), float)
+    p = b.densify(cube, 5)
+    axes = np.linalg.qr(np.random.default_rng(5).normal(size=(3, 3)))[0]
+    p = (p - p.mean(axis=0)) @ axes.T @ axes + p.mean(axis=0)
+    normals, offsets = g.facets(p)
+    assert len(offsets) <= 2 * 56 - 4  # on the surface are 56 cells
+    assert (p @ normals.T <= offsets + 1e-9).all()
+    box = np.array(list(itertools.product(range(-1, 5), repeat=3)))
+    assert ((box @ normals.T <= offsets + 1e-9).all(axis=1) == ((box >= 0) & (box <= 3)).all(axis=1)).all()
+    assert len(b.fill_gap(p)) == 64

@@ -248,35 +248,69 @@ def principal_axes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, axes * np.where(sign == 0, 1, sign)[:, None]
 
 
+#: Points in space are held to this grid where a hull is sought, so that what lies in one plane does so exactly.
+SNAP = 1_000_000
+
+
+def _line_ends(p: np.ndarray) -> np.ndarray:
+    """The points without those between two others on a line along an axis."""
+    for axis in range(3):
+        a, b = (c for c in range(3) if c != axis)
+        p = p[np.lexsort((p[:, axis], p[:, b], p[:, a]))]
+        new = (p[1:, a] != p[:-1, a]) | (p[1:, b] != p[:-1, b])
+        p = p[np.concatenate([[True], new]) | np.concatenate([new, [True]])]
+    return p
+
+
 def facets(points: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Outward normals and offsets of the planes of the convex hull of points in space; None if they have no volume."""
+    """Outward normals and offsets of the planes of the convex hull of points in space; None if they have no volume.
+
+    The hull grows by the point furthest beyond one of its faces. Sides are told apart in whole numbers of any length, and a face
+    in whose plane the point lies is replaced, too: so its rim is one ring and no face is flat, however many points share a plane.
+    """
     p = np.unique(np.asarray(points, float), axis=0)
     if len(p) < 4 or np.linalg.matrix_rank(p - p.mean(axis=0), tol=1e-5) < 3:
         return None
-    middle = p.mean(axis=0)
-    far = [int(((p - middle) ** 2).sum(axis=1).argmax())]
-    far.append(int(((p - p[far[0]]) ** 2).sum(axis=1).argmax()))
-    line = p[far[1]] - p[far[0]]
-    far.append(int((np.cross(p - p[far[0]], line) ** 2).sum(axis=1).argmax()))
-    normal = np.cross(line, p[far[2]] - p[far[0]])
-    far.append(int(np.abs((p - p[far[0]]) @ normal).argmax()))
-    inner = p[far].mean(axis=0)
-
-    def plane(t: tuple[int, int, int]) -> tuple[np.ndarray, float, tuple[int, int, int]]:
-        n = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
-        n = n / max(float(np.linalg.norm(n)), 1e-300)
-        d = float(n @ p[t[0]])
-        return (n, d, t) if n @ inner <= d else (-n, -d, (t[0], t[2], t[1]))
-
-    faces = [plane(t) for t in ((far[0], far[1], far[2]), (far[0], far[1], far[3]), (far[0], far[2], far[3]), (far[1], far[2], far[3]))]
-    for i in range(len(p)):
-        seen = [f for f in faces if f[0] @ p[i] > f[1] + 1e-9]
-        if not seen:
-            continue
-        rims: dict[tuple[int, int], int] = {}
-        for _, _, t in seen:
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                rims[min(a, b), max(a, b)] = rims.get((min(a, b), max(a, b)), 0) + 1
-        kept = [f for f in faces if not f[0] @ p[i] > f[1] + 1e-9]
-        faces = kept + [plane((a, b, i)) for (a, b), n in rims.items() if n == 1 and np.linalg.norm(np.cross(p[b] - p[a], p[i] - p[a])) > 1e-12]
-    return np.array([f[0] for f in faces]), np.array([f[1] for f in faces])
+    whole = _line_ends(np.unique(np.rint((p - np.rint(p[0])) * SNAP).astype(np.int64), axis=0))
+    middle = whole.mean(axis=0)
+    far = [int(((whole - middle) ** 2).sum(axis=1).argmax())]
+    far.append(int(((whole - whole[far[0]]).astype(float) ** 2).sum(axis=1).argmax()))
+    line = (whole[far[1]] - whole[far[0]]).astype(float)
+    far.append(int((np.cross(whole - whole[far[0]], line) ** 2).sum(axis=1).argmax()))
+    normal = np.cross(line, (whole[far[2]] - whole[far[0]]).astype(float))
+    far.append(int(np.abs((whole - whole[far[0]]) @ normal).argmax()))
+    q = whole.astype(object)
+
+    def plane(a: int, b: int, c: int) -> tuple[list[int], int, tuple[int, int, int]]:
+        u, v = q[b] - q[a], q[c] - q[a]
+        n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        return n, sum(i * j for i, j in zip(n, q[a], strict=True)), (a, b, c)
+
+    faces = []
+    for k in range(4):
+        n, d, t = plane(*(far[j] for j in range(4) if j != k))
+        side = sum(i * j for i, j in zip(n, q[far[k]], strict=True)) - d
+        if side == 0:
+            return None
+        faces.append((n, d, t) if side < 0 else plane(t[0], t[2], t[1]))
+    beyond = {i: q @ np.array(f[0], object) - f[1] for i, f in enumerate(faces)}
+    left = np.arange(len(q))
+    while True:
+        outside = np.array([(v > 0).astype(bool) for v in beyond.values()])
+        stays = outside.any(axis=0)
+        if not stays.any():
+            break
+        left, outside, beyond = left[stays], outside[:, stays], {i: v[stays] for i, v in beyond.items()}
+        at = list(beyond)[int(outside.any(axis=1).argmax())]
+        best = int(np.argmax(beyond[at]))
+        seen = [i for i, v in beyond.items() if v[best] >= 0]
+        rim = {(t[j], t[(j + 1) % 3]) for t in (faces[i][2] for i in seen) for j in range(3)}
+        for i in seen:
+            del beyond[i]
+        for a, b in sorted(rim):
+            if (b, a) not in rim:
+                faces.append(plane(a, b, int(left[best])))
+                beyond[len(faces) - 1] = q[left] @ np.array(faces[-1][0], object) - faces[-1][1]
+    size = [math.sqrt(sum(i * i for i in faces[k][0])) for k in beyond]
+    normals = np.array([[i / s for i in faces[k][0]] for k, s in zip(beyond, size, strict=True)])
+    return normals, np.max([(p[a : a + 4096] @ normals.T).max(axis=0) for a in range(0, len(p), 4096)], axis=0)  # of the points as they came
