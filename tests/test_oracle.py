@@ -41,3 +41,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["gradient_magnitude"])
+def test_last_slice_is_not_full(name, spark, tmp_path):
+    """Vectors whose number is no multiple of a slice's, with one missing within."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from '{DATA}/embeddings.parquet' where vec_id < 136 and vec_id <> 47) to '{tmp_path}/embeddings.parquet'")
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(SQL[name])
+    assert _rows(df.columns, df.collect()) == _rows([d[0] for d in want.description], want.fetchall())

@@ -265,7 +265,7 @@ def _gradient_sql() -> str:
     return f"with {VEC} select z, y, x, round(sqrt({' + '.join(gap(a) for a in 'zyx')}), 6) as v from vec window {ways}"
 
 
-_query("gradient_magnitude", _gradient_sql())(lambda s, d: _cells(stencils.gradient_magnitude(vec(s, d), vec_volume(s, d)).withColumn("v", F.round("v", 6)), "v"))
+_query("gradient_magnitude", _gradient_sql())(lambda s, d: _cells(stencils.gradient_magnitude(vec(s, d), vec_volume(s, d), ragged=True).withColumn("v", F.round("v", 6)), "v"))
 _query("em_thresholds", f"with recursive {VEC}, {fs.mixed('vec')}, {fs.crossings('vec')} select 'vec' as volume_id, i, round(threshold, 4) as threshold from cut")(lambda s, d: mixture.thresholds(vec(s, d)).withColumn("threshold", F.round("threshold", 4)))
 _query("mixture_components", f"with recursive {VEC}, {fs.mixed('vec')} select 'vec' as volume_id, i, round(mean, 4) as mean, round(weight, 6) as weight, round(std, 4) as std from mix")(
     lambda s, d: mixture.mixture(vec(s, d)).select("volume_id", "i", *[F.round(c, n).alias(c) for c, n in (("mean", 4), ("weight", 6), ("std", 4))])
