@@ -44,7 +44,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["gradient_magnitude"])
+@pytest.mark.parametrize("name", ["gradient_magnitude", "vesselness"])
 def test_last_slice_is_not_full(name, spark, tmp_path):
     """Vectors whose number is no multiple of a slice's, with one missing within."""
     con = duckdb.connect()

@@ -288,7 +288,7 @@ _query("tubeness", f"with {GRID}, {_CELLS}, {_TUBE} select z, y, x, round(case w
 _query(
     "vesselness",
     f"with {VEC}, shp as (select max(z) + 1 as n0, 20 as n1, 64 as n2 from vec), ev as materialized (with {fs.eigenvalues('vec', 'shp', 1.0, 'h')} select *, least(-e1, -e0) as n from h) select z, y, x from ev where n > 0 and n * exp(-0.5 * pow(e2 / (case when e2 <= 0 then 0.5 else 2.0 end * n), 2)) >= 30",
-)(lambda s, d: _cells(stencils.vesselness(vec(s, d), m.threshold(vec(s, d), -1000), vec_volume(s, d))[0]))
+)(lambda s, d: _cells(stencils.vesselness(vec(s, d), m.threshold(vec(s, d), -1000), vec_volume(s, d), ragged=True)[0]))
 _BLOB = _over_scales(
     stencils.log_steps(1.0, 2.0, 3),
     "case when e2 < 0 and e0 < 0 and e1 < 0 then (1 - exp(-pow(e2 * pow({s}, 2), 2) / abs(e0 * e1 * pow({s}, 4)) / (2 * 0.04))) * (1 - exp(-(e0 * e0 + e1 * e1 + e2 * e2) * pow({s}, 4) / 800)) else 0 end",
