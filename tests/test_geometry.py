@@ -320,3 +320,19 @@ def test_hull_facets_of_points_in_few_planes():
     box = np.array(list(itertools.product(range(-1, 5), repeat=3)))
     assert ((box @ normals.T <= offsets + 1e-9).all(axis=1) == ((box >= 0) & (box <= 3)).all(axis=1)).all()
     assert len(b.fill_gap(p)) == 64
+
+
+def test_gaps_of_many_slices_at_once(spark, monkeypatch):
+    """As each slice by itself, through batches that end within a slice; no Python call for each of them."""
+    monkeypatch.setattr(b, "TOGETHER", 7)
+    r = np.random.default_rng(8)
+    rows = {(int(u), int(z), int(y), int(x)) for u, z, y, x in r.integers(0, (30, 3, 12, 12), (300, 4))}
+    rows |= {(90, 0, i, 2 * i) for i in range(5)} | {(91, 1, 0, 0), (91, 1, 2, 7), (92, 0, 3, 3), (93, 0, 0, 0), (93, 0, 9, 1), (93, 0, 4, 1)}
+    rows |= {(94, 2, int(y), int(x)) for y, x in r.integers(-40, 40, (200, 2))}
+    want = set()
+    for key in {k[:2] for k in rows}:
+        want |= {(key[0], *c) for c in b.fill_gap(np.array([k[1:] for k in rows if k[:2] == key])).tolist()}
+    out = b.flat_gaps(spark.createDataFrame([*rows, *list(rows)[:9]], "u long, z int, y int, x int"), "u")
+    got = [tuple(x) for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert b.flat_gaps(spark.createDataFrame([], "u long, z int, y int, x int"), "u").count() == 0

@@ -7,9 +7,11 @@ other. Gap filling is a second pass that joins a branch to the one before it.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.offsets import box
@@ -17,6 +19,8 @@ from ..functions.geometry import facets, fit_ellipse, hull_2d, in_hull_2d, point
 
 #: Least triangle areas that are tried for a branch, coarse to fine, and the one used without trying.
 AREAS, AREA = (20.0, 15.0, 10.0, 5.0, 2.0, 1.0), 10.0
+#: Points whose gaps are filled together.
+TOGETHER = 1 << 15
 #: Points put between neighbours, and how many neighbours a point has.
 FACTOR, NEIGHBOURS = 100, 10
 
@@ -305,3 +309,98 @@ def fill_gap(points: np.ndarray) -> np.ndarray:
         layer = np.stack(np.meshgrid([z], np.arange(low[1], high[1] + 1), np.arange(low[2], high[2] + 1), indexing="ij"), -1).reshape(-1, 3)
         out.append(layer[(layer @ planes[0].T <= planes[1] + 1e-9).all(axis=1)])
     return np.unique(np.concatenate(out), axis=0)
+
+
+def _side(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, y, x): of every row of each group the first whole x that isn't left of its hull; the points are the leftmost of their rows, in order."""
+    while True:
+        same = group[1:] == group[:-1]
+        inner = np.flatnonzero(same[1:] & same[:-1]) + 1
+        dy, dx = y[inner + 1] - y[inner - 1], x[inner + 1] - x[inner - 1]
+        gone = inner[(x[inner] - x[inner - 1]) * dy >= dx * (y[inner] - y[inner - 1])]
+        if not len(gone):
+            break
+        group, y, x = (np.delete(c, gone) for c in (group, y, x))
+    on = np.append(same, False)
+    rows = np.where(on, np.append(y[1:] - y[:-1], 1), 1)
+    dx = np.where(on, np.append(x[1:] - x[:-1], 0), 0)
+    at = np.repeat(np.arange(len(y)), rows)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(rows) - rows, rows)
+    return group[at], y[at] + step, x[at] - (-step * dx[at]) // rows[at]
+
+
+def spans(group: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, y, first x, last x): `fill_gap` of many groups of cells of a slice each, in whole numbers.
+
+    Group numbers ascend. Points of a line give the cells on it between the ends, others the cells of their polygon row by row.
+    """
+    order = np.lexsort((x, y, group))
+    group, y, x = (np.asarray(c, np.int64)[order] for c in (group, y, x))
+    if not len(group):
+        return group, y, x, x
+    starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    sizes = np.diff(starts, append=len(group))
+    ends = starts + sizes - 1
+    ay, ax, by, bx = y[starts], x[starts], y[ends], x[ends]
+    wide = lambda c: np.repeat(c, sizes)
+    flat = np.logical_and.reduceat(wide(by - ay) * (x - wide(ax)) == wide(bx - ax) * (y - wide(ay)), starts)
+
+    n = np.maximum(np.abs(by - ay), np.abs(bx - ax))[flat]
+    at = np.repeat(np.flatnonzero(flat), n + 1)
+    k, of = np.arange(len(at)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1), np.repeat(n, n + 1)
+    t = np.where(k == of, np.where(of == 0, 0.0, 1.0), k * (1.0 / np.maximum(of, 1)))
+    ly, lx = (np.rint(a[at] + t * (b[at] - a[at])).astype(np.int64) for a, b in ((ay, by), (ax, bx)))
+
+    solid = ~wide(flat)
+    row = np.diff(group, prepend=group[0] - 1).astype(bool) | np.diff(y, prepend=y[0]).astype(bool)
+    first, last = solid & row, solid & np.append(row[1:], True)
+    g, py, low = _side(group[first], y[first], x[first])
+    high = -_side(group[last], y[last], -x[last])[2]
+    full = low <= high
+    return np.concatenate([group[starts][at], g[full]]), np.concatenate([ly, py[full]]), np.concatenate([lx, low[full]]), np.concatenate([lx, high[full]])
+
+
+def flat_gaps(points: DataFrame, by: str) -> DataFrame:
+    """(by, z, y, x): the cells between the cells that each `by` has in a slice, as `fill_gap`; rows without a cell are left out.
+
+    Slices come sorted through each task, many are filled at once, and rows of cells are spread only after it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, enough = [], TOGETHER
+
+        def filled(rows: pa.Table) -> pa.RecordBatch:
+            z, y, x = (rows.column(a).to_numpy().astype(np.int64) for a in "zyx")
+            name = rows.column(by).combine_chunks()
+            other = _changes(rows, by)
+            new = np.append(0, np.flatnonzero(other))
+            at, y, low, high = spans(np.cumsum(other), y, x)
+            return pa.record_batch([name.take(pa.array(new[at])), *(pa.array(c.astype(np.int32)) for c in (z[new[at]], y, low, high))], [by, "z", "y", "low", "high"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < enough:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = np.flatnonzero(_changes(rows, by))
+            cut = int(last[-1]) if len(last) else 0
+            if cut:
+                yield filled(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+            enough = max(TOGETHER, 2 * (rows.num_rows - cut))
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield filled(rows)
+
+    kind = dict(points.dtypes)[by]
+    sorted_ = points.select(by, *[F.col(a).cast("int").alias(a) for a in "zyx"]).dropna().repartition(by, "z").sortWithinPartitions(by, "z")
+    made = sorted_.mapInArrow(run, f"{by} {kind}, z int, y int, low int, high int")
+    return made.select(by, "z", "y", F.explode(F.sequence("low", "high")).alias("x"))
+
+
+def _changes(rows: pa.Table, by: str) -> np.ndarray:
+    """Whether a row is of another `by` or slice than the one before; the first is not."""
+    other = np.zeros(rows.num_rows, bool)
+    for c in (by, "z"):
+        v = rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        other[1:] |= v[1:] != v[:-1]
+    return other

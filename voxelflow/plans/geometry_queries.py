@@ -184,15 +184,8 @@ def _gap_sql() -> str:
     )
 
 
-@_query("gap_fill", _gap_sql())
-def _gaps(s: SparkSession, d: str) -> DataFrame:
-    """The gaps between a user's points of one hour."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = branches.fill_gap(rows[list("zyx")].to_numpy(float))
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], **{a: found[:, i].astype(np.int32) for i, a in enumerate("zyx")}})
-
-    return poly(s, d).groupBy("user_id", "z").applyInPandas(run, "user_id long, z int, y int, x int")
+# the gaps between a user's points of one hour
+_query("gap_fill", _gap_sql())(lambda s, d: branches.flat_gaps(poly(s, d), "user_id"))
 
 
 @_query("branch_smooth")
