@@ -241,3 +241,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     odd = spark.createDataFrame([(i, t, None, "s", 0) for i, t in ODD], empty.schema)
     odd.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() >= 5
+
+
+def test_new_words_of_letters_are_one_text(monkeypatch):
+    """The tokenizer gets few texts for many new words, and every word still has its own ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, tokenizer, sent = pk.WordEncoder(path), Tokenizer.from_file(path), []
+    whole = pk.WordEncoder._encode
+    monkeypatch.setattr(pk.WordEncoder, "_encode", lambda self, texts: sent.extend(texts) or whole(self, texts))
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghßéñöªþŉ", k=r.randint(1, 12))) for _ in range(9000)] + ["x1", "it's", "don't", "中文", "क़ख", "..."]
+    r.shuffle(words)
+    texts = [" ".join(words[i : i + 90]) for i in range(0, len(words), 90)]
+    got = encode(texts)
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(sent) < 20

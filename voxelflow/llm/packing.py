@@ -55,7 +55,8 @@ class WordEncoder:
 
     It also lower-cases and parts letters and digits from signs. Words repeat, so the ids of a word are remembered and a text's
     ids are gathered from those of its words; a new word that ends in signs is put together from what stands before them and
-    the signs. Only where Python and the tokenizer disagree is the whole text encoded as it is.
+    the signs. New words of Latin letters are encoded as one text and parted where an id ends a word, if the vocabulary marks those.
+    Only where Python and the tokenizer disagree is the whole text encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -64,6 +65,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)
+        marks = np.flatnonzero(self.last[self._encode([letters])[0]])
+        self.parts = len(marks) == 1 and marks[0] == len(self._encode([letters])[0]) - 1
         self._forget()
 
     def _forget(self) -> None:
@@ -92,21 +100,38 @@ class WordEncoder:
         return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def _learn(self) -> None:
-        known, whole, joined = self.known, [], []
+        known, joined = self.known, []
+        whole, plain = ([], []), ([], [])  # numbers, words
+        base = len(known) - len(known.new)  # new words are numbered in their order
         i = 0
         while i < len(known.new):  # what stands before signs may be new, too
             word = known.new[i]
-            core = word.rstrip(string.punctuation)
-            if core and len(core) < len(word) and core[-1].isalnum() and core[-1] < "\u0250":
-                joined.append((known[word], known[core], known[word[len(core) :]]))
+            if word.isalpha():
+                numbers, words = plain if self.parts and (word.isascii() or max(word) < "\u0250") else whole
+                numbers.append(base + i)
+                words.append(word)
             else:
-                whole.append(word)
-            self.characters += len(word)
+                core = word.rstrip(string.punctuation)
+                if core and len(core) < len(word) and core[-1].isalnum() and core[-1] < "\u0250":
+                    joined.append((base + i, known[core], known[word[len(core) :]]))
+                else:
+                    whole[0].append(base + i)
+                    whole[1].append(word)
             i += 1
+        self.characters += sum(map(len, known.new))
         known.new.clear()
-        encoded = self._encode(whole)
+        for at in range(0, len(plain[0]), 4096):
+            numbers, words = (c[at : at + 4096] for c in plain)
+            flat = np.array(self._encode([" ".join(words)])[0], np.uint32)
+            ends = np.flatnonzero(self.last[flat])
+            if len(ends) == len(words):
+                self._keep(np.array(numbers), np.diff(ends, prepend=-1), flat)
+            else:
+                whole[0].extend(numbers)
+                whole[1].extend(words)
+        encoded = self._encode(whole[1])
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self._keep(np.fromiter(map(known.__getitem__, whole), np.int64, len(whole)), sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
+        self._keep(np.array(whole[0], np.int64), sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
         if joined:
             numbers, cores, signs = np.array(joined, np.int64).T
             flat, ends = self._gather(np.stack([cores, signs], 1).ravel())
