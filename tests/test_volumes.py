@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxelflow.functions.offsets import exact_ball, face, itk_ball
+from voxelflow.functions.offsets import exact_ball, face, itk_ball, neighbours
 from voxelflow.operators import components as comp, fronts, graphs, masks as m, mixture, morphology as morph, stencils
 from voxelflow.plans import pipelines
 from voxelflow.plans.geometry_queries import thorax, tube
@@ -66,6 +66,58 @@ def test_holes(spark):
     assert len(found(morph.fill_holes(cells(spark, a), v, 6))) == 122
 
 
+def filled(a, connectivity):
+    """The cells of an array, and the rest that no way through the rest joins to its border."""
+    steps = neighbours(connectivity)
+    flat = connectivity in (4, 8)
+    seen = {p for p in map(tuple, np.argwhere(a == 0).tolist()) if any(p[i] in (0, a.shape[i] - 1) for i in range(flat, 3))}
+    front = list(seen)
+    while front:
+        p = front.pop()
+        for q in (tuple(i + d for i, d in zip(p, step, strict=True)) for step in steps):
+            if q not in seen and all(0 <= i < n for i, n in zip(q, a.shape, strict=True)) and not a[q]:
+                seen.add(q)
+                front.append(q)
+    return {p for p in np.ndindex(a.shape) if p not in seen and (not flat or a[p[0]].any())}
+
+
+@pytest.mark.parametrize("connectivity", [4, 8, 6, 26])
+def test_holes_across_slabs(spark, connectivity):
+    """Two volumes at once: ways out that wind through several slabs, and slabs without a cell of the mask."""
+    r = np.random.default_rng(8)
+    a = r.random((20, 9, 9)) < (0.7 if connectivity in (4, 6) else 0.9)
+    a[6:13] = False
+    a[12, 1:8, 1:8] = a[17, 1:8, 1:8] = a[12:18, [1, 7], 1:8] = a[12:18, 1:8, [1, 7]] = True
+    b = ~a[:11]
+    mask = cells(spark, a, "a").unionByName(cells(spark, b, "b"))
+    v = volume(spark, "a", a.shape).unionByName(volume(spark, "b", b.shape))
+    for depth in (3, 32):
+        got = morph.fill_holes(mask, v, connectivity, depth=depth).collect()
+        assert len(got) == len(set(got))
+        for name, array in (("a", a), ("b", b)):
+            assert {(x.z, x.y, x.x) for x in got if x.volume_id == name} == filled(array, connectivity)
+
+
+def most_rows(plan):
+    """The most rows that any step of a query made that has run."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = plan.children()
+    made = plan.metrics().get("numOutputRows")
+    return max([made.get().value() if made.isDefined() else 0, *map(most_rows, inner + [below.apply(i) for i in range(below.size())])])
+
+
+@pytest.mark.parametrize("connectivity", [4, 6])
+def test_holes_make_no_row_of_every_cell(spark, connectivity):
+    """Spark takes such a table for as small as the one of volumes, and may send it to all machines."""
+    a = np.zeros((20, 80, 80), int)
+    a[5:10, 5:10, 5:10] = 1
+    a[6:9, 6:9, 6:9] = 0
+    df = morph.fill_holes(cells(spark, a), volume(spark, "a", a.shape), connectivity)
+    assert len(df.collect()) == 125
+    assert 98 <= most_rows(df._jdf.queryExecution().executedPlan()) < 1000
+
+
 def test_empty_tables(spark):
     none = cells(spark, np.zeros((2, 2, 2), int))
     v = volume(spark, "a", (2, 2, 2))
@@ -304,3 +356,30 @@ def test_nearest_edge_sends_each_place_once(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     side = plan[plan.index("FlatMapCoGroupsInPandas") :]
     assert "min(edge_id" in side
+
+
+def test_volumes_and_branches_without_partner(spark):
+    """A volume without polylines, a graph without nodes, and a branch that has no cell of its own."""
+    a = np.zeros((2, 3, 3))
+    a[0, 0, 0] = a[1, 2, 2] = 1
+    lines = spark.createDataFrame([("a", 1, 0, 0, 0)], "volume_id string, edge_id int, z int, y int, x int")
+    got = graphs.nearest_edge(cells(spark, a, "a").unionByName(cells(spark, a, "b")), lines).collect()
+    assert {(r.volume_id, r.z, r.edge_id) for r in got} == {("a", 0, 1), ("a", 1, 1)}
+    nodes = spark.createDataFrame([("a", i, i, 0, 0) for i in range(2)], "graph_id string, node_id int, z int, y int, x int")
+    edges = spark.createDataFrame([("a", 0, 1), ("b", 0, 1)], "graph_id string, src int, dst int")
+    assert {tuple(r) for r in graphs.levels(nodes, edges).collect()} == {("a", 1, 0, None), ("a", 0, 1, 1)}
+    line = pd.DataFrame({"line": [[0, 0, 0, 1, 0, 0, 2, 0, 0]]})
+    made = pipelines._modelled(("a", 1), pd.DataFrame(columns=list("zyx")), line)
+    assert {tuple(x) for x in made[made["kind"] == "cell"][list("zyx")].to_numpy(int).tolist()} <= {(z, 0, 0) for z in range(3)}
+    assert (made["kind"] == "thickness").sum() == 1
+
+
+def test_tree_of_a_volume_without_branches(spark):
+    """A volume of one cell beside one with a branch: it has no edge, so its model is empty."""
+    a = np.zeros((14, 5, 5), int)
+    a[1:13, 1:4, 1:4] = 1
+    one = np.zeros(a.shape, int)
+    one[3, 2, 2] = 1
+    v = volume(spark, "a", a.shape).unionByName(volume(spark, "b", a.shape))
+    rough = cells(spark, a, "a").unionByName(cells(spark, one, "b")).select(*m.KEYS)
+    assert {r.volume_id for r in pipelines.smooth_tree(rough, rough, v).collect()} == {"a"}

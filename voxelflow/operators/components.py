@@ -66,6 +66,15 @@ def label_roots(links: DataFrame) -> DataFrame:
         roots = step.join(jump, ["volume_id", "root"], "left").select("volume_id", "node", F.least("root", F.coalesce("next", "root")).alias("root"))
 
 
+def seam_links(local: DataFrame, connectivity: int, depth: int = DEPTH) -> DataFrame:
+    """(volume_id, a, b) of labels of slabs that touch across a seam, a in the upper slab. local: (volume_id, z, y, x, label) of seam slices at least."""
+    down = local.where(F.col("z") % depth == 0).where("z > 0").select("volume_id", "z", "y", "x", F.col("label").alias("b"))
+    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for z, y, x in neighbours(connectivity) if z == 1])
+    up = local.where(F.col("z") % depth == depth - 1).select("volume_id", "z", "y", "x", "label", F.inline(steps))
+    up = up.select("volume_id", (F.col("z") + 1).alias("z"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("label").alias("a"))
+    return up.join(down, KEYS).select("volume_id", "a", "b").distinct()
+
+
 def label(mask: DataFrame, volumes: DataFrame, connectivity: int = 6, depth: int = DEPTH) -> DataFrame:
     """(volume_id, z, y, x, label) of the mask's cells."""
     flat = connectivity in (4, 8)
@@ -80,11 +89,7 @@ def label(mask: DataFrame, volumes: DataFrame, connectivity: int = 6, depth: int
     if flat or volumes.agg(F.max("nz")).first()[0] <= depth:
         return local
     local = stored(local)
-    down = local.where(F.col("z") % depth == 0).where("z > 0").select("volume_id", "z", "y", "x", F.col("label").alias("b"))
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for z, y, x in neighbours(connectivity) if z == 1])
-    up = local.where(F.col("z") % depth == depth - 1).select("volume_id", "z", "y", "x", "label", F.inline(steps))
-    up = up.select("volume_id", (F.col("z") + 1).alias("z"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("label").alias("a"))
-    links = stored(up.join(down, KEYS).select("volume_id", "a", "b").distinct())
+    links = stored(seam_links(local, connectivity, depth))
     if links.isEmpty():
         return local
     roots = label_roots(links).withColumnRenamed("node", "label")

@@ -55,7 +55,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"graph_id": mine["graph_id"].iloc[0], "node_id": list(out), "dist": [d for d, _ in out.values()], "parent": parent})
 
     def checked(mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return run(mine, links) if len(mine) else pd.DataFrame({c: [] for c in ("graph_id", "node_id", "dist", "parent")})
+        return run(mine, links) if len(mine) else pd.DataFrame(columns=["graph_id", "node_id", "dist", "parent"])
 
     joined = nodes.select("graph_id", "node_id", "z").groupBy("graph_id").cogroup(edges.select(F.col("graph_id").alias("of_graph"), "src", "dst").groupBy("of_graph"))
     return joined.applyInPandas(checked, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, dist int, parent {kinds['node_id']}")
@@ -136,7 +136,7 @@ def nearest_edge(cells: DataFrame, edge_points: DataFrame) -> DataFrame:
     def run(mine: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         out = mine[keys].copy()
         if not len(lines) or not len(mine):
-            return pd.DataFrame({k: [] for k in [*keys, "edge_id", "distance"]})
+            return pd.DataFrame(columns=[*keys, "edge_id", "distance"])
         lines = lines.sort_values("edge_id", kind="stable")
         p, q, ids = mine[list("zyx")].to_numpy(np.int64), lines[list("zyx")].to_numpy(np.int64), lines["edge_id"].to_numpy()
         edge, far = np.zeros(len(p), np.int64), np.zeros(len(p))

@@ -410,7 +410,8 @@ def tube(s: SparkSession, d: str | None = None) -> tuple[DataFrame, DataFrame]:
         return table, volumes
     number = F.concat(F.lit("tube"), F.floor(F.col("z") / 25).cast("string"))
     rough = vec(s, d).select(number.alias("volume_id"), (F.col("z") % 25).alias("z25"), F.col("y").alias("y20"), "x", (F.col("v") > 330).alias("hole"))
-    joined = table.drop("volume_id").withColumns({"z25": F.col("z") % 25, "y20": F.col("y") % 20}).join(rough, ["z25", "y20", "x"]).where("not hole")
+    shape_ = F.broadcast(table.drop("volume_id").withColumns({"z25": F.col("z") % 25, "y20": F.col("y") % 20}))  # some 1,200 cells
+    joined = rough.where("not hole").join(shape_, ["z25", "y20", "x"])
     return stored(joined.select("volume_id", "z", "y", "x")), stored(alike(rough.select("volume_id").distinct(), shape))
 
 

@@ -255,10 +255,10 @@ def _closed(labels: DataFrame, sizes: DataFrame, volumes: DataFrame) -> DataFram
 
 
 def _modelled(key: tuple, cells: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
-    """Cells, all points at both ends, and the thickness of one smoothed branch."""
+    """Cells, all points at both ends, and the thickness of one smoothed branch. One that others leave no cell has those at its ends."""
     names = ["volume_id", "edge_id", "kind", "z", "y", "x", "value"]
-    if not len(cells) or not len(line):
-        return pd.DataFrame({n: [] for n in names})
+    if not len(line):
+        return pd.DataFrame(columns=names)
     path = np.array(line["line"].iloc[0], float).reshape(-1, 3)
     mine = np.concatenate([cells[list("zyx")].to_numpy(np.int64), np.rint(path[[0, -1]]).astype(np.int64)])
     kept, ends, gaps, thickness = smooth_branch(np.unique(mine, axis=0), path)
