@@ -118,6 +118,29 @@ def test_holes_make_no_row_of_every_cell(spark, connectivity):
     assert 98 <= most_rows(df._jdf.queryExecution().executedPlan()) < 1000
 
 
+def test_closing_by_ball(spark):
+    """Each part closed by a ball of its own, near all sides of the volume and across slabs, in one plan for all radii."""
+    r = np.random.default_rng(9)
+    shape, radii = (14, 12, 13), [1.0, 1.4, 2.0, 2.3, 1.0]
+    v = volume(spark, "a", shape)
+    masks = [cells(spark, r.random(shape) < 0.06) for _ in radii]
+    parts = [x.select(*m.KEYS, F.lit(k).alias("k"), F.lit(radii[k]).alias("radius")) for k, x in enumerate(masks)]
+    want = set.union(*[found(morph.closing(x, v, exact_ball(radius))) for x, radius in zip(masks, radii, strict=True)])
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+    for depth in (3, 32):
+        assert found(morph.closing_by_ball(every, "k", v, depth)) == want
+
+
+def test_plan_of_closed_branches_does_not_grow_with_radii(spark):
+    v = volume(spark, "a", (5, 5, 5))
+    plans = []
+    for n in (2, 9):
+        labels = spark.createDataFrame([("a", 2, 2, 2, k) for k in range(n)], "volume_id string, z int, y int, x int, edge_id int")
+        sizes = spark.createDataFrame([("a", k, 1 - k / 20) for k in range(n)], "volume_id string, edge_id int, size double")
+        plans.append(pipelines._closed(labels, sizes, v)._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert plans[0] == plans[1]
+
+
 def test_empty_tables(spark):
     none = cells(spark, np.zeros((2, 2, 2), int))
     v = volume(spark, "a", (2, 2, 2))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .masks import KEYS
 
@@ -44,7 +44,7 @@ def boxed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out, low
 
 
-def spread_slabs(voxels: DataFrame, volumes: DataFrame, halo: int, depth: int, geometry: list[str]) -> DataFrame:
+def spread_slabs(voxels: DataFrame, volumes: DataFrame, halo: int | Column, depth: int, geometry: list[str]) -> DataFrame:
     """The rows with `geometry` of their volume and slab: a row for each slab that a cell lies in or within `halo` slices of."""
     last = F.floor((F.col("nz") - 1) / depth).cast("int")
     low = F.greatest(F.floor((F.col("z") - halo) / depth).cast("int"), F.lit(0))

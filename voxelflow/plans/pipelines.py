@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.offsets import exact_ball, itk_ball
+from ..functions.offsets import itk_ball
 from ..operators import components as comp, masks as m, morphology as morph, stencils
 from ..operators.branches import fill_gap, smooth_branch
 from ..operators.fronts import fast_march
@@ -242,16 +242,8 @@ def _closed(labels: DataFrame, sizes: DataFrame, volumes: DataFrame) -> DataFram
     """Every branch closed by a ball of its own radius, twice its size to one decimal, and all of them together."""
     radius = F.bround(F.col("size") * CLOSING, 1)
     by_radius = stored(labels.join(sizes.select("volume_id", "edge_id", radius.alias("radius")), ["volume_id", "edge_id"]))
-    out = by_radius.select(*KEYS)
-    for r in [x["radius"] for x in by_radius.select("radius").distinct().collect()]:  # at most 21 of them
-        if r >= 1:
-            # branches of one radius are closed together, each in a volume of its own name
-            own = by_radius.where(F.col("radius") == r).select(F.concat_ws("/", "volume_id", "edge_id").alias("volume_id"), "z", "y", "x")
-            names = own.select("volume_id").distinct().withColumn("base", F.regexp_replace("volume_id", "/[0-9]+$", ""))
-            boxes = names.join(volumes.withColumnRenamed("volume_id", "base"), "base").drop("base")
-            shut = morph.closing(own, boxes, exact_ball(float(r)))
-            out = out.unionByName(shut.withColumn("volume_id", F.regexp_replace("volume_id", "/[0-9]+$", "")))
-    return out.distinct()
+    wide = by_radius.where("radius >= 1").select("edge_id", *KEYS, F.col("radius").cast("double").alias("radius"))
+    return by_radius.select(*KEYS).unionByName(morph.closing_by_ball(wide, "edge_id", volumes)).distinct()
 
 
 def _modelled(key: tuple, cells: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
